@@ -75,9 +75,10 @@ def host_label(url: Column) -> Column:
 
 
 def site_label(url: Column) -> Column:
-    """Label in front of the last dot: shop.example.com -> example; the host label where there is no dot."""
+    """Label in front of the last dot: shop.example.com -> example; the host label where there is none."""
     host = authority(url)
-    return F.when(host.contains("."), F.split_part(host, F.lit("."), F.lit(-2))).otherwise(host_label(url))
+    label = F.when(host.contains("."), F.split_part(host, F.lit("."), F.lit(-2)))
+    return F.coalesce(F.nullif(label, F.lit("")), host_label(url))
 
 
 def display_domain(url: Column) -> Column:

@@ -7,9 +7,9 @@ row per map task.  Where copies must be written out again, the counts are cut in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.operators.cleaning import synthetic_id
@@ -100,16 +100,21 @@ def in_months(df: DataFrame, months: Sequence[tuple[int | None, int | None]]) ->
     return df.where(hit)
 
 
-def new_keys(df: DataFrame, curated: DataFrame, keys: Sequence[str] = DEDUP_KEYS,
-             own_run: str | None = None) -> DataFrame:
+def new_keys(df: DataFrame, curated: DataFrame, keys: Sequence[str] = DEDUP_KEYS, own_run: str | None = None,
+             probe: Mapping[str, Column] | None = None) -> DataFrame:
     """Rows whose key is not in the curated table yet; NULLs compare equal.  Only touched months of the curated table
-    are read, and rows written by this same run do not count, so a retry finds the same new rows."""
+    are read, and rows written by this same run do not count, so a retry finds the same new rows.  ``probe`` replaces a
+    key column of ``df`` by an expression."""
     old = in_months(curated, touched_months(df))
     if own_run is not None and "run_id" in curated.columns:
         old = old.where(F.col("run_id") != own_run)
     old = old.select(*[F.col(k).alias(f"_old_{k}") for k in keys])
-    same = None
+    same = F.lit(True)
     for k in keys:
-        part = F.col(k).eqNullSafe(F.col(f"_old_{k}"))
-        same = part if same is None else same & part
+        same = same & (probe or {}).get(k, F.col(k)).eqNullSafe(F.col(f"_old_{k}"))
     return df.join(old, same, "left_anti")
+
+
+def first_id(id_column: str = "product_id") -> Column:
+    """The id of a folded row, or the id its first copy would get."""
+    return F.coalesce(F.col(id_column), synthetic_id(F.col("record_key"), F.lit(0)))
