@@ -392,7 +392,8 @@ def _pass_rate() -> Column:
 def quality_dashboard(df: DataFrame, from_year: int | None = None) -> DataFrame:
     trends = quality_trends(df if from_year is None else df.where(F.col("year") >= from_year))
     return trends.select("month", "total_records", _pass_rate().alias("pass_rate_pct"),
-                         F.round("avg_quality_score", 4).alias("avg_score"),
+                         # through DECIMAL: 0.83125 has no exact DOUBLE and would round down
+                         F.round(F.col("avg_quality_score").cast("decimal(20,10)"), 4).cast(SCORE).alias("avg_score"),
                          band(F.col("avg_quality_score"), RATING, "Poor").alias("quality_rating"))
 
 
