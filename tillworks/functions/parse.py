@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 # Every character counted as white space around a field.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # Accepted ranges.
 MAX_ID = 2**63 - 1
@@ -21,9 +21,16 @@ MAX_MONEY = 100_000_000
 MAX_ITEMS = 10_000_000
 PERCENT_RANGE = (-100, 1000)
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Trim any white space.  Trimming a set of characters is slow; text that starts and ends with a visible ASCII
+    character after the plain trim is done."""
+    t = F.btrim(c)
+    done = F.substring(t, 1, 1).between("!", "~") & F.substring(t, -1, 1).between("!", "~")
+    return F.when(done, t).otherwise(F.btrim(t, F.lit(WHITESPACE)))
 
 
 def _date(c: Column, pattern: str) -> Column:
@@ -41,15 +48,23 @@ def parse_date(c: Column) -> Column:
              .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), short))
 
 
-def _number(c: Column, drop: str, type_name: str = "decimal(38,6)") -> Column:
-    return strip(F.translate(c, drop, "")).try_cast(type_name)
+def _number(c: Column, drop: str, type_name: str) -> Column:
+    """Numeric text to DECIMAL after dropping some characters.  A failing cast is costly, so text that cannot start a
+    number is not cast; the cast itself trims ASCII blanks."""
+    for char in drop:
+        c = F.replace(c, F.lit(char), F.lit(""))
+    t = F.btrim(c)
+    first = F.substring(t, 1, 1)
+    usual = is_ascii(t) & first.between("+", "9")
+    rare_blank = ~is_ascii(t) | ((first < "!") & (first != ""))
+    return F.when(usual, t.try_cast(type_name)).when(rare_blank, strip(t).try_cast(type_name))
 
 
 def parse_id(c: Column, via_double: bool = False) -> Column:
     """Thousands commas and scientific notation allowed; fraction cut off; 0 .. 2^63-1."""
-    number = _number(c, ",")
+    number = _number(c, ",", "decimal(38,6)")
     if via_double:
-        number = F.when(number.isNotNull(), strip(F.translate(c, ",", "")).try_cast("double"))
+        number = F.when(number.isNotNull(), strip(F.replace(c, F.lit(","), F.lit(""))).try_cast("double"))
     whole = number.try_cast("bigint")
     return F.when(whole >= 0, whole)
 
@@ -57,19 +72,19 @@ def parse_id(c: Column, via_double: bool = False) -> Column:
 def parse_text(c: Column, max_length: int = 500) -> Column:
     """Trim, one blank for each run of white space, no control characters, at most ``max_length`` characters."""
     one_blank = F.btrim(F.regexp_replace(c, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
-    clean = F.regexp_replace(one_blank, r"[\x00-\x1f]", "")
+    tidy = is_ascii(c) & ~c.contains("  ") & ~c.rlike(r"[\x00-\x1f]")
+    clean = F.when(tidy, F.btrim(c)).otherwise(F.regexp_replace(one_blank, r"[\x00-\x1f]", ""))
     return F.nullif(F.substring(clean, 1, max_length), F.lit(""))
 
 
 def parse_money(c: Column) -> Column:
     """Dollar, euro and pound signs and commas dropped; 0 .. 100 000 000; two decimals."""
-    value = _number(c, "$€£,")
+    value = _number(c, "$€£,", "decimal(18,6)")
     return F.when(value.between(0, MAX_MONEY), F.round(value, 2).cast("decimal(18,2)"))
 
 
 def percent_points(c: Column) -> Column:
     """The number in front of a percent sign.  Spreadsheet error texts (#DIV/0!, #N/A ...) fail the cast: NULL."""
-    # 30 digits leave room for the exact product in as_ratio
     return _number(c, "%", "decimal(30,6)")
 
 
@@ -78,19 +93,19 @@ def in_percent_range(points: Column) -> Column:
 
 
 def as_ratio(points: Column) -> Column:
-    """Percent points to a ratio with four decimals."""
-    return F.round(points * F.lit(0.01).cast("decimal(3,2)"), 4)
+    """Percent points in the accepted range to a ratio with four decimals; NULL outside."""
+    narrow = points.try_cast("decimal(10,6)")
+    return F.when(in_percent_range(points), F.round(narrow * F.lit(0.01).cast("decimal(3,2)"), 4))
 
 
 def parse_percent(c: Column) -> Column:
     """Always divided by 100; NULL outside -100..1000 percent."""
-    points = percent_points(c)
-    return F.when(in_percent_range(points), as_ratio(points).cast("decimal(6,4)"))
+    return as_ratio(percent_points(c)).cast("decimal(6,4)")
 
 
 def parse_int(c: Column) -> Column:
     """Commas dropped, fraction cut off, 0 .. 10 000 000."""
-    whole = _number(c, ",").try_cast("bigint")
+    whole = _number(c, ",", "decimal(18,6)").cast("bigint")
     return F.when(whole.between(0, MAX_ITEMS), whole.cast("int"))
 
 

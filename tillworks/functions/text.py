@@ -9,13 +9,13 @@ from tillworks.functions.parse import WHITESPACE, strip
 
 # Typographic characters and their ASCII forms.
 PUNCTUATION = {
-    "’": "'",
-    "‘": "'",
-    "“": '"',
-    "”": '"',
-    "—": "-",
-    "–": "-",
-    "…": "...",
+    "\u2019": "'",
+    "\u2018": "'",
+    "\u201c": '"',
+    "\u201d": '"',
+    "\u2014": "-",
+    "\u2013": "-",
+    "\u2026": "...",
 }
 URL_DISPLAY_LENGTH = 80
 

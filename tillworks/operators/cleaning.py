@@ -46,10 +46,7 @@ class Rule:
 
 def rules(cfg: Config) -> list[Rule]:
     """The seven standard rules, in listing order."""
-    growth = parse.as_ratio(F.col("growth_points"))
-    suspicious = (growth > 10) | (growth < -1)
-    if cfg.strict_reference:
-        suspicious = suspicious & parse.in_percent_range(F.col("growth_points"))
+    suspicious = F.lit(False) if cfg.strict_reference else ~parse.in_percent_range(F.col("growth_points"))
     predicates = {
         "INVALID_DATE": F.col("month").isNull(),
         "SYNTHETIC_PRODUCT_ID": F.col("product_id").isNull(),
@@ -104,9 +101,7 @@ def fill_defaults(df: DataFrame) -> DataFrame:
 
 def with_growth(df: DataFrame) -> DataFrame:
     """The stored growth ratio: inside the accepted range and inside its DECIMAL type, else NULL."""
-    points = F.col("growth_points")
-    ratio = F.when(parse.in_percent_range(points), parse.as_ratio(points).try_cast(SCORE))
-    return df.withColumn("mom_growth_pct", ratio).drop("growth_points")
+    return df.withColumn("mom_growth_pct", parse.as_ratio(F.col("growth_points")).try_cast(SCORE)).drop("growth_points")
 
 
 def with_partitions(df: DataFrame) -> DataFrame:
@@ -120,7 +115,7 @@ def clean(df: DataFrame, cfg: Config, mapping: Mapping[str, tuple[str, str]] = M
     raw = [r for _, r in mapping.values() if r in df.columns]
     keyed = with_record_key(df, key_columns or (["source_file"] if "source_file" in df.columns else []) + raw)
     flagged = apply_rules(parse_columns(keyed, cfg, mapping), rules(cfg))
-    return with_partitions(with_growth(fill_defaults(flagged))).drop(*raw)
+    return with_partitions(with_growth(fill_defaults(flagged))).drop(*raw, "flags")
 
 
 def synthetic_id(record_key: Column, occurrence: Column) -> Column:

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.compression.codec": "snappy",
+    # the JVM does not compile methods over 8000 bytes: a wide cleaning projection would run interpreted
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
