@@ -26,11 +26,16 @@ def is_ascii(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim any white space.  Trimming a set of characters is slow; text that starts and ends with a visible ASCII
-    character after the plain trim is done."""
+    """Trim any white space."""
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
+def quick_strip(c: Column) -> Column:
+    """``strip`` for stored columns.  Trimming a set of characters is slow; text that starts and ends with a visible
+    ASCII character after the plain trim is done.  (The input appears several times: do not nest.)"""
     t = F.btrim(c)
     done = F.substring(t, 1, 1).between("!", "~") & F.substring(t, -1, 1).between("!", "~")
-    return F.when(done, t).otherwise(F.btrim(t, F.lit(WHITESPACE)))
+    return F.when(done, t).otherwise(strip(t))
 
 
 def _date(c: Column, pattern: str) -> Column:
@@ -39,7 +44,7 @@ def _date(c: Column, pattern: str) -> Column:
 
 def parse_date(c: Column) -> Column:
     """M/D/YYYY, then M/D/YY, then YYYY-M-D, then D/M/YYYY; the first reading that is a real day wins."""
-    s = strip(c)
+    s = quick_strip(c)
     short = _date(s, "M/d/yy")
     # two-digit years 69..99 belong to the 1900s
     short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)

@@ -49,10 +49,10 @@ def page_fields(pages: DataFrame) -> DataFrame:
 
 def brand_slugs(shop: Column) -> Column:
     """Host-name spellings of a brand: joined, hyphenated, joined without &, first word."""
-    raw = strip(F.lower(shop))
-    for ending in NAME_ENDINGS:
-        raw = F.when(F.endswith(raw, F.lit(ending)), strip(F.substring(raw, F.lit(1), F.length(raw) - len(ending)))
-                     ).otherwise(raw)
+    def without(name: Column, ending: Column) -> Column:
+        return F.when(F.endswith(name, ending), strip(F.left(name, F.length(name) - F.length(ending)))).otherwise(name)
+
+    raw = F.aggregate(F.array(*[F.lit(e) for e in NAME_ENDINGS]), strip(F.lower(shop)), without)
     raw = text.collapse_space(raw)
     first = F.split_part(raw, F.lit(" "), F.lit(1))
     found = F.array(F.translate(raw, " ", ""), F.translate(raw, " ", "-"), F.translate(raw, "& ", ""),
