@@ -118,7 +118,7 @@ def register_tables(spark: SparkSession, root: str, database: str = "default") -
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {table.file_format} "
                   + (f"OPTIONS ({options}) " if options else "") + parts
                   + f" LOCATION '{folder_of(root, table.name)}' COMMENT '{table.comment}'")
-        if table.partitions:
+        if table.partitions and table_exists(spark, root, table.name):
             spark.catalog.recoverPartitions(f"{database}.{table.name}")
         names.append(f"{database}.{table.name}")
     return names
@@ -172,11 +172,14 @@ def compact(spark: SparkSession, source: str, target: str, partitions: Sequence[
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
 
 
-def ctas(df: DataFrame, target: str, partitions: Sequence[str] = PARTITIONS, drop: Sequence[str] = ()) -> None:
+def ctas(df: DataFrame, target: str, partitions: Sequence[str] = PARTITIONS, drop: Sequence[str] = (),
+         path: str | None = None) -> None:
     """Rebuild a table without some columns under a new name."""
     writer = df.drop(*drop).write.format("parquet").option("compression", "snappy").mode("overwrite")
     if partitions:
         writer = writer.partitionBy(*partitions)
+    if path:
+        writer = writer.option("path", path)
     writer.saveAsTable(target)
 
 

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tillworks.config import Config
 from tillworks.plans.load import load
 from tillworks.schema import RAW_SCHEMA
-from tillworks.sources.raw import CSV_OPTIONS, snake_case, with_source_meta
+from tillworks.sources.raw import CSV_OPTIONS, snake_case, with_record_number, with_source_file
 
 
 def stream_raw(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(RAW_SCHEMA).options(**CSV_OPTIONS)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(path)
+    return snake_case(with_source_file(reader.csv(path)))
 
 
 def ingest_incremental(spark: SparkSession, source: str, root: str, checkpoint: str, cfg: Config,
@@ -25,8 +25,8 @@ def ingest_incremental(spark: SparkSession, source: str, root: str, checkpoint:
     """Load the files that arrived since the last call.  The checkpoint remembers files; a batch that is run again has
     the same run id, overwrites its own folders and does not take its own rows for old ones."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        raw = snake_case(with_source_meta(batch))
-        load(spark, raw, root, replace(cfg, run_id=f"{cfg.run_id}-{batch_id:06d}"), source=source, incremental=True)
+        load(spark, with_record_number(batch), root, replace(cfg, run_id=f"{cfg.run_id}-{batch_id:06d}"),
+             source=source, incremental=True)
 
     query = (stream_raw(spark, source, files_per_batch).writeStream.option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).foreachBatch(handle).start())
