@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import query, table
+from queries.base import query, spread, table
 from tillworks.operators import web
 
 
 @query("t01_t02_t03_page_fields")
 def t01(spark, sf_dir):
-    return web.page_fields(table(spark, sf_dir, "pages"))
+    return web.page_fields(spread(table(spark, sf_dir, "pages"), "page_id"))
 
 
 @query("t04_brand_slugs", """SELECT s_suppkey, list_distinct([n]) AS first_slug, len(list_distinct(list_filter([replace(r, ' ', ''),
