@@ -106,7 +106,8 @@ def _rank_per(df: DataFrame, keys: Sequence[str], spec: Sequence[tuple[str, str]
 def latest_partition(df: DataFrame) -> DataFrame:
     """The one-row frame (year, month_num) of the newest partition; rows without a date do not count."""
     newest = df.where("year is not null").agg(F.max(F.struct("year", "month_num")).alias("p"))
-    return newest.select("p.year", "p.month_num").where("year is not null")
+    # a comparison rather than a NULL test: only then does Spark prune the files of the joined table at run time
+    return newest.select("p.year", "p.month_num").where("year > 0")
 
 
 def in_latest_partition(df: DataFrame) -> DataFrame:
