@@ -58,7 +58,7 @@ def t08(spark, sf_dir):
 
 @query("t07_normalised_responses", r"""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE source END AS intro,
   list_slice(list_concat(CASE doc_id % 4
-    WHEN 0 THEN [trim(a) || ' => ' || trim(b), '=> ', trim(a) || ' => ' || trim(a)]
+    WHEN 0 THEN [trim(a) || ' => ' || CASE WHEN trim(b) = '' THEN trim(a) ELSE trim(b) END, '=> ', trim(a) || ' => ' || trim(a)]
     WHEN 1 THEN [trim(a) || ' => ' || trim(b), ' => '] ELSE [] END, [' => ', ' => ', ' => ', ' => ', ' => ']), 1, 5) AS trends
 FROM (SELECT doc_id, source, regexp_replace(left(text, 30), '[^a-zA-Z]+', ' ', 'g') AS a,
   regexp_replace(substr(text, 31, 60), '[^a-zA-Z]+', ' ', 'g') AS b FROM documents)

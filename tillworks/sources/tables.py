@@ -107,7 +107,7 @@ def published(df: DataFrame, lineage: DataFrame) -> DataFrame:
 
 def register_tables(spark: SparkSession, root: str, database: str = "default") -> list[str]:
     """Catalog entries over the folders, with types, partitions and comments."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{root.rstrip('/')}/database'")
     names = []
     for table in TABLES.values():
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
