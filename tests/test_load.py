@@ -16,11 +16,11 @@ from tillworks.streaming.ingest import ingest_incremental
 HEADER = ",".join(RAW_COLUMNS)
 CFG = Config(run_id="r1", as_of=date(2024, 5, 1), executed_at=datetime(2024, 5, 1, 2))
 
-MALFORMED = """4/01/2024,1.72938E+18,Brush,Shop A,Beauty,Hair,Combs,"24,157","$305,785.10",$12.66,-42%
+MALFORMED = """4/01/2024,1.72938E+18,Brush,Shop A,Care,Hair,Combs,"24,157","$305,785.10",$12.66,-42%
 invalid-date,bad-id,Product with Issues,,,,,-100,$-50.00,$0.00,5000%
 ,,,Shop only,,,,,,,
-4/01/2024,9.87654E+17,Copy,Shop B,Beauty,Makeup,Tools,100,$1000.00,$10.00,5%
-4/01/2024,9.87654E+17,Copy,Shop B,Beauty,Makeup,Tools,100,$1000.00,$10.00,5%"""
+4/01/2024,9.87654E+17,Copy,Shop B,Care,Makeup,Tools,100,$1000.00,$10.00,5%
+4/01/2024,9.87654E+17,Copy,Shop B,Care,Makeup,Tools,100,$1000.00,$10.00,5%"""
 
 
 def land(folder, day, body, name=None):
