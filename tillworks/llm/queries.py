@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillworks.llm import exact_dedup
+from tillworks.llm import exact_dedup, mixing
 from tillworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,27 @@ g AS (SELECT *, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size FRO
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""")
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query("op6_mix_sources", r"""
+WITH d AS (SELECT doc_id, source, md5('mix:' || doc_id) AS k,
+  CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+b AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight,
+  coalesce(sum(3 * source_size) OVER o, 0) AS cap_before, coalesce(sum(weight) OVER o, 0) AS weight_before
+  FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, weight * (total - cap_before) > 3 * source_size * (all_weight - weight_before) AS capped FROM b),
+t AS (SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE)
+  ELSE CAST(weight * (total - coalesce(sum(3 * source_size) FILTER (capped) OVER (), 0)) AS DOUBLE)
+    / CAST(sum(weight) FILTER (NOT capped) OVER () AS DOUBLE) END AS target FROM c),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
+p AS (SELECT d.doc_id, d.size, e.*, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) - epochs * source_size
+  ELSE 0 END AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken
+FROM p""")
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_words(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
