@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillworks.llm import exact_dedup, mixing
+from tillworks.llm import arc, exact_dedup, mixing, packing
 from tillworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,22 @@ FROM p""")
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_arc_to_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS o
+  FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN o = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN o = page_id THEN NULL ELSE o END AS refers_to FROM g""")
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.round_trip(table(spark, sf_dir, "pages")).select(
+        arc.key_of("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        arc.key_of("refers_to_id").cast("bigint").alias("refers_to"))
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
