@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import arc, exact_dedup, mixing, packing
+from tillworks.llm import arc, exact_dedup, mixing, packing, wavelet
 from tillworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,12 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_wavelet_tokens")
+def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.encode_and_read(table(spark, sf_dir, "documents"), VOCABULARY).select(
+        "doc_id", "start", "n_tokens", "ids_crc32")
