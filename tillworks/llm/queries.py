@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import arc, exact_dedup, mixing, packing, wavelet
+from tillworks.llm import arc, crf, exact_dedup, mixing, packing, wavelet
 from tillworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,10 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_and_read(table(spark, sf_dir, "documents"), VOCABULARY).select(
         "doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op9_crf_toxicity")
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", F.col("predicted").cast("int").alias("predicted"),
+                        F.expr("concat_ws(',', transform(spans, s -> concat(s.start, ':', s.end)))").alias("spans"))
