@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
 Training.  Labels say which documents are toxic, not which words, so words of the training sample are tagged first: a word
-or a productive stem (first bytes shared by several words) marks a span when it occurs in toxic documents almost alone and
-more often than chance allows over all candidates.  Near copies count once: documents are weighted by one over the
+or a productive stem (first bytes shared by several words) marks a span when most of its documents are toxic, and more
+of them than chance allows over all candidates (a large-deviation bound); only toxic documents get marks.  Near copies count once: documents are weighted by one over the
 number of those that share a minimal shingle hash.  The chain (tags: clean, toxic) is then fitted to the tagged words by
 gradient ascent on its log-likelihood, expectations coming from the forward-backward recursion.
 
@@ -35,7 +35,7 @@ SAMPLE = {0: 8_000, 1: 3_000}
 SAMPLE_BYTES = 16_384
 STEMS = (4, 5, 6, 7)
 STEM_WORDS = 5
-PURITY = 0.95
+PURITY = 0.5
 COMMON = 200
 SPAN = 0.5
 STEPS = 60
@@ -180,8 +180,9 @@ def train(sample: pd.DataFrame) -> Model:
             productive = np.isin(names, shared[n >= STEM_WORDS])
             names, bad, good = names[productive], bad[productive], good[productive]
         if len(names):
-            least = (math.log(len(names)) + math.log(100)) / -math.log(base)
-            marks.append(names[(bad >= least) & (bad >= PURITY * (bad + good))])
+            share = np.clip(bad / (bad + good), 1e-9, 1 - 1e-9)
+            surprise = (bad + good) * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+            marks.append(names[(share >= PURITY) & (surprise >= math.log(len(names)) + math.log(100))])
     marks = np.unique(np.concatenate(marks))
     features = np.unique(np.concatenate([marks, common]))
     if not len(features):
