@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillworks.llm.common import bounded_batches
+from tillworks.llm.words import FOLD, LETTER, MARK, SPACE, slices, text_bytes
 from tillworks.session import scratch
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 BLOCK = 512
 MAGIC = b"WVM1"
 
@@ -144,8 +146,9 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """Ids of texts.  No token of this vocabulary crosses white space, so the ids of a text are those of its words one after
-    the other; words already seen come from a cache of bounded size."""
+    """Ids of texts.  Tokens of this vocabulary never cross white space, nor the place where an ASCII letter meets ASCII
+    punctuation, and case is folded, so the ids of a text are those of its pieces one after the other.  Arrow tells the
+    distinct pieces of a batch; those not seen before go to the tokenizer, the others come from a cache of bounded size."""
 
     def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks of an executor side by side
@@ -153,17 +156,41 @@ class Encoder:
 
         self.tokenizer, self.cache_words, self.cache = Tokenizer.from_file(vocabulary), cache_words, {}
 
-    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode().split() for t in texts]
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.cache) > self.cache_words:
             self.cache = {}
-        new = list({w for words in split for w in words}.difference(self.cache))
+        new = [w for w in pieces if w not in self.cache]
         for at in range(0, len(new), 10_000):
             part = new[at:at + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.cache.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, found, strict=True))
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+            self.cache.update((w, array("I", x.ids).tobytes()) for w, x in zip(part, found, strict=True))
+        return [self.cache[w] for w in pieces]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; first id of each text and the end)."""
+        data, offsets = text_bytes(texts)
+        plain = b"<|" not in data.tobytes()  # special tokens are told by case and hold marks
+        if plain:
+            data = FOLD[data]
+        inside = ~SPACE[data]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | (LETTER[data[:-1]] & MARK[data[1:]]) if plain else ~inside[:-1]
+        begins = offsets[:-1][offsets[:-1] < len(data)]
+        first[begins] = inside[begins]
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        places = np.append(np.cumsum(inside)[starts] - 1, inside.sum()).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+            None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
+        known = self._ids(pieces.dictionary.to_pylist())
+        which = pieces.indices.to_numpy(zero_copy_only=False)
+        sizes = np.array([len(x) // 4 for x in known], np.int64)
+        flat = np.frombuffer(b"".join(known), "<u4")
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n) + np.arange(ends[-1])]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -201,9 +228,10 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
 
         coder = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                for k, x in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist()), strict=True):
+            for at, to in slices(batch.column(1)):
+                some = batch.slice(at, to - at)
+                found, first = coder.encode(some.column(1))
+                for k, x in zip(some.column(0).to_pylist(), np.split(found, first[1:-1]), strict=True):
                     if held and held + len(x) + len(tail) > shard_tokens:
                         yield flush()
                         shard, start, keys, ids, held = shard + 1, start + held, [], [], 0

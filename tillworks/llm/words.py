@@ -19,6 +19,8 @@ _BYTES = np.arange(256)
 SPACE = np.isin(_BYTES, [0x20, *range(0x09, 0x0E)])
 #: Words of letters and digits: all other ASCII separates them, bytes of longer characters belong to them.
 NO_LETTER = (_BYTES < 128) & ~np.isin(_BYTES, list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+LETTER = ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122))
+MARK = (_BYTES > 32) & (_BYTES < 127) & ~LETTER & ~((_BYTES >= 48) & (_BYTES <= 57))
 FOLD = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 
 
@@ -100,7 +102,7 @@ def words(texts: pa.Array, separators: np.ndarray = SPACE) -> Words:
     return Words(starts, ends, np.searchsorted(starts, offsets), data, offsets, sums)
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20):
+def slices(texts: pa.Array, most_bytes: int = 8 << 20):
     """(first, last) row ranges of a column that hold about so many bytes, or one row if that is longer."""
     sizes = np.diff(text_bytes(texts)[1])
     at = 0
