@@ -31,8 +31,8 @@ from tillworks.llm.common import bounded_batches
 from tillworks.llm.sample import held_out, labelled_sample
 from tillworks.llm.words import NO_LETTER, Words, mix, slices, words
 
-SAMPLE = {0: 8_000, 1: 3_000}
-SAMPLE_BYTES = 16_384
+SAMPLE = {0: 4_000, 1: 2_000}
+SAMPLE_BYTES = 8_192
 STEMS = (4, 5, 6, 7)
 STEM_WORDS = 5
 PURITY = 0.5
@@ -41,7 +41,7 @@ SPAN = 0.5
 STEPS = 60
 RATE = 0.3
 L2 = 1e-4
-MARKED = 1_500  # toxic, and as many clean, documents that the chain itself is fitted to
+MARKED = 1_200  # toxic, and as many clean, documents that the chain itself is fitted to
 
 
 @dataclass
@@ -127,17 +127,28 @@ class Chains:
         return p, (scores / scores.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
-def _copy_weights(w: Words, hashes: np.ndarray) -> np.ndarray:
+def _sample_features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """(feature hashes by kind, first word of each document and the end), a megabyte of text at a time."""
+    kinds, sizes = [[] for _ in range(1 + len(STEMS))], [np.zeros(1, np.int64)]
+    for a, b in slices(texts, 1 << 20):
+        w = words(texts.slice(a, b - a), NO_LETTER)
+        for held, hashes in zip(kinds, _feature_hashes(w), strict=True):
+            held.append(hashes)
+        sizes.append(np.diff(w.docs))
+    return [np.concatenate(k) for k in kinds], np.cumsum(np.concatenate(sizes))
+
+
+def _copy_weights(docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """One over the number of sample documents that share a minimal hash of three words (two hashes; the larger group
     counts)."""
-    n = len(w.docs) - 1
+    n = len(docs) - 1
     joined = hashes.copy()
     joined[:-1] = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
     joined[:-2] = mix(joined[:-2] + hashes[2:] * np.uint64(5))
     size = np.ones(n)
-    some = np.diff(w.docs) > 0
+    some = np.diff(docs) > 0
     for salt in (1, 2):
-        least = np.minimum.reduceat(mix(joined + np.uint64(salt)), w.docs[:-1][some])
+        least = np.minimum.reduceat(mix(joined + np.uint64(salt)), docs[:-1][some])
         _, group, count = np.unique(least, return_inverse=True, return_counts=True)
         size[some] = np.maximum(size[some], count[group])
     return 1 / size
@@ -163,19 +174,18 @@ def train(sample: pd.DataFrame) -> Model:
     if not 0 < toxic.sum() < len(toxic):
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros(2), np.zeros((2, 2)), np.zeros(3), share)
-    w = words(pa.array(sample["text"]), NO_LETTER)
-    kinds = _feature_hashes(w)
-    doc = w.doc_of()
-    weight = _copy_weights(w, kinds[0])
+    kinds, all_docs = _sample_features(pa.array(sample["text"]))
+    doc = np.repeat(np.arange(len(toxic)), np.diff(all_docs))
+    weight = _copy_weights(all_docs, kinds[0])
     base = (weight * toxic).sum() / weight.sum()
     marks, common = [], np.zeros(0, np.uint64)
     for number, hashes in enumerate(kinds):
         names, bad, good = _evidence(doc, hashes, toxic, weight)
         if number == 0:
             common = names[np.argsort(-(bad + good))[:COMMON]]
-            known = names
+            first_place = np.unique(hashes, return_index=True)[1]
         else:  # stems that several words share
-            stem = hashes[np.searchsorted(kinds[0], known, sorter=np.argsort(kinds[0]))]
+            stem = hashes[first_place]
             shared, n = np.unique(stem[stem != 0], return_counts=True)
             productive = np.isin(names, shared[n >= STEM_WORDS])
             names, bad, good = names[productive], bad[productive], good[productive]
@@ -200,7 +210,7 @@ def train(sample: pd.DataFrame) -> Model:
     part[chosen] = True
     inside = part[doc]
     moved = np.cumsum(inside) - 1
-    docs = np.concatenate([[0], np.cumsum(np.diff(w.docs)[part])])
+    docs = np.concatenate([[0], np.cumsum(np.diff(all_docs)[part])])
     chains = Chains(docs)
     keep = inside[place]
     place_in, feature_in, y = moved[place[keep]], feature[keep], tag[inside]
@@ -229,7 +239,7 @@ def train(sample: pd.DataFrame) -> Model:
                                    params[-4:].reshape(2, 2).copy())
     model = Model(features, weights, bias, start, moves, np.zeros(3))
     emission = bias + np.bincount(place, weights[feature], len(doc))
-    x = _document_values(Chains(w.docs).marginals(emission, start, moves), w.docs)
+    x = _document_values(Chains(all_docs).marginals(emission, start, moves), all_docs)
     model.document = _logistic(x, toxic, weight)
     return model
 
