@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts):
+            for a, b in slices(texts, 4 << 20):
                 part = texts.slice(a, b - a)
                 if model.constant is not None:
                     scores, found = np.full(b - a, model.constant), [[]] * (b - a)

@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         fitted = shared.value
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts):
+            for a, b in slices(texts, 4 << 20):
                 if fitted.constant is not None:
                     scores = np.full(b - a, fitted.constant)
                 else:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import arc, crf, exact_dedup, factorisation, mixing, packing, wavelet
+from tillworks.llm import arc, crf, exact_dedup, factorisation, mixing, packing, sanitise, wavelet
 from tillworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = factorisation.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", F.col("predicted").cast("int").alias("predicted"))
+
+
+@query("op1_sanitise_pii")
+def op1_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.report(table(spark, sf_dir, "documents"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +18,15 @@ def held_out(key: str = "doc_id") -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], longest: int,
                     key: str = "doc_id", text: str = "text") -> pd.DataFrame:
-    """(text, label): at most ``most[c]`` distinct texts of class c and at most ``longest`` bytes, by hash order of the text.
-    Both bounds hold for training only; scoring reads every text whole."""
+    """(text, label): the distinct texts of at most ``most[c]`` rows of class c, by hash order of the id, that are not empty
+    and not longer than ``longest`` bytes.  Both bounds hold for training only; scoring reads every text whole.  The rows
+    are chosen among the labels, so what is broadcast to the scan of the texts is at most the sample's ids."""
     marks = labels.where(F.col(label).isin(list(most)) & ~held_out(key)).select(
-        F.col(key).alias("_key"), F.col(label).cast("int").alias("label"))
-    known = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).where(
+        F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).distinct()
+    at = F.xxhash64("_key")
+    chosen = [marks.where(F.col("label") == c).orderBy(at, "_key").limit(n) for c, n in sorted(most.items())]
+    chosen = reduce(DataFrame.unionByName, chosen)
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).where(
         (F.octet_length("text") > 0) & (F.octet_length("text") <= longest))
-    rows = known.join(marks, "_key").select("text", "label", F.xxhash64("text").alias("at"))
-    chosen = [rows.where(F.col("label") == c).orderBy("at").limit(n) for c, n in sorted(most.items())]
-    frame = pd.concat([c.toPandas() for c in chosen], ignore_index=True)
-    return frame.drop_duplicates(["at", "label"]).sort_values(["at", "label"])[["text", "label"]].reset_index(drop=True)
+    frame = texts.join(F.broadcast(chosen), "_key").select("text", "label").toPandas()
+    return frame.drop_duplicates().sort_values(["label", "text"]).reset_index(drop=True)
