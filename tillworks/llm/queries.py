@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import arc, crf, exact_dedup, factorisation, mixing, packing, sanitise, wavelet
+from tillworks.llm import arc, covertree, crf, exact_dedup, factorisation, mixing, packing, sanitise, wavelet
 from tillworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op3_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_sanitise_pii")
 def op1_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_cover_tree_dedup")
+def op2_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
