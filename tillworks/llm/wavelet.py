@@ -55,7 +55,7 @@ class WaveletMatrix:
             per_block = np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
             planes.append(words)
             ones.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(per_block, dtype=np.uint32)]))
-            seq = np.concatenate([seq[~bit], seq[bit]])
+            seq = np.concatenate([seq[np.flatnonzero(~bit)], seq[np.flatnonzero(bit)]])
             zeros.append(n - int(per_block.sum()))
         return cls(n, planes, ones, zeros)
 
@@ -118,8 +118,8 @@ class WaveletMatrix:
         for step, (words, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bit = np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(values)
-            above[~bit] = values[:z]
-            above[bit] = values[z:] | values.dtype.type(1 << step)
+            above[np.flatnonzero(~bit)] = values[:z]
+            above[np.flatnonzero(bit)] = values[z:] | values.dtype.type(1 << step)
             values = above
         return values
 
