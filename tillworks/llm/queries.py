@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import arc, covertree, crf, exact_dedup, factorisation, mixing, packing, sanitise, wavelet
+from tillworks.llm import arc, covertree, crf, exact_dedup, factorisation, lshforest, mixing, packing, sanitise, wavelet
 from tillworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op1_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_cover_tree_dedup")
 def op2_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_lsh_forest_join")
+def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(table(spark, sf_dir, "documents"))
