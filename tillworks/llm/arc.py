@@ -106,7 +106,8 @@ def warc_record(header: dict[str, str], body: bytes, key: object, original: obje
              f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}",
              f"Content-Type: {'application/http; msgtype=response' if head else header['mime']}"]
     if revisit:
-        lines += [f"WARC-Refers-To: {record_id(original, digest)}", f"WARC-Profile: {REVISIT_PROFILE}"]
+        lines += [f"WARC-Refers-To: {record_id(original, digest)}", f"WARC-Profile: {REVISIT_PROFILE}",
+                  f"X-Payload-Length: {len(payload)}"]  # an HTTP head need not tell it
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]) + block.decode()
 
 
@@ -201,7 +202,7 @@ WARC_SCHEMA = ("record_type string, record_id string, refers_to_id string, targe
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the WARC files.  Digests of whole records are computed from the payload and checked against
-    the header; those of revisits and their payload length come from the WARC and HTTP headers."""
+    the header; those of revisits and their payload length come from the header."""
     names = [c.split(" ")[0] for c in WARC_SCHEMA.split(", ")]
 
     def parse(batches):
@@ -209,10 +210,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows = []
                 for h, block in parse_warc(content.as_py()):
-                    head, payload = payload_of(block)
+                    payload = payload_of(block)[1]
                     stated = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     if h["WARC-Type"] == "revisit":
-                        size = int(head.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0] or 0)
+                        size = int(h["X-Payload-Length"])
                     else:
                         size = len(payload)
                         if hashlib.sha1(payload).hexdigest() != stated:

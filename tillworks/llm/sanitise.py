@@ -43,28 +43,49 @@ SUPPORT = 2
 GENERALISE = 0.6
 REMOVE = 0.9
 TERM_BITS = 22
+CHUNK = 64
+#: So many spans on either side are looked at to tell whether a word is part of one.
+NEIGHBOURS = 2 * WINDOW
 SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(text: Column, pattern: str, kind: int, offset: Column | int = 0) -> Column:
     """Leftmost matches that do not overlap, as an array of (kind, start, end, value), in code points, end exclusive.
-    The places follow from the lengths of the matches and of the pieces between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    The places follow from the lengths of the matches and of the pieces between them, summed in chunks: growing one array
+    over all matches of a long text would take time with the square of their number."""
+    empty = F.expr(f"cast(array() as array<{SPAN}>)")
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
-    start = F.lit(0) + offset
+    steps = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(
+        g.alias("gap"), m.alias("value")))
+    steps = F.filter(steps, lambda s: s["value"].isNotNull())
 
-    def step(acc: Column, item: Column) -> Column:
-        begin = acc["at"] + item["gap"]
-        end = begin + F.length(item["value"])
-        span = F.struct(F.lit(kind).alias("kind"), (begin + start).cast("int").alias("start"),
-                        (end + start).cast("int").alias("end"), item["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def cut(all_steps: Column) -> Column:
+        last = F.floor((F.size(all_steps) - 1) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(all_steps, c * CHUNK + 1, CHUNK))
 
-    steps = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
-    steps = F.filter(steps, lambda s: s["value"].isNotNull())
-    some = F.aggregate(steps, zero, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), some).otherwise(zero["out"])
+    def begins(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + s["gap"] + F.length(s["value"])))
+        zero = F.struct((F.lit(0) + offset).cast("int").alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(sizes, zero, lambda a, n: F.struct(
+            (a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def place(chunk: Column, first: Column) -> Column:
+        def step(acc: Column, item: Column) -> Column:
+            begin = acc["at"] + item["gap"]
+            end = begin + F.length(item["value"])
+            span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), item["value"].alias("value"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(chunk, F.struct(first.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    found = _let(_let(steps, cut), lambda chunks: _let(begins(chunks), lambda first: F.flatten(F.transform(
+        chunks, lambda c, i: place(c, first[i])))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
@@ -125,27 +146,24 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``, without the text: row_no, key, spans (base), near (words around them)."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("spans", base_spans(F.col("text")))
-    near = F.when(F.size("spans") > 0, F.flatten(F.transform("spans", lambda s: _near(F.col("text"), s, F.col("spans")))))
+    ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] == b["start"], a["end"] - b["end"]).otherwise(
+        a["start"] - b["start"]))
+    near = F.when(F.size("spans") > 0, _let(ordered, lambda spans: F.flatten(F.transform(spans, lambda s, i: _near(
+        F.col("text"), s, F.slice(spans, F.greatest(i - NEIGHBOURS + 1, F.lit(1)), 2 * NEIGHBOURS + 1))))))
     return rows.select(F.monotonically_increasing_id().alias("row_no"), "key", "spans", near.alias("near"))
 
 
 def disclosure(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT,
                bits: int = TERM_BITS) -> DataFrame:
     """(term, kind, value, n_both, n_term, n_value, disclosed) of pairs seen in ``support`` contexts or more."""
-    # the first mention of a pair in a row counts for the number of documents
     pair = ["kind", "value", "term"]
-    first = F.transform("near", lambda n, i: F.struct(
-        n["term"].alias("term"), n["kind"].alias("kind"), n["value"].alias("value"), n["context"].alias("context"),
-        F.when(~F.exists(F.slice(F.col("near"), 1, i), lambda m: (m["term"] == n["term"]) & (m["kind"] == n["kind"])
-                         & (m["value"] == n["value"])), 1).otherwise(0).alias("fresh")))
-    mentions = found.where(F.size("near") > 0).select(F.inline(first))
-    together = (mentions.groupBy(*pair, "context").agg(F.sum("fresh").alias("n"))
-                .groupBy(*pair).agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts"))
-                .where(F.col("contexts") >= support))
+    mentions = found.where(F.size("near") > 0).select("row_no", F.inline("near"))
+    together = mentions.groupBy(*pair).agg(
+        F.count_distinct("row_no").alias("n_both"), F.count_distinct("context").alias("contexts")).where(
+        F.col("contexts") >= support)
     together = staged(together, "sanitise-pairs")
-    values = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(
-        s["kind"].alias("kind"), s["value"].alias("value"))))).alias("v")).groupBy("v.kind", "v.value").agg(
-        F.count(F.lit(1)).alias("n_value"))
+    values = found.select("row_no", F.inline("spans")).groupBy("kind", "value").agg(
+        F.count_distinct("row_no").alias("n_value"))
     wanted = together.select("term").distinct()
     lower = F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0)), F.lower)
     said = docs.select(F.explode(F.array_distinct(lower)).alias("term"))

@@ -1,7 +1,8 @@
 """Token ids in wavelet matrices: one succinct, compressed file per shard that answers access, count and position queries.
 
-A shard holds whole documents in key order as one sequence of ids.  Level by level the sequence is split by one bit of
-the ids, highest first, and stably rearranged; only the bits are kept, with a directory of ones per 512 bits.  Token
+A shard holds whole documents in key order as one sequence of ids, numbered by rank among the ids that occur in it, so it has
+as few levels as its alphabet needs.  Level by level the sequence is split by one bit of
+the ranks, highest first, and stably rearranged; only the bits are kept, with a directory of ones per 512 bits.  Token
 access, the number of occurrences in a range and the place of the k-th occurrence walk the levels once.
 
 Rows are range-partitioned by key and sorted, so shards are in key order and as large as ``SHARD_TOKENS`` wants, or one
@@ -33,19 +34,24 @@ END_ID = 1
 SHARD_TOKENS = 1 << 20
 CACHE_WORDS = 800_000
 BLOCK = 512
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 
 
 class WaveletMatrix:
-    def __init__(self, n: int, planes: list[np.ndarray], ones: list[np.ndarray], zeros: Sequence[int]):
-        """planes: 64-bit words per level; ones: set bits before each block; zeros: clear bits per level."""
-        self.n, self.planes, self.ones, self.zeros = n, planes, ones, list(zeros)
+    def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray], ones: list[np.ndarray],
+                 zeros: Sequence[int]):
+        """alphabet: the ids that occur, ascending; planes: 64-bit words per level; ones: set bits before each block;
+        zeros: clear bits per level."""
+        self.n, self.alphabet, self.planes, self.ones, self.zeros = n, alphabet, planes, ones, list(zeros)
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         n = len(ids)
-        levels = max(1, int(ids.max()).bit_length()) if n else 1
-        seq = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+        used = np.zeros(int(ids.max()) + 1 if n else 1, bool)
+        used[ids] = True
+        alphabet = np.flatnonzero(used).astype("<u4")
+        levels = max(1, (len(alphabet) - 1).bit_length())
+        seq = (np.cumsum(used) - 1).astype(np.uint16 if levels <= 16 else np.uint32)[ids]
         planes, ones, zeros = [], [], []
         for level in reversed(range(levels)):
             bit = (seq >> level) & 1 == 1
@@ -57,7 +63,7 @@ class WaveletMatrix:
             ones.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(per_block, dtype=np.uint32)]))
             seq = np.concatenate([seq[np.flatnonzero(~bit)], seq[np.flatnonzero(bit)]])
             zeros.append(n - int(per_block.sum()))
-        return cls(n, planes, ones, zeros)
+        return cls(n, alphabet, planes, ones, zeros)
 
     def _bit(self, level: int, i: int) -> int:
         return int(self.planes[level][i >> 6]) >> (i & 63) & 1
@@ -88,15 +94,16 @@ class WaveletMatrix:
             bit, ones = self._bit(level, i), self._rank1(level, i)
             value = value << 1 | bit
             i = z + ones if bit else i - ones
-        return value
+        return int(self.alphabet[value])
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
         levels = len(self.zeros)
-        if symbol >> levels:
+        rank = int(np.searchsorted(self.alphabet, symbol))
+        if rank == len(self.alphabet) or self.alphabet[rank] != symbol:
             return 0, 0
         for level, z in enumerate(self.zeros):
             a, b = self._rank1(level, lo), self._rank1(level, hi)
-            lo, hi = (z + a, z + b) if symbol >> (levels - 1 - level) & 1 else (lo - a, hi - b)
+            lo, hi = (z + a, z + b) if rank >> (levels - 1 - level) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def count(self, symbol: int, lo: int = 0, hi: int | None = None) -> int:
@@ -106,9 +113,9 @@ class WaveletMatrix:
 
     def select(self, symbol: int, k: int) -> int:
         """Position of the k-th occurrence, from 0."""
-        at = self._range(symbol, 0, self.n)[0] + k
+        at, rank = self._range(symbol, 0, self.n)[0] + k, int(np.searchsorted(self.alphabet, symbol))
         for level in reversed(range(len(self.zeros))):
-            bit = symbol >> (len(self.zeros) - 1 - level) & 1
+            bit = rank >> (len(self.zeros) - 1 - level) & 1
             at = self._select(level, at - self.zeros[level] if bit else at, bit)
         return at
 
@@ -121,18 +128,20 @@ class WaveletMatrix:
             above[np.flatnonzero(~bit)] = values[:z]
             above[np.flatnonzero(bit)] = values[z:] | values.dtype.type(1 << step)
             values = above
-        return values
+        return self.alphabet[values]
 
     def dump(self) -> bytes:
-        head = MAGIC + struct.pack("<QB", self.n, len(self.zeros)) + np.array(self.zeros, "<u4").tobytes()
+        head = MAGIC + struct.pack("<QIB", self.n, len(self.alphabet), len(self.zeros))
+        head += self.alphabet.tobytes() + np.array(self.zeros, "<u4").tobytes()
         return head + b"".join(p.tobytes() + o.astype("<u4").tobytes() for p, o in zip(self.planes, self.ones, strict=True))
 
     @classmethod
     def load(cls, data: bytes) -> WaveletMatrix:
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix")
-        n, levels = struct.unpack_from("<QB", data, 4)
-        at = 13
+        n, size, levels = struct.unpack_from("<QIB", data, 4)
+        alphabet = np.frombuffer(data, "<u4", size, 17)
+        at = 17 + 4 * size
         zeros = np.frombuffer(data, "<u4", levels, at).tolist()
         at += 4 * levels
         blocks = -(-max(n, 1) // BLOCK)
@@ -142,7 +151,7 @@ class WaveletMatrix:
             at += blocks * BLOCK // 8
             ones.append(np.frombuffer(data, "<u4", blocks + 1, at))
             at += 4 * (blocks + 1)
-        return cls(n, planes, ones, zeros)
+        return cls(n, alphabet, planes, ones, zeros)
 
 
 class Encoder:
@@ -228,7 +237,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
 
         coder = encoder(vocabulary)
         for batch in batches:
-            for at, to in slices(batch.column(1)):
+            for at, to in slices(batch.column(1), 16 << 20):
                 some = batch.slice(at, to - at)
                 found, first = coder.encode(some.column(1))
                 for k, x in zip(some.column(0).to_pylist(), np.split(found, first[1:-1]), strict=True):
@@ -245,8 +254,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     ordered = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", "tie")
                .sortWithinPartitions("key", "tie", "text").select("key", "text"))
-    (ordered.mapInArrow(encode, SHARDS_DDL).write.option("compression", "zstd").option("maxRecordsPerFile", 1)
-     .parquet(path))
+    (ordered.mapInArrow(encode, SHARDS_DDL).write.option("compression", "zstd")
+     .option("parquet.compression.codec.zstd.level", 1).option("maxRecordsPerFile", 1).parquet(path))
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -269,7 +278,7 @@ def documents(shards: DataFrame) -> DataFrame:
     def decode(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids = WaveletMatrix.load(row["matrix"]).decode().astype("<u4")
+                ids = WaveletMatrix.load(row["matrix"]).decode()
                 ends = np.cumsum(row["lengths"], dtype=np.int64)
                 starts = ends - row["lengths"]
                 n = len(ends)
