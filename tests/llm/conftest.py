@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 CLASHES = ["row", "key", "id", "score", "kept", "size", "start", "n", "value", "cell", "grp", "gone", "may", "copies",
            "source_no", "order_key", "cut_source", "last_key", "epochs", "_len", "_full", "_place", "_bit_row", "_bit_set",
            "spans", "near", "term", "lo", "hi", "vector", "record", "digest", "_key", "at", "keep_id"]
-LONG = "lorem " * 60_000 + "x" * 200_000 + " 1" * 30_000
+LONG = "lorem " * 60_000 + "x" * 4_000 + " 1" * 30_000
 TWIN = " ".join(f"word{i}" for i in range(60))
 
 DOCUMENTS = [

@@ -143,8 +143,8 @@ def plain_spans(text):
 TRICKY = ["a@b.c_d@e.f", "x@y.z@w.v.u", "@a.b a@.b a@b. a@b..c", "%+-@-.-", "1.2.3.4.5.6.7.8", "256.1.1.1 0255.1.1.1 1.2.3",
           "00000000000000000000255.1.1.1", "99999999999.1.1.1", "4111 1111-1111 1111 4111111111111111", "4111  111111111111",
           "0" * 13, "0" * 19, "0" * 20, "1" * 12, "+1 (555) 123-4567", "+1 2", "+12345678", "+123456789 +1234567890123456",
-          "++1 22 33 44 55 66 7)", "é𝄞 +33 1 23 45 67 89 é a@b.co", "10.0.0.1@x.y", "+1.2.3.4.5.6.7.8.9", "4" * 100_000,
-          "a" * 100_000, "a@" * 30_000, "1." * 30_000, "1 " * 40_000, "+1" + "(" * 60_000, "a.b@c.d " * 200, ""]
+          "++1 22 33 44 55 66 7)", "é𝄞 +33 1 23 45 67 89 é a@b.co", "10.0.0.1@x.y", "+1.2.3.4.5.6.7.8.9", "4" * 3_000,
+          "a" * 3_000, "a@" * 30_000, "1." * 30_000, "1 " * 40_000, "+1" + "(" * 60_000, "a.b@c.d " * 200, ""]
 
 
 def test_sanitise_spans(spark, documents, no_documents):
