@@ -56,10 +56,11 @@ def word_count(text: Column) -> Column:
 def bit_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """The keys of a frame as a set of ``2**bits`` bits, 4 KB a row: never larger than ``2**bits / 8`` bytes whatever
     the number of keys, so it may be broadcast.  A key tests positive when another one shares its bit; users of the
-    filter must stay right then."""
+    filter must stay right then.  Keys are dealt by bitmap row first, 8 bytes each: partial bitmaps of every task would
+    be 4 KB each instead."""
     place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    return (keys.select(place.alias("_place"))
-            .groupBy(F.shiftright("_place", ROW_BITS).alias("_bit_row"))
+    return (keys.select(place.alias("_place")).withColumn("_bit_row", F.shiftright("_place", ROW_BITS))
+            .repartition("_bit_row").groupBy("_bit_row")
             .agg(F.bitmap_construct_agg(F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))).alias("_bit_set")))
 
 
