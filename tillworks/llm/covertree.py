@@ -33,6 +33,7 @@ PIVOTS = 2_048
 BLOCK = 2_048
 SLACK = 1e-7  # on distances: pruning must never lose a pair to rounding
 LEVELS = 12
+DENSE = 16
 
 
 class CoverTree:
@@ -138,10 +139,13 @@ def dual_pairs(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> tuple[n
             if same:  # children of one node meet each other twice
                 once = ~one | (u <= v)
                 u, v = u[once], v[once]
+        xa, xb = a.x[a.nodes[la]], b.x[b.nodes[lb]]
+        # where most nodes of a level meet, all of them in one product cost less than pair by pair
+        dots = xa @ xb.T if len(u) * DENSE >= len(xa) * len(xb) else None
         alive = []
         for at in range(0, len(u), 1 << 18):
             p, q = u[at:at + (1 << 18)], v[at:at + (1 << 18)]
-            dot = np.einsum("ij,ij->i", a.x[a.nodes[la][p]], b.x[b.nodes[lb][q]])
+            dot = np.einsum("ij,ij->i", xa[p], xb[q]) if dots is None else dots[p, q]
             alive.append(np.sqrt(np.maximum(2 - 2 * dot, 0)) <= a.radii[la][p] + b.radii[lb][q] + reach)
         alive = np.concatenate(alive) if alive else np.zeros(0, bool)
         u, v = u[alive], v[alive]
