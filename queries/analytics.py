@@ -1,6 +1,6 @@
 """Views and saved queries."""
 
-from queries.base import (CFG, REV, UNITS, YEAR, dmean, query, sales_curated, table, with_curated)
+from queries.base import (CFG, REV, UNITS, YEAR, dmean, query, sales_curated, sales_stored, table, with_curated)
 from pyspark.sql import functions as F
 
 from tillworks.operators import analytics as an
@@ -65,7 +65,7 @@ FROM sales_curated WHERE month >= DATE '2001-11-04' - INTERVAL 6 MONTH AND data_
 GROUP BY product_name, shop_name, l2_category
 ORDER BY total_revenue DESC, product_name, shop_name, l2_category LIMIT 10"""))
 def a06(spark, sf_dir):
-    return an.top_products_recent(sales_curated(spark, sf_dir), CFG)
+    return an.top_products_recent(sales_stored(spark, sf_dir), CFG)
 
 
 @query("a06b_top_products_of_year", with_curated(f"""SELECT product_name, shop_name, l2_category, {REV} AS total_revenue,
@@ -73,7 +73,7 @@ def a06(spark, sf_dir):
 FROM sales_curated WHERE year = {YEAR} AND data_quality_score >= 0.95 GROUP BY product_name, shop_name, l2_category
 ORDER BY total_revenue DESC, product_name, shop_name, l2_category LIMIT 20"""))
 def a06b(spark, sf_dir):
-    return an.top_products_of_year(sales_curated(spark, sf_dir), YEAR)
+    return an.top_products_of_year(sales_stored(spark, sf_dir), YEAR)
 
 
 MONTHS = f"""SELECT year, month_num, {REV} AS total_revenue, {UNITS} AS total_items FROM sales_curated
@@ -91,7 +91,7 @@ def a07(spark, sf_dir):
   ROUND(CAST({REV} AS DOUBLE) * 100 / CAST(SUM({REV}) OVER () AS DOUBLE), 2) AS revenue_share_pct
 FROM sales_curated WHERE year = {YEAR} AND {Q70} GROUP BY l1_category, l2_category"""))
 def a08(spark, sf_dir):
-    return an.category_comparison(sales_curated(spark, sf_dir), YEAR)
+    return an.category_comparison(sales_stored(spark, sf_dir), YEAR)
 
 
 @query("a09_quality_issue_combinations", with_curated(f"""SELECT quality_flags, COUNT(*) AS record_count,
@@ -106,14 +106,14 @@ def a09(spark, sf_dir):
 FROM sales_curated WHERE quality_flags != '' AND month >= DATE '1999-04-01' GROUP BY quality_flags
 ORDER BY record_count DESC, quality_flags LIMIT 20"""))
 def a09b(spark, sf_dir):
-    return an.quality_issues_since(sales_curated(spark, sf_dir), "1999-04-01")
+    return an.quality_issues_since(sales_stored(spark, sf_dir), "1999-04-01")
 
 
 @query("a10_shop_category_matrix", with_curated(f"""SELECT shop_name, l2_category, COUNT(DISTINCT product_id) AS products,
   {UNITS} AS units_sold, {REV} AS total_revenue, {dmean("data_quality_score")} AS avg_quality
 FROM sales_curated WHERE year = {YEAR} AND {Q70} GROUP BY shop_name, l2_category HAVING SUM(revenue_usd) > 10000"""))
 def a10(spark, sf_dir):
-    return an.shop_category_matrix(sales_curated(spark, sf_dir), YEAR)
+    return an.shop_category_matrix(sales_stored(spark, sf_dir), YEAR)
 
 
 def _fresh(keys: str) -> str:
@@ -171,7 +171,7 @@ PRICE_CASE = """CASE WHEN avg_unit_price_usd < 10 THEN 'Budget (<$10)' WHEN avg_
   {dmean("avg_unit_price_usd")} AS avg_price
 FROM sales_curated WHERE data_quality_score >= 0.90 AND year = {YEAR} GROUP BY 1, 2"""))
 def a13(spark, sf_dir):
-    return an.price_tier_analysis(sales_curated(spark, sf_dir), YEAR)
+    return an.price_tier_analysis(sales_stored(spark, sf_dir), YEAR)
 
 
 def run_reports(spark, sf_dir):
@@ -256,7 +256,7 @@ WHERE month >= DATE '2001-11-04' - INTERVAL 6 MONTH UNION ALL
 SELECT 'days', COUNT(*) FROM sales_curated WHERE month >= DATE '2001-11-04' - 7 UNION ALL
 SELECT 'year', COUNT(*) FROM sales_curated WHERE year = 2001"""))
 def f06(spark, sf_dir):
-    sales = sales_curated(spark, sf_dir)
+    sales = sales_stored(spark, sf_dir)
     spans = {"months": an.since(sales, CFG, months=6), "days": an.since(sales, CFG, days=7),
              "year": sales.where(F.col("year") == CFG.as_of.year)}
     counted = [d.agg(an.count_rows().alias("records")).select(F.lit(n).alias("span"), "records")
@@ -267,7 +267,7 @@ def f06(spark, sf_dir):
 @query("f07_current_and_previous_month", with_curated("""SELECT year, month_num, COUNT(*) AS records FROM sales_curated
 WHERE year * 12 + month_num BETWEEN 2001 * 12 + 10 AND 2001 * 12 + 11 GROUP BY year, month_num"""))
 def f07(spark, sf_dir):
-    recent = an.current_and_previous_month(sales_curated(spark, sf_dir), CFG)
+    recent = an.current_and_previous_month(sales_stored(spark, sf_dir), CFG)
     return recent.groupBy("year", "month_num").agg(an.count_rows().alias("records"))
 
 
@@ -276,7 +276,7 @@ def f07(spark, sf_dir):
 WHERE mom_growth_pct < -0.05 AND data_quality_score >= 0.90 AND month >= DATE '2001-11-04' - INTERVAL 3 MONTH
 ORDER BY mom_growth_pct, revenue_usd DESC, product_id, shop_name, month LIMIT 50"""))
 def f12(spark, sf_dir):
-    return an.declining(sales_curated(spark, sf_dir), CFG, "-0.05")
+    return an.declining(sales_stored(spark, sf_dir), CFG, "-0.05")
 
 
 @query("o01_ordered_output", with_curated("""SELECT l1_category, l2_category, MAX(mom_growth_pct) AS best

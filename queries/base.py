@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillworks import Config
-from tillworks.session import tune
+from tillworks.session import scratch, tune
+from tillworks.sources.tables import partitions
 
 AS_OF = date(2001, 11, 4)
 YEAR = 2000
@@ -38,16 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores (a small file is one split); else leave it alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     supplier = table(spark, sf_dir, "supplier")
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.join(part, lines.l_partkey == part.p_partkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
 
 
@@ -83,6 +78,28 @@ def sales_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_suppkey")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def sales_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The scored sales rows as a table partitioned by calendar month, written once per session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        folder = scratch(spark, "sales")
+        rows = sales_curated(spark, sf_dir).hint("rebalance", F.col("year"), F.col("month_num"))
+        rows.write.partitionBy("year", "month_num").parquet(folder)
+        _STORED[key] = folder
+    return _STORED[key]
+
+
+def sales_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(sales_folder(spark, sf_dir))
+
+
+def sales_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitions(spark, sales_folder(spark, sf_dir))
+
+
 # line number -> score, flags
 SCORES = {
     3: (0.95, "SUSPICIOUS_GROWTH"),

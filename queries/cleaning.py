@@ -277,10 +277,10 @@ def j05(spark, sf_dir):
 
 
 @query("p17_ascii_punctuation", """SELECT doc_id, replace(translate(t, '’‘“”—–', '''''""--'), '…', '...') AS t FROM (
-SELECT doc_id, '‘' || left(text, 60) || '’ — “' || source || '”… – x' AS t FROM documents)""")
+SELECT doc_id, '‘' || text || '’ — “' || source || '”… – x' AS t FROM documents)""")
 def p17(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    quoted = F.concat(F.lit("‘"), F.substring("text", 1, 60), F.lit("’ — “"), "source", F.lit("”… – x"))
+    quoted = F.concat(F.lit("‘"), "text", F.lit("’ — “"), "source", F.lit("”… – x"))
     return docs.select("doc_id", text.ascii_punctuation(quoted).alias("t"))
 
 

@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from queries.analytics import (TRENDS, quarantine, run_reports, with_quarantine, with_reports)
-from queries.base import CFG, YEAR, dmean, query, sales_curated, table, with_curated
+from queries.base import CFG, YEAR, dmean, query, sales_curated, sales_stored, table, with_curated
 from tillworks.operators import analytics as an
 from tillworks.operators import audit, quality
 from tillworks.schema import CURATED
@@ -156,7 +156,7 @@ def f09(spark, sf_dir):
 ORDER BY source_record_number, month, source_file, data_quality_score LIMIT 50"""))
 def f11(spark, sf_dir):
     return an.flag_drilldown(
-        sales_curated(spark, sf_dir), "INVALID_DATE",
+        sales_stored(spark, sf_dir), "INVALID_DATE",
         ["source_file", "source_record_number", "month", "quality_flags", "data_quality_score"], k=50,
         order=[("source_record_number", "asc"), ("month", "asc"), ("source_file", "asc"),
                ("data_quality_score", "asc")])
@@ -166,7 +166,7 @@ def f11(spark, sf_dir):
   data_quality_score FROM sales_curated WHERE list_contains(string_split(quality_flags, ','), 'SYNTHETIC_PRODUCT_ID')
   AND month >= DATE '1999-04-01'"""))
 def f11b(spark, sf_dir):
-    return an.flag_drilldown(sales_curated(spark, sf_dir), "SYNTHETIC_PRODUCT_ID",
+    return an.flag_drilldown(sales_stored(spark, sf_dir), "SYNTHETIC_PRODUCT_ID",
                              ["product_id", "product_name", "shop_name", "quality_flags", "data_quality_score"],
                              "1999-04-01")
 
@@ -214,16 +214,13 @@ def w09b(spark, sf_dir):
 
 
 @query("w10_suspicious_growth_review", with_curated(f"""SELECT product_name, shop_name, month, revenue_usd, mom_growth_pct,
-  prev_month_revenue FROM (
-  SELECT c.*, d.prev_month_revenue FROM sales_curated c JOIN (
-    SELECT product_id, month, LAG(r) OVER (PARTITION BY product_id ORDER BY month) AS prev_month_revenue FROM (
-      SELECT product_id, month, CAST(SUM(revenue_usd) AS DECIMAL(28,2)) AS r FROM sales_curated
-      WHERE quality_flags = 'SUSPICIOUS_GROWTH' AND year = {YEAR} GROUP BY product_id, month)) d
-  ON c.product_id = d.product_id AND c.month = d.month
-  WHERE c.quality_flags = 'SUSPICIOUS_GROWTH' AND c.year = {YEAR})
-ORDER BY abs(mom_growth_pct) DESC, product_id, month, shop_name, revenue_usd, mom_growth_pct LIMIT 50"""))
+  LAG(revenue_usd) OVER (PARTITION BY product_id ORDER BY month, shop_name, revenue_usd, mom_growth_pct,
+    source_record_number) AS prev_month_revenue
+FROM sales_curated WHERE list_contains(string_split(quality_flags, ','), 'SUSPICIOUS_GROWTH') AND year = {YEAR}
+ORDER BY abs(mom_growth_pct) DESC, product_id, month, shop_name, revenue_usd, mom_growth_pct, source_record_number
+LIMIT 50"""))
 def w10(spark, sf_dir):
-    return an.suspicious_growth_review(sales_curated(spark, sf_dir), YEAR)
+    return an.suspicious_growth_review(sales_stored(spark, sf_dir), YEAR)
 
 
 # -- changes between snapshots ---------------------------------------------------------------------------------------

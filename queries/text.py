@@ -10,10 +10,10 @@ from tillworks.operators import responses
 
 @query("t10_question_category", """SELECT conv_id, turn, CASE WHEN strpos(q, ' in ') > 0 THEN COALESCE(NULLIF(trim(rtrim(
   substr(q, strpos(q, ' in ') + 4), '?')), ''), q) ELSE q END AS category FROM (
-SELECT conv_id, turn, NULLIF(trim('What sells in ' || split_part(text, chr(10), 1) || '?', ' ' || chr(10)), '') AS q
+SELECT conv_id, turn, NULLIF(trim('What sells in ' || text || '?', ' ' || chr(10)), '') AS q
 FROM conversations)""")
 def t10(spark, sf_dir):
-    asked = F.concat(F.lit("What sells in "), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("?"))
+    asked = F.concat(F.lit("What sells in "), "text", F.lit("?"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.question_category(asked).alias("category"))
 
 
@@ -58,16 +58,19 @@ def t08(spark, sf_dir):
 
 @query("t07_normalised_responses", r"""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE source END AS intro,
   list_slice(list_concat(CASE doc_id % 4
-    WHEN 0 THEN [trim(a) || ' => ' || CASE WHEN trim(b) = '' THEN trim(a) ELSE trim(b) END, '=> ', trim(a) || ' => ' || trim(a)]
+    WHEN 0 THEN CASE WHEN length(ltrim(a)) < 80
+      THEN [trim(a) || ' => ' || CASE WHEN trim(b) = '' THEN trim(a) ELSE trim(b) END, '=> ', trim(a) || ' => ' || trim(a)]
+      ELSE [' => ' || trim(a || ': ' || b), '=> ', ' => ' || trim(a || ':')] END
     WHEN 1 THEN [trim(a) || ' => ' || trim(b), ' => '] ELSE [] END, [' => ', ' => ', ' => ', ' => ', ' => ']), 1, 5) AS trends
-FROM (SELECT doc_id, source, regexp_replace(left(text, 30), '[^a-zA-Z]+', ' ', 'g') AS a,
-  regexp_replace(substr(text, 31, 60), '[^a-zA-Z]+', ' ', 'g') AS b FROM documents)
+FROM (SELECT doc_id, source, regexp_replace(left(text, length(text) // 2), '[^a-zA-Z]+', ' ', 'g') AS a,
+  regexp_replace(substr(text, length(text) // 2 + 1), '[^a-zA-Z]+', ' ', 'g') AS b FROM documents)
 """.replace("'=> '", "' => plain text'"))
 def t07(spark, sf_dir):
     # answers in four shapes: list of texts, list of objects in a code fence, empty list, no JSON at all
     docs = table(spark, sf_dir, "documents")
-    a = F.regexp_replace(F.substring("text", 1, 30), r"[^a-zA-Z]+", " ")
-    b = F.regexp_replace(F.substring("text", 31, 60), r"[^a-zA-Z]+", " ")
+    half = F.floor(F.length("text") / 2).cast("int")
+    a = F.regexp_replace(F.substring("text", F.lit(1), half), r"[^a-zA-Z]+", " ")
+    b = F.regexp_replace(F.substring("text", half + 1, F.length("text")), r"[^a-zA-Z]+", " ")
     intro = F.col("source").alias("supporting_trends_intro")
     kind = F.col("doc_id") % 4
 

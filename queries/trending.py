@@ -1,6 +1,6 @@
 """Newest-period ranking and category questions."""
 
-from queries.base import CURATED_SQL, query, sales_curated, with_curated
+from queries.base import (CURATED_SQL, query, sales_curated, sales_partitions, sales_stored, with_curated)
 from tillworks.operators import analytics as an
 from tillworks.operators import responses
 
@@ -15,19 +15,19 @@ ORDER = "revenue_usd DESC, mom_growth_pct DESC, product_id, shop_name, product_n
 
 @query("w03_latest_partition", f"WITH {LATEST} SELECT year, month_num FROM latest")
 def w03(spark, sf_dir):
-    return an.latest_partition(sales_curated(spark, sf_dir))
+    return an.latest_partition(sales_partitions(spark, sf_dir))
 
 
 @query("f04_in_latest_partition", f"""WITH {LATEST} SELECT product_id, shop_name, month, revenue_usd FROM sales_curated
 JOIN latest USING (year, month_num)""")
 def f04(spark, sf_dir):
-    return an.in_latest_partition(sales_curated(spark, sf_dir)).select("product_id", "shop_name", "month", "revenue_usd")
+    return an.in_latest_partition(sales_stored(spark, sf_dir), sales_partitions(spark, sf_dir)).select("product_id", "shop_name", "month", "revenue_usd")
 
 
 @query("w04_best_row_per_product", f"""WITH {LATEST} SELECT product_id, product_name, shop_name, l2_category, revenue_usd,
   mom_growth_pct, item_sold FROM best""")
 def w04(spark, sf_dir):
-    chosen = an.min_quality(an.in_latest_partition(sales_curated(spark, sf_dir)), "0.95")
+    chosen = an.min_quality(an.in_latest_partition(sales_stored(spark, sf_dir), sales_partitions(spark, sf_dir)), "0.95")
     return an.best_row_per_product(chosen).drop("category_key")
 
 
@@ -36,7 +36,7 @@ def w04(spark, sf_dir):
   MAX(mom_growth_pct) AS mom_growth_pct, CAST(SUM(item_sold) AS BIGINT) AS item_sold
 FROM latest_data GROUP BY product_id, product_name, shop_name, lower(l2_category)""")
 def w04b(spark, sf_dir):
-    chosen = an.min_quality(an.in_latest_partition(sales_curated(spark, sf_dir)), "0.95")
+    chosen = an.min_quality(an.in_latest_partition(sales_stored(spark, sf_dir), sales_partitions(spark, sf_dir)), "0.95")
     return an.best_row_per_product(chosen, grain="month").drop("category_key")
 
 
@@ -44,14 +44,15 @@ def w04b(spark, sf_dir):
   revenue_usd, mom_growth_pct, item_sold, ROW_NUMBER() OVER (ORDER BY {ORDER}) AS revenue_rank FROM best
 WHERE lower(trim(l2_category)) = 'economy' QUALIFY revenue_rank <= 5""")
 def j01(spark, sf_dir):
-    return an.top_products(sales_curated(spark, sf_dir), "  Economy ", 5)
+    return an.top_products(sales_stored(spark, sf_dir), "  Economy ", 5, listing=sales_partitions(spark, sf_dir))
 
 
 @query("w06_top_products_per_category", f"""WITH {LATEST} SELECT product_id, product_name, shop_name, l2_category,
   revenue_usd, mom_growth_pct, item_sold, CAST(ROW_NUMBER() OVER (PARTITION BY lower(l2_category) ORDER BY {ORDER}) AS INT)
   AS revenue_rank FROM best QUALIFY revenue_rank <= 5""")
 def w06(spark, sf_dir):
-    return an.top_products_per_category(sales_curated(spark, sf_dir), 5)
+    return an.top_products_per_category(
+        sales_stored(spark, sf_dir), 5, listing=sales_partitions(spark, sf_dir))
 
 
 @query("w06b_rank_per_category", with_curated("""SELECT l2_category, product_name, shop_name, revenue_usd, mom_growth_pct,
@@ -77,7 +78,7 @@ def f05(spark, sf_dir):
 @query("a27_distinct_categories", f"""WITH {LATEST} SELECT MIN(trim(l2_category)) AS l2_category FROM latest_data
 WHERE trim(l2_category) != '' GROUP BY lower(trim(l2_category))""")
 def a27(spark, sf_dir):
-    return an.distinct_categories(sales_curated(spark, sf_dir))
+    return an.distinct_categories(sales_stored(spark, sf_dir), sales_partitions(spark, sf_dir))
 
 
 
@@ -90,7 +91,8 @@ SELECT l2_category, string_agg(r || '. ' || product_name || ' | Shop: ' || shop_
   printf('%.1f', mom_growth_pct * 100) || '% | Items sold: ' || format('{{:,}}', item_sold), chr(10) ORDER BY r) AS context
 FROM ranked GROUP BY l2_category""")
 def t09(spark, sf_dir):
-    return responses.market_context(an.top_products_per_category(sales_curated(spark, sf_dir), 5))
+    return responses.market_context(an.top_products_per_category(
+        sales_stored(spark, sf_dir), 5, listing=sales_partitions(spark, sf_dir)))
 
 
 @query("t09b_short_descriptions", f"""WITH {LATEST}, ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lower(l2_category)
@@ -100,7 +102,8 @@ SELECT product_id, 'Top seller at ' || shop_name || '. $' || format('{{:,}}', CA
   || ' revenue, ' || printf('%.1f', mom_growth_pct * 100) || '% growth (Last 30 Days).' AS short_description
 FROM ranked""")
 def t09b(spark, sf_dir):
-    top = an.top_products_per_category(sales_curated(spark, sf_dir), 5)
+    top = an.top_products_per_category(
+        sales_stored(spark, sf_dir), 5, listing=sales_partitions(spark, sf_dir))
     return top.select("product_id", responses.short_description().alias("short_description"))
 
 

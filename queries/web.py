@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import query, spread, table
+from queries.base import query, table
 from tillworks.operators import web
 
 
 @query("t01_t02_t03_page_fields")
 def t01(spark, sf_dir):
-    return web.page_fields(spread(table(spark, sf_dir, "pages"), "page_id"))
+    return web.page_fields(table(spark, sf_dir, "pages"))
 
 
 @query("t04_brand_slugs", """SELECT s_suppkey, list_distinct([n]) AS first_slug, len(list_distinct(list_filter([replace(r, ' ', ''),
@@ -25,7 +25,7 @@ def t04(spark, sf_dir):
 
 
 def results(spark, sf_dir):
-    """Pages as search results: a page answers the query of its number modulo 40; some links point to known sites."""
+    """Pages as search results, five to a product; some links point to known sites."""
     n = F.col("page_id")
     link = F.when(n % 9 == 0, F.concat(F.lit("https://www.amazon.com/dp/"), n.cast("string"))).when(
         n % 9 == 1, F.concat(F.lit("https://www.trustpilot.com/"), n.cast("string"))).when(
@@ -33,21 +33,23 @@ def results(spark, sf_dir):
         n % 9 == 3, F.concat(F.lit("https://www.supplier"), (n % 7).cast("string"), F.lit(".com/products/1"))).otherwise(
         F.col("url"))
     return table(spark, sf_dir, "pages").select(
-        (n % 40).alias("product_id"), n.alias("position"), link.alias("href"),
-        F.regexp_extract("html", r"<title>([^<]*)", 1).alias("title"), F.substring("html", 1, 900).alias("body"))
+        (F.floor(n / 5) + 1).alias("product_id"), n.alias("position"), link.alias("href"),
+        F.regexp_extract("html", r"<title>([^<]*)", 1).alias("title"), F.col("html").alias("body"))
 
 
 def products(spark, sf_dir):
+    """Every part with a supplier, parts being dealt round the suppliers."""
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     shop = F.concat(F.lit("Supplier"), (F.col("s_suppkey") % 7).cast("string"), F.lit(" Inc"))
-    return part.join(supplier, part.p_partkey == supplier.s_suppkey).select(
+    dealt = F.col("p_partkey") % supplier.agg(F.count(F.lit(1))).scalar() + 1
+    return part.withColumn("of", dealt).join(supplier, F.col("of") == supplier.s_suppkey).select(
         F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), shop.alias("shop_name"))
 
 
-RESULTS_SQL = r"""results AS (SELECT page_id % 40 AS product_id, page_id AS position, CASE page_id % 9
+RESULTS_SQL = r"""results AS (SELECT page_id // 5 + 1 AS product_id, page_id AS position, CASE page_id % 9
   WHEN 0 THEN 'https://www.amazon.com/dp/' || page_id WHEN 1 THEN 'https://www.trustpilot.com/' || page_id
   WHEN 2 THEN 'ftp://files.example.com/' || page_id WHEN 3 THEN 'https://www.supplier' || (page_id % 7) || '.com/products/1'
-  ELSE url END AS href, regexp_extract(html, '<title>([^<]*)', 1) AS title, left(html, 900) AS body FROM pages)"""
+  ELSE url END AS href, regexp_extract(html, '<title>([^<]*)', 1) AS title, html AS body FROM pages)"""
 
 
 @query("t06_shaped_results", f"""WITH {RESULTS_SQL} SELECT product_id, position, href, left(title, 300) AS title,
@@ -59,7 +61,8 @@ def t06(spark, sf_dir):
 
 @query("t05_best_urls", f"""WITH {RESULTS_SQL}, named AS (SELECT r.*, lower(href) AS h, lower(p_name) AS name,
   'supplier' || (s_suppkey % 7) AS slug, regexp_extract(lower(href), '^https?://([^/?#]*)', 1) AS host
-  FROM results r JOIN part ON p_partkey = product_id JOIN supplier ON s_suppkey = product_id
+  FROM results r JOIN part ON p_partkey = product_id
+    JOIN supplier ON s_suppkey = p_partkey % (SELECT COUNT(*) FROM supplier) + 1
   WHERE (href LIKE 'http://%' OR href LIKE 'https://%') AND NOT regexp_matches(lower(href), 'myprosandcons|trustpilot|yelp\\.com|g2\\.com|capterra|sitejabber|consumeraffairs|reviews\\.io|resellerratings|wikipedia\\.org|youtube\\.com|facebook\\.com|twitter\\.com|instagram\\.com|pinterest\\.com')),
 scored AS (SELECT *, CASE WHEN list_extract(string_split(host, '.'), -2) = slug THEN 35
     WHEN contains(label, slug) OR contains(slug, label) THEN 25 ELSE 0 END

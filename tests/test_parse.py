@@ -35,6 +35,8 @@ def test_ids(spark):
 def test_ids_via_double_lose_digits(spark):
     got = values(spark, lambda c: parse.parse_id(c, via_double=True), ["1729383941730701675", "1729383941730701676", "x"])
     assert got[0] == got[1] == int(float("1729383941730701675")) and got[2] is None
+    far = values(spark, lambda c: parse.parse_id(c, via_double=True), ["9223372036854775807", "9223372036854774784"])
+    assert far == [None, 9223372036854774784]
 
 
 def test_text(spark):
@@ -52,6 +54,7 @@ def test_money(spark):
         "$305,785.10": "305785.10", "12.66": "12.66", "1,234,567.89": "1234567.89", "-100.00": None, "": None,
         None: None, "€ 12": "12.00", "100000000": "100000000.00", "100000000.01": None, "n/a": None,
         "$228,510.00 ": "228510.00", "1e3": "1000.00", "$": None,
+        "-0.0000001": None, "100000000.0000001": None, "0.0049999": "0.00", "0.005": "0.01",
     }
     want = [None if v is None else Decimal(v) for v in cases.values()]
     assert values(spark, parse.parse_money, cases) == want
@@ -66,7 +69,7 @@ def test_percent(spark):
 
 def test_integers(spark):
     cases = {"24,157": 24157, "12345": 12345, "-100": None, "": None, None: None, "-0.5": 0, "7.9": 7,
-             "10000000": 10_000_000, "10000001": None, "x": None}
+             "10000000": 10_000_000, "10000001": None, "x": None, "9999999.9999999": 9_999_999}
     assert values(spark, parse.parse_int, cases) == list(cases.values())
 
 

@@ -20,6 +20,9 @@ MAX_ID = 2**63 - 1
 MAX_MONEY = 100_000_000
 MAX_ITEMS = 10_000_000
 PERCENT_RANGE = (-100, 1000)
+#: 20 digits before the point hold every accepted value; ranges are tested, and fractions cut, before digits are lost.
+EXACT = "decimal(38,18)"
+
 
 def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.length(c)
@@ -67,9 +70,11 @@ def _number(c: Column, drop: str, type_name: str) -> Column:
 
 def parse_id(c: Column, via_double: bool = False) -> Column:
     """Thousands commas and scientific notation allowed; fraction cut off; 0 .. 2^63-1."""
-    number = _number(c, ",", "decimal(38,6)")
+    number = _number(c, ",", EXACT)
     if via_double:
         number = F.when(number.isNotNull(), strip(F.replace(c, F.lit(","), F.lit(""))).try_cast("double"))
+        # the largest id is no DOUBLE: its reading is one more and out of range
+        number = F.when(number < float(MAX_ID), number)
     whole = number.try_cast("bigint")
     return F.when(whole >= 0, whole)
 
@@ -84,8 +89,8 @@ def parse_text(c: Column, max_length: int = 500) -> Column:
 
 def parse_money(c: Column) -> Column:
     """Dollar, euro and pound signs and commas dropped; 0 .. 100 000 000; two decimals."""
-    value = _number(c, "$€£,", "decimal(18,6)")
-    return F.when(value.between(0, MAX_MONEY), F.round(value, 2).cast("decimal(18,2)"))
+    value = _number(c, "$€£,", EXACT)
+    return F.when(value.between(0, MAX_MONEY), F.round(value.cast("decimal(28,18)"), 2).cast("decimal(18,2)"))
 
 
 def percent_points(c: Column) -> Column:
@@ -110,7 +115,7 @@ def parse_percent(c: Column) -> Column:
 
 def parse_int(c: Column) -> Column:
     """Commas dropped, fraction cut off, 0 .. 10 000 000."""
-    whole = _number(c, ",", "decimal(18,6)").cast("bigint")
+    whole = _number(c, ",", EXACT).try_cast("bigint")
     return F.when(whole.between(0, MAX_ITEMS), whole.cast("int"))
 
 

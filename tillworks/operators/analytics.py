@@ -45,8 +45,16 @@ def min_quality(df: DataFrame, threshold: str) -> DataFrame:
 
 def since(df: DataFrame, cfg: Config, months: int = 0, days: int = 0, column: str = "month") -> DataFrame:
     """Rows not older than ``as_of`` minus a number of months and days."""
-    start = F.date_sub(F.add_months(F.lit(cfg.as_of), -months), days)
-    return df.where(F.col(column) >= start)
+    return not_before(df, F.date_sub(F.add_months(F.lit(cfg.as_of), -months), days), column)
+
+
+def not_before(df: DataFrame, start: Column, column: str = "month") -> DataFrame:
+    """Rows of a day or later.  On a table with calendar partitions the same bound, to the month, is put on them as well:
+    older folders are not read."""
+    chosen = df.where(F.col(column) >= start)
+    if not {"year", "month_num"} <= set(df.columns):
+        return chosen
+    return chosen.where(F.col("year") * 12 + F.col("month_num") >= F.year(start) * 12 + F.month(start))
 
 
 def current_and_previous_month(df: DataFrame, cfg: Config, back: int = 1) -> DataFrame:
@@ -104,15 +112,18 @@ def _rank_per(df: DataFrame, keys: Sequence[str], spec: Sequence[tuple[str, str]
 
 
 def latest_partition(df: DataFrame) -> DataFrame:
-    """The one-row frame (year, month_num) of the newest partition; rows without a date do not count."""
+    """The one-row frame (year, month_num) of the newest partition; rows without a date do not count.  ``df`` is the table,
+    or better its list of partitions (``tables.partitions``), which opens no file."""
     newest = df.where("year is not null").agg(F.max(F.struct("year", "month_num")).alias("p"))
     # a comparison rather than a NULL test: only then does Spark prune the files of the joined table at run time
     return newest.select("p.year", "p.month_num").where("year > 0")
 
 
-def in_latest_partition(df: DataFrame) -> DataFrame:
-    """Rows of the newest partition: a one-row broadcast, which also prunes the files of a partitioned table."""
-    return df.join(F.broadcast(latest_partition(df)), ["year", "month_num"])
+def in_latest_partition(df: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """Rows of the newest partition: a one-row broadcast, which also prunes the files of a partitioned table.  The newest
+    one comes from ``listing``, the table's partitions, where given."""
+    newest = latest_partition(df if listing is None else listing)
+    return df.join(F.broadcast(newest), ["year", "month_num"])
 
 
 def share_of_total(df: DataFrame, measure: str, alias: str) -> DataFrame:
@@ -274,12 +285,14 @@ def freshness(df: DataFrame, keys: Sequence[str] = ("transformation_version",))
         F.max("processed_timestamp").alias("last_load_time"),
         F.max("month").alias("latest_data_month"),
         count_rows().alias("total_records_loaded"),
-        mean(F.col("data_quality_score")).alias("avg_quality_score"))
+        mean(F.col("data_quality_score")).alias("avg_quality_score")).transform(
+        ordered, [("last_load_time", "desc"), *[(k, "asc") for k in keys]])
 
 
 def quarantine_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("quarantine_reason").agg(
+    out = df.groupBy("quarantine_reason").agg(
         count_rows().alias("record_count"), mean(F.col("data_quality_score")).alias("avg_quality_score"))
+    return ordered(out, [("record_count", "desc"), ("quarantine_reason", "asc")])
 
 
 def price_tier(c: Column) -> Column:
@@ -298,9 +311,9 @@ def price_tier_analysis(df: DataFrame, year: int) -> DataFrame:
 
 
 def quality_metrics_report(reports: DataFrame, k: int = 10) -> DataFrame:
-    """Latest k run reports with three issue counts read out of the issue JSON."""
+    """Latest k run reports of the report table with three issue counts out of the issue map."""
     def issue(name: str) -> Column:
-        return F.get_json_object("quality_issues", f"$.{name}")
+        return F.try_element_at("quality_issues", F.lit(name)).cast("bigint")
 
     out = reports.select(
         issue("INVALID_DATE").alias("invalid_dates"), issue("SYNTHETIC_PRODUCT_ID").alias("synthetic_ids"),
@@ -328,7 +341,7 @@ def quality_drops(df: DataFrame, threshold: str = "0.05") -> DataFrame:
 
 
 def quality_issues_since(df: DataFrame, start: str, k: int = 20) -> DataFrame:
-    out = non_empty(df.where(F.col("month") >= F.lit(start).cast("date")), "quality_flags").groupBy(
+    out = non_empty(not_before(df, F.lit(start).cast("date")), "quality_flags").groupBy(
         "quality_flags").agg(count_rows().alias("record_count"), mean(F.col("data_quality_score")).alias("avg_score"),
                              total("revenue_usd").alias("total_revenue_affected"))
     return top_k(out, [("record_count", "desc"), ("quality_flags", "asc")], k)
@@ -336,7 +349,7 @@ def quality_issues_since(df: DataFrame, start: str, k: int = 20) -> DataFrame:
 
 def quarantine_review(quarantine: DataFrame, start: str, k: int = 100) -> DataFrame:
     """The k lowest scores with the size of their reason group; the groups are counted, not windowed."""
-    chosen = quarantine.where(F.col("month") >= F.lit(start).cast("date"))
+    chosen = not_before(quarantine, F.lit(start).cast("date"))
     lowest = top_k(chosen.select("quarantine_reason", "data_quality_score", "product_id", "product_name", "month"),
                    [("data_quality_score", "asc"), ("product_id", "asc"), ("month", "asc"), ("product_name", "asc"),
                     ("quarantine_reason", "asc")], k)
@@ -348,7 +361,7 @@ def flag_drilldown(df: DataFrame, flag: str, columns: Sequence[str], start: str
     """Rows that carry a flag; with ``k`` the first k of the given order."""
     chosen = df.where(has_flag(F.col("quality_flags"), flag))
     if start is not None:
-        chosen = chosen.where(F.col("month") >= F.lit(start).cast("date"))
+        chosen = not_before(chosen, F.lit(start).cast("date"))
     chosen = chosen.select(*columns)
     return chosen if k is None else top_k(chosen, order, k)
 
@@ -368,17 +381,19 @@ def revenue_loss(df: DataFrame, flag: str = "INVALID_REVENUE") -> DataFrame:
 
 
 def suspicious_growth_review(df: DataFrame, year: int, flag: str = "SUSPICIOUS_GROWTH", k: int = 50) -> DataFrame:
-    """Flagged rows by absolute growth, each with its product's previous flagged revenue.  The flagged rows are folded to
-    one row per product and date before the lag, so no product's rows meet in one task; where a product has one row per
-    date this is its previous row."""
+    """Flagged rows by absolute growth, each with the revenue of its product's flagged row before it.
+
+    The k rows are chosen first; then the flagged rows of their products meet a broadcast of k rows, and each task folds
+    what lies before a chosen row to the latest of it.  No product's rows are sorted in one task, as a lag would."""
     chosen = df.where((F.col("year") == year) & has_flag(F.col("quality_flags"), flag))
-    per_date = chosen.groupBy("product_id", "month").agg(total("revenue_usd").alias("date_revenue"))
-    previous = lag_by(per_date, ["month"], {"prev_month_revenue": "date_revenue"}, ["product_id"])
-    top = top_k(chosen.select("product_id", "product_name", "shop_name", "month", "revenue_usd", "mom_growth_pct",
-                              F.abs("mom_growth_pct").alias("_size")),
-                [("_size", "desc"), ("product_id", "asc"), ("month", "asc"), ("shop_name", "asc"),
-                 ("revenue_usd", "asc"), ("mom_growth_pct", "asc")], k)
-    return (previous.drop("date_revenue").join(F.broadcast(top), ["product_id", "month"])
+    order = ["month", "shop_name", "revenue_usd", "mom_growth_pct", "source_record_number"]
+    chosen = chosen.select("product_id", "product_name", *order, F.struct(*order).alias("_at"),
+                           F.abs("mom_growth_pct").alias("_size"))
+    top = top_k(chosen, [("_size", "desc"), ("product_id", "asc"), *[(c, "asc") for c in order]], k)
+    marks = top.select(F.col("product_id").alias("_product"), F.col("_at").alias("_mark"))
+    before = chosen.join(F.broadcast(marks), (F.col("product_id") == F.col("_product")) & (F.col("_at") < F.col("_mark")))
+    previous = before.groupBy("_product", "_mark").agg(F.max_by("revenue_usd", "_at").alias("prev_month_revenue"))
+    return (top.join(previous, (F.col("product_id") == F.col("_product")) & (F.col("_at") == F.col("_mark")), "left")
             .select("product_name", "shop_name", "month", "revenue_usd", "mom_growth_pct", "prev_month_revenue"))
 
 
@@ -420,9 +435,9 @@ def category_availability(df: DataFrame) -> DataFrame:
     return ordered(out, [("products", "desc"), ("l2_category", "asc")])
 
 
-def distinct_categories(df: DataFrame) -> DataFrame:
+def distinct_categories(df: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """Category names of the newest partition, one per case-insensitive spelling."""
-    chosen = non_empty(min_quality(in_latest_partition(df), "0.95"), "l2_category")
+    chosen = non_empty(min_quality(in_latest_partition(df, listing), "0.95"), "l2_category")
     out = chosen.groupBy(match_key(F.col("l2_category")).alias("k")).agg(
         F.min(F.btrim("l2_category")).alias("l2_category")).select("l2_category")
     return ordered(out, [("l2_category", "asc")])
@@ -486,15 +501,17 @@ def with_revenue_rank(top: DataFrame) -> DataFrame:
     return top.withColumn("revenue_rank", F.row_number().over(Window.orderBy(*_order(_TRENDING))).cast("bigint"))
 
 
-def top_products(df: DataFrame, category: str, k: int = 5, grain: str = "row") -> DataFrame:
+def top_products(df: DataFrame, category: str, k: int = 5, grain: str = "row", listing: DataFrame | None = None
+                 ) -> DataFrame:
     """The k best products of a category in the newest partition."""
-    chosen = eq_ci(min_quality(in_latest_partition(df), "0.95"), "l2_category", category)
+    chosen = eq_ci(min_quality(in_latest_partition(df, listing), "0.95"), "l2_category", category)
     return with_revenue_rank(top_k(best_row_per_product(chosen, grain).drop("category_key"), _TRENDING, k))
 
 
-def top_products_per_category(df: DataFrame, k: int = 5, grain: str = "row") -> DataFrame:
+def top_products_per_category(df: DataFrame, k: int = 5, grain: str = "row", listing: DataFrame | None = None
+                              ) -> DataFrame:
     """``top_products`` for every category at once."""
-    best = best_row_per_product(min_quality(in_latest_partition(df), "0.95"), grain)
+    best = best_row_per_product(min_quality(in_latest_partition(df, listing), "0.95"), grain)
     return top_k_per(best, ["category_key"], _TRENDING, k).drop("category_key")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tillworks.operators.cleaning import synthetic_id
 from tillworks.schema import DEDUP_KEYS
 
+#: Numbers of a repeated row that one task unrolls at a time.
 CHUNK = 10_000
 
 
@@ -28,20 +29,18 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], coun
 
 
 def repeat_rows(df: DataFrame, times: str, index: str, chunk: int = CHUNK) -> DataFrame:
-    """Each row ``times`` times, numbered from 0.  Rows repeated more than ``chunk`` times are spread over tasks."""
-    def unroll(frame: DataFrame, first, last) -> DataFrame:
-        return frame.withColumn(index, F.explode(F.sequence(first, last)))
-
+    """Each row ``times`` times, numbered from 0.  Its numbers are cut into chunks, the chunks are spread over the tasks and
+    unrolled there: a row repeated a billion times is work for all of them."""
     n = F.col(times)
-    small = unroll(df.where((n > 0) & (n <= chunk)), F.lit(0).cast("bigint"), n - 1)
-    parts = df.where(n > chunk).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), ((n - 1) / chunk).cast("bigint"))))
-    # a fixed number of partitions: adaptive execution would size them by the few bytes that go in, not by the rows
-    # that come out
-    spread = parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_part")
+    parts = df.where(n > 0).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / chunk))))
+    # a stated number of partitions: adaptive execution would size them by the few bytes that go in, not by the rows that
+    # come out
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = parts.repartition(tasks, F.xxhash64(*df.columns, "_part"))
     start = F.col("_part") * chunk
-    large = unroll(spread, start, F.least(start + (chunk - 1), n - 1)).drop("_part")
-    return small.unionByName(large)
+    numbers = F.sequence(start, F.least(start + (chunk - 1), n - 1))
+    return spread.withColumn(index, F.explode(numbers)).drop("_part")
 
 
 def dedup(df: DataFrame, keys: Sequence[str] = DEDUP_KEYS, order: Sequence[str] = ("record_key",)

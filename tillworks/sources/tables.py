@@ -87,6 +87,12 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
         folder_of(root, name))
 
 
+def partitions(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """The partition values of a folder, once for each file: a listing only, no file is opened."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return listed.drop("path", "modificationTime", "length", "content")
+
+
 def table_exists(spark: SparkSession, root: str, name: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder_of(root, name))
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
