@@ -33,6 +33,7 @@ from tillworks.session import scratch
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 CACHE_WORDS = 800_000
+WORD_END = "</w>"  # fixed value: mark of the tokens that end a word
 BLOCK = 512
 MAGIC = b"WVM2"
 
@@ -164,16 +165,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache_words, self.cache = Tokenizer.from_file(vocabulary), cache_words, {}
+        known = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(known.values()) + 1, bool)
+        self.ends_word[[i for token, i in known.items() if token.endswith(WORD_END)]] = True
+
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces one by one."""
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _fresh_letters(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces made of letters, many in one call: such a piece ends with its only end-of-word token.  Where the
+        number of those tokens is not the number of pieces, the pieces go one by one."""
+        found = self.tokenizer.encode_batch_fast([" ".join(pieces[i:i + 500]) for i in range(0, len(pieces), 500)],
+                                                 add_special_tokens=False)
+        out = []
+        for i, x in enumerate(found):
+            part = pieces[500 * i:500 * i + 500]
+            ids = np.array(x.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                out += self._fresh(part)
+                continue
+            data, places = ids.tobytes(), (4 * ends).tolist()
+            out += [data[a:b] for a, b in zip([0, *places], places, strict=False)]
+        return out
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.cache) > self.cache_words:
             self.cache = {}
-        new = [w for w in pieces if w not in self.cache]
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.cache.update((w, array("I", x.ids).tobytes()) for w, x in zip(part, found, strict=True))
-        return [self.cache[w] for w in pieces]
+        cache = self.cache
+        new = [w for w in pieces if w not in cache]
+        texts = list(map(bytes.decode, new))
+        letters = list(map(str.isalpha, texts))
+        for some, encode in ((True, self._fresh_letters), (False, self._fresh)):
+            known = [w for w, yes in zip(new, letters, strict=True) if yes == some]
+            if known:
+                cache.update(zip(known, encode([t for t, yes in zip(texts, letters, strict=True) if yes == some]),
+                                 strict=True))
+        return list(map(cache.__getitem__, pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other; first id of each text and the end)."""
@@ -194,7 +224,7 @@ class Encoder:
             None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
         known = self._ids(pieces.dictionary.to_pylist())
         which = pieces.indices.to_numpy(zero_copy_only=False)
-        sizes = np.array([len(x) // 4 for x in known], np.int64)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), "<u4")
         n = sizes[which]
         ends = np.cumsum(n)
