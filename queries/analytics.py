@@ -190,8 +190,8 @@ def run_reports(spark, sf_dir):
         F.make_date("year", "month_num", F.lit(1)).cast("timestamp").alias("execution_timestamp"),
         F.lit("landing").alias("source_file"), "total_records", "records_passed", "records_warned", "records_failed",
         "records_duplicates", F.round(F.col("records_passed") / total, 4).cast("decimal(5,4)").alias("pass_rate"),
-        F.to_json(F.create_map(F.lit("INVALID_DATE"), F.col("d"), F.lit("SYNTHETIC_PRODUCT_ID"), F.col("i")))
-        .alias("quality_issues"),
+        F.map_filter(F.create_map(F.lit("INVALID_DATE"), F.col("d"), F.lit("SYNTHETIC_PRODUCT_ID"), F.col("i")),
+                     lambda _, n: n > 0).alias("quality_issues"),
         F.round(F.col("s") / total, 4).cast("decimal(5,4)").alias("avg_quality_score"), "transformation_version")
 
 
@@ -213,8 +213,8 @@ def with_reports(sql: str) -> str:
     return f"WITH {CURATED_SQL},\n{REPORTS_SQL}\n{sql}"
 
 
-@query("a14_quality_metrics_report", with_reports("""SELECT CAST(d AS VARCHAR) AS invalid_dates,
-  CAST(i AS VARCHAR) AS synthetic_ids, CAST(NULL AS VARCHAR) AS missing_names, total_records, records_passed,
+@query("a14_quality_metrics_report", with_reports("""SELECT NULLIF(d, 0) AS invalid_dates,
+  NULLIF(i, 0) AS synthetic_ids, CAST(NULL AS BIGINT) AS missing_names, total_records, records_passed,
   records_warned, records_failed, pass_rate, avg_quality_score, execution_date AS execution_timestamp,
   transformation_version FROM reports ORDER BY execution_timestamp DESC LIMIT 10"""))
 def a14(spark, sf_dir):

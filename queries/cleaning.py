@@ -236,8 +236,8 @@ def a20(spark, sf_dir):
 @query("s09_quality_report", with_folded("""SELECT 'check' AS job_run_id, '2001-11-04 02:00:00' AS execution_timestamp,
   'landing' AS source_file, (SELECT COUNT(*) FROM scored) AS total_records, COUNT(*) FILTER (tier = 'pass')
   AS records_passed, COUNT(*) FILTER (tier = 'warn') AS records_warned, COUNT(*) FILTER (tier = 'fail') AS records_failed,
-  (SELECT COUNT(*) FROM scored) - COUNT(*) AS records_duplicates, COUNT(*) FILTER (anomaly) AS records_anomalies,
-  'v1.0.0' AS transformation_version FROM folded"""))
+  (SELECT COUNT(*) FROM scored) - COUNT(*) AS records_duplicates, CAST(0 AS BIGINT) AS records_corrupt,
+  COUNT(*) FILTER (anomaly) AS records_anomalies, 'v1.0.0' AS transformation_version FROM folded"""))
 def s09(spark, sf_dir):
     report = quality.quality_report(run_metrics(spark, sf_dir), CFG, "landing")
     return report.withColumn("execution_timestamp", F.date_format("execution_timestamp", "yyyy-MM-dd HH:mm:ss")).drop(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.config import Config
+from tillworks.operators.quality import corrupt_rows, throughput
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None
@@ -72,7 +73,7 @@ def audit_summary(metrics: DataFrame, cfg: Config, source: str, target: str, dur
                   tables: Sequence[str] = ("curated_sales", "quarantine_sales", "error_sales")) -> DataFrame:
     """Summary entry of a run.  ``data_changes`` lists only tables that received rows."""
     written = [F.col("records_passed") + F.col("records_warned"), F.col("records_failed"),
-               F.col("records_duplicates")]
+               F.col("records_duplicates") + corrupt_rows(metrics)]
     changes = F.array(*[F.struct(F.lit("INSERT").alias("change_type"), F.lit(t).alias("table_name"),
                                  F.lit("BATCH_INSERT").alias("operation"), n.alias("record_count"))
                         for t, n in zip(tables, written, strict=True)])
@@ -89,6 +90,28 @@ def audit_summary(metrics: DataFrame, cfg: Config, source: str, target: str, dur
         duration.alias("duration_seconds"), issues.alias("quality_issues"))
 
 
+def change_log(metrics: DataFrame, cfg: Config) -> DataFrame:
+    """One entry per sink of a run that received rows: what was put where, and how many rows."""
+    written = F.col("records_passed") + F.col("records_warned")
+    sinks = [("error_sales", "MALFORMED", corrupt_rows(metrics)), ("error_sales", "DUPLICATE", F.col("records_duplicates")),
+             ("quarantine_sales", "LOW_QUALITY", F.col("records_failed")),
+             ("quarantine_sales", "ANOMALY", F.col("records_anomalies")), ("curated_sales", "CURATED", written)]
+    items = F.array(*[F.struct(F.lit("INSERT").alias("change_type"), F.lit(t).alias("table_name"),
+                               F.lit("BATCH_INSERT").alias("operation"), F.lit(why).alias("reason"),
+                               n.cast("bigint").alias("record_count")) for t, why, n in sinks])
+    return metrics.select(*[c.alias(n) for n, c in _head(cfg).items()], F.lit("DATA_CHANGE").alias("log_type"),
+                          F.inline(F.filter(items, lambda x: x["record_count"] > 0)))
+
+
+def job_metrics(metrics: DataFrame, cfg: Config, duration_seconds: float) -> DataFrame:
+    """Duration, rows read and written and rows per second of a run."""
+    seconds = F.lit(float(duration_seconds))
+    written = F.col("records_passed") + F.col("records_warned")
+    return metrics.select(*[c.alias(n) for n, c in _head(cfg).items()], F.lit(cfg.job_name).alias("job_name"),
+                          seconds.alias("duration_seconds"), F.col("records_read"), written.alias("records_written"),
+                          throughput(F.col("records_read"), seconds).alias("records_per_second"))
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str, exact: Sequence[str], near: Sequence[str] = (),
               tolerance: str = "0.0001") -> DataFrame:
     """Two metric frames side by side, one row per run of either: counts must be equal, ratios may differ by the

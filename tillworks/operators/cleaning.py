@@ -109,12 +109,12 @@ def with_partitions(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame, cfg: Config, mapping: Mapping[str, tuple[str, str]] = MAPPING,
-          key_columns: Sequence[str] | None = None) -> DataFrame:
-    """Raw text columns to typed, flagged and scored rows.  ``product_id`` stays NULL where unreadable; the synthetic
+          key_columns: Sequence[str] | None = None, own_rules: Sequence[Rule] = ()) -> DataFrame:
+    """Raw text columns to typed, flagged and scored rows; ``own_rules`` follow the standard ones.  ``product_id`` stays NULL where unreadable; the synthetic
     id is given after copies were counted (``tillworks.operators.dedup``)."""
     raw = [r for _, r in mapping.values() if r in df.columns]
     keyed = with_record_key(df, key_columns or (["source_file"] if "source_file" in df.columns else []) + raw)
-    flagged = apply_rules(parse_columns(keyed, cfg, mapping), rules(cfg))
+    flagged = apply_rules(parse_columns(keyed, cfg, mapping), [*rules(cfg), *own_rules])
     return with_partitions(with_growth(fill_defaults(flagged))).drop(*raw, "flags")
 
 

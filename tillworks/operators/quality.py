@@ -68,9 +68,19 @@ def malformed_errors(corrupt: DataFrame, cfg: Config) -> DataFrame:
                           F.lit(cfg.executed_at).cast("timestamp").alias("error_timestamp")).to(ERRORS)
 
 
-def run_counters(df: DataFrame, rows: Column | None = None, kept: Column | None = None) -> DataFrame:
+#: Prefix of the counter columns of single rules.
+COUNTED = "n_"
+
+
+def corrupt_rows(df: DataFrame) -> Column:
+    """Rows of a run that could not be read as CSV; frames without the counter had none."""
+    return F.coalesce(F.col("records_corrupt"), F.lit(0)) if "records_corrupt" in df.columns else F.lit(0)
+
+
+def run_counters(df: DataFrame, rows: Column | None = None, kept: Column | None = None,
+                 flag_names: Sequence[str] = FLAGS) -> DataFrame:
     """One row of counters over a tiered frame.  ``rows`` is how many input rows a row stands for, ``kept`` how many
-    of them survive; both are 1 for a plain frame."""
+    of them survive; both are 1 for a plain frame.  ``flag_names`` are the rules to count, own ones included."""
     rows = F.lit(1) if rows is None else rows
     kept = F.lit(1) if kept is None else kept
 
@@ -90,29 +100,30 @@ def run_counters(df: DataFrame, rows: Column | None = None, kept: Column | None
         F.sum(F.col("data_quality_score") * kept).alias("score_sum"),
         F.min("data_quality_score").alias("min_quality_score"),
         F.max("data_quality_score").alias("max_quality_score"),
-        *[weigh(has_flag(flags, f)).alias(f"n_{f}") for f in FLAGS],
+        *[weigh(has_flag(flags, f)).alias(f"{COUNTED}{f}") for f in flag_names],
     )
 
 
 def derive_metrics(counters: DataFrame) -> DataFrame:
-    """Rates and issue map of a counter row.  ``pass_rate`` and ``error_rate`` are over rows read; ``tier_error_pct`` is
-    over the sum of tiers and duplicates; a zero denominator gives 0."""
+    """Rates and issue map of a counter row.  ``pass_rate`` and ``error_rate`` are over rows read, rows that are no CSV
+    among the errors; ``tier_error_pct`` is over the sum of tiers and duplicates; a zero denominator gives 0."""
     def rate(part: Column, whole: Column) -> Column:
         return F.coalesce(F.round(F.try_divide(part.cast("decimal(20,0)"), whole.cast("decimal(20,0)")), 4),
                           F.lit(0)).cast("decimal(7,4)")
 
     bad = F.col("records_failed") + F.col("records_duplicates")
     classified = F.col("records_passed") + F.col("records_warned") + bad
-    issues = F.filter(F.array(*[F.struct(F.lit(f).alias("key"), F.col(f"n_{f}").alias("value")) for f in FLAGS]),
-                      lambda x: x["value"] > 0)
+    counted = [c for c in counters.columns if c.startswith(COUNTED)]
+    issues = F.filter(F.array(*[F.struct(F.lit(c.removeprefix(COUNTED)).alias("key"), F.col(c).alias("value"))
+                                for c in counted]), lambda x: x["value"] > 0)
     average = F.round(F.try_divide(F.col("score_sum"), F.col("records_distinct").cast("decimal(20,0)")), 4)
     return counters.withColumns({
         "quality_issues": F.map_from_entries(issues),
         "avg_quality_score": F.coalesce(average, F.lit(0)).cast(SCORE),
         "pass_rate": rate(F.col("records_passed"), F.col("records_read")).cast(SCORE),
-        "error_rate": rate(bad, F.col("records_read")),
+        "error_rate": rate(bad + corrupt_rows(counters), F.col("records_read")),
         "tier_error_pct": rate(bad * 100, classified),
-    }).drop("score_sum", *[f"n_{f}" for f in FLAGS])
+    }).drop("score_sum", *counted)
 
 
 def issue_counts(df: DataFrame) -> DataFrame:
@@ -149,6 +160,7 @@ def quality_report(metrics: DataFrame, cfg: Config, source: str) -> DataFrame:
         "execution_timestamp": F.lit(cfg.executed_at).cast("timestamp"),
         "source_file": F.lit(source),
         "total_records": F.col("records_read"),
+        "records_corrupt": corrupt_rows(metrics),
         "transformation_version": F.lit(cfg.version),
     }).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in QUALITY_REPORT])
 
@@ -162,7 +174,7 @@ def lineage(metrics: DataFrame, cfg: Config, source: str, target: str) -> DataFr
         F.lit(cfg.executed_at).cast("timestamp").alias("transformation_timestamp"),
         F.col("records_read").alias("records_in"),
         (F.col("records_passed") + F.col("records_warned")).alias("records_out"),
-        (F.col("records_failed") + F.col("records_duplicates")).alias("records_error"))
+        (F.col("records_failed") + F.col("records_duplicates") + corrupt_rows(metrics)).alias("records_error"))
     return out.select(*[F.col(f.name).cast(f.dataType) for f in LINEAGE])
 
 
@@ -184,7 +196,7 @@ def validate_report(df: DataFrame, minimum: str = "0.95") -> DataFrame:
         present = present & (F.col(name).isNotNull() if name in df.columns else F.lit(False))
     limit = F.lit(minimum).cast(SCORE)
     sums = (F.col("records_passed") + F.col("records_warned") + F.col("records_failed")
-            + F.col("records_duplicates")) == F.col("total_records")
+            + F.col("records_duplicates") + corrupt_rows(df)) == F.col("total_records")
     return df.select("job_run_id", present.alias("has_required"),
                      (F.col("pass_rate") >= limit).alias("pass_rate_ok"),
                      (F.col("avg_quality_score") >= limit).alias("avg_score_ok"),

@@ -101,6 +101,7 @@ QUALITY_REPORT = _struct([
     ("records_warned", T.LongType(), False),
     ("records_failed", T.LongType(), False),
     ("records_duplicates", T.LongType(), True),
+    ("records_corrupt", T.LongType(), True),
     ("records_anomalies", T.LongType(), True),
     ("pass_rate", SCORE, False),
     ("quality_issues", T.MapType(T.StringType(), T.LongType()), False),

@@ -81,6 +81,11 @@ def write_lineage(df: DataFrame, root: str, cfg: Config) -> None:
     _write(df.withColumn(RUN, F.lit(cfg.run_id)), folder_of(root, "transformation_lineage"), [RUN])
 
 
+def write_log(df: DataFrame, root: str, folder: str, cfg: Config) -> None:
+    """JSON lines of a run; a repeated run replaces its own."""
+    _write(df.withColumn(RUN, F.lit(cfg.run_id)), f"{root.rstrip('/')}/{folder}", [RUN], "json")
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     table = TABLES[name]
     return spark.read.schema(table.schema).options(**(table.options or {})).format(table.file_format).load(
@@ -98,17 +103,22 @@ def table_exists(spark: SparkSession, root: str, name: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Rows of finished runs in a table, empty before the first load."""
+    if not table_exists(spark, root, name) or not table_exists(spark, root, "transformation_lineage"):
+        return spark.createDataFrame([], TABLES[name].schema)
+    return published(read_table(spark, root, name), read_table(spark, root, "transformation_lineage"))
+
+
 def read_curated(spark: SparkSession, root: str) -> DataFrame:
-    """The curated table, empty before the first load."""
-    if table_exists(spark, root, "curated_sales"):
-        return read_table(spark, root, "curated_sales")
-    return spark.createDataFrame([], TABLES["curated_sales"].schema)
+    """The curated table as readers see it: rows of finished runs."""
+    return read_published(spark, root, "curated_sales")
 
 
 def published(df: DataFrame, lineage: DataFrame) -> DataFrame:
     """Rows of finished runs: the lineage row is written last."""
-    done = lineage.select(F.col("job_run_id").alias(RUN)).distinct()
-    return df.join(done, RUN, "left_semi")
+    done = lineage.select(F.col("job_run_id").alias("_done")).distinct()
+    return df.join(done, F.col(RUN) == F.col("_done"), "left_semi")
 
 
 def register_tables(spark: SparkSession, root: str, database: str = "default") -> list[str]:
@@ -164,18 +174,23 @@ def discover(spark: SparkSession, path: str, declared: T.StructType, policy: str
     return diff
 
 
-def compact(spark: SparkSession, source: str, target: str, partitions: Sequence[str] = PARTITIONS,
-            target_mb: int = 192) -> None:
-    """Rewrite a partitioned folder into files of about ``target_mb``.  The result goes to a new folder to swap in,
-    since a folder cannot be overwritten while it is read.  Adaptive rebalancing sizes the write tasks: small folders
-    are merged, a large one is split."""
-    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", f"{target_mb}MB")
-    try:
-        df = spark.read.parquet(source)
-        df.hint("rebalance", *[F.col(c) for c in partitions]).write.partitionBy(*partitions).parquet(target)
-    finally:
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+def compact(spark: SparkSession, source: str, target: str, partitions_by: Sequence[str] = PARTITIONS,
+            target_mb: int = 192, max_records: int = 10_000_000) -> None:
+    """Rewrite a partitioned folder into files of about ``target_mb`` of Parquet.  The listing tells the bytes of each
+    partition and so its number of files; rows are dealt to them by hash.  The result goes to a new folder to swap in, since
+    a folder cannot be overwritten while it is read."""
+    keys = list(partitions_by)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(source)
+    sizes = listed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.ceil(F.sum("length") / (target_mb << 20)).alias("_files"))
+    rows = spark.read.parquet(source)
+    names = rows.columns
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    dealt = rows.join(sizes, same).withColumn("_file", F.pmod(F.xxhash64(*names), F.col("_files")))
+    (dealt.repartition(*keys, "_file").select(*names).write.partitionBy(*keys)
+     .option("maxRecordsPerFile", max_records).parquet(target))
 
 
 def ctas(df: DataFrame, target: str, partitions: Sequence[str] = PARTITIONS, drop: Sequence[str] = (),
