@@ -6,7 +6,27 @@ from queries.base import query, table
 from tillworks.operators import web
 
 
-@query("t01_t02_t03_page_fields")
+def _shown(html: str) -> str:
+    """The text that a piece of HTML shows, in SQL: no tags, characters for the references that the pages hold, trimmed."""
+    out = f"regexp_replace({html}, '<[^>]*>', '', 'g')"
+    for name, character in {"copy": "©", "middot": "·", "lt": "<", "gt": ">", "quot": '"'}.items():
+        out = f"replace({out}, '&{name};', '{character}')"
+    return f"regexp_replace(regexp_replace({out}, '&amp;?', '&', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+# paragraphs of the article; one that is not closed lasts to the end of the article
+PAGES_SQL = rf"""WITH bare AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*?)(</body>|$)', 1),
+  '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'g') AS body FROM pages),
+parts AS (SELECT *, string_split(split_part(regexp_extract(body, '(?s)<article>(.*)', 1), '</article>', 1), '<p>') AS ps
+  FROM bare),
+told AS (SELECT *, list_filter(list_transform(range(2, len(ps) + 1), lambda i: {_shown(
+    "CASE WHEN contains(ps[i], '</p>') THEN split_part(ps[i], '</p>', 1) ELSE array_to_string(ps[i:], '') END")}),
+  lambda t: length(t) > 30) AS texts FROM parts)
+SELECT page_id, url, left(coalesce(texts[1], ''), 500) AS description,
+  left(regexp_replace({_shown("body")}, '\s+', ' ', 'g'), 2000) AS trends_text, '' AS image_url FROM told"""
+
+
+@query("t01_t02_t03_page_fields", PAGES_SQL)
 def t01(spark, sf_dir):
     return web.page_fields(table(spark, sf_dir, "pages"))
 
