@@ -89,6 +89,27 @@ def t07(spark, sf_dir):
     return out.select("doc_id", "intro", shown.alias("trends"))
 
 
+@query("t07b_product_ideas", """SELECT doc_id, CAST(1 AS INT) AS idea,
+  CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN 'Concept Product' ELSE 'Concept Product' END AS product_name,
+  CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS description,
+  CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars AS DOUBLE) ELSE 0 END AS estimated_price_usd,
+  CASE WHEN doc_id % 3 = 0 THEN lang || ' => ' || source ELSE ' => ' END AS first_trend FROM documents""")
+def t07b(spark, sf_dir):
+    # answers with one product, with an empty list, and without JSON
+    docs = table(spark, sf_dir, "documents")
+    product = F.struct(
+        F.col("source").alias("product_name"), F.col("text").alias("description"),
+        F.col("n_chars").alias("estimated_price_usd"),
+        F.array(F.struct(F.col("lang").alias("title"), F.col("source").alias("description"))).alias("supporting_trends"))
+    kind = F.col("doc_id") % 3
+    answer = F.when(kind == 0, F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(product).alias("products"))),
+                                        F.lit("\n```"))).when(kind == 1, '{"products": []}').otherwise(F.col("text"))
+    ideas = responses.product_ideas(docs.select("doc_id", answer.alias("response")))
+    first = F.get("supporting_trends", F.lit(0))
+    return ideas.select("doc_id", "idea", "product_name", "description", "estimated_price_usd",
+                        F.concat(first["title"], F.lit(" => "), first["description"]).alias("first_trend"))
+
+
 @query("t09c_insight_digest", r"""SELECT conv_id, 'Web search insights (trends, pain points, competitors):' || chr(10) ||
   concat_ws(chr(10), '- Trends: ' || string_agg(part, ' | ' ORDER BY turn) FILTER (role = 'user' AND r <= 3),
   '- Pain points: ' || string_agg(part, ' | ' ORDER BY turn) FILTER (role = 'assistant' AND r <= 3)) || chr(10) || chr(10) AS digest

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.  Whole loads are compared by ``tests/compare.py``."""
+"""Registered queries against their SQL on the smallest tables."""
 
 import os
 
@@ -8,9 +8,7 @@ from queries import REGISTRY
 from tests.compare import differences, duck
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = ("load_", "j05b", "s16", "s22", "s21", "s20", "s14", "s15", "s05", "st1b", "st2b", "st3b", "st7", "a16", "a20",
-        "s09", "s10", "s13", "p15", "p11", "p14", "p07")
-NAMES = [n for n in REGISTRY if not n.startswith(SLOW) or os.environ.get("TEST_ALL")]
+NAMES = list(REGISTRY)
 
 
 @pytest.fixture(scope="module")

@@ -118,3 +118,21 @@ def test_numbered_items(spark):
     assert got[1] == [pad] * 5
     assert got[2] == ["Some Title\n" + ("word " * 10).strip(), "y" * 60, pad, pad, pad]
     assert got[3] == [pad] * 5
+
+
+def test_product_ideas(spark):
+    answer = {"products": [{"product_name": "P", "estimated_price_usd": 12.5, "key_ingredients": ["a", "b"],
+                            "supporting_trends": ["T: d"], "supporting_trends_intro": "Hi"}, {"product_name": "second"}]}
+    rows = [(1, "```json\n" + json.dumps(answer) + "\n```"), (2, '{"products": []}'), (3, "no json"), (4, None),
+            (5, '{"products": "x"}')]
+    df = spark.createDataFrame(rows, "id int, response string")
+    got = {r.id: r for r in responses.product_ideas(df).collect()}
+    assert len(got) == 5
+    assert (got[1].product_name, got[1].estimated_price_usd, got[1].key_ingredients) == ("P", 12.5, ["a", "b"])
+    assert (got[1].supporting_trends_intro, got[1].supporting_trends[0]) == ("Hi", ("T", "d"))
+    assert len(got[1].supporting_trends) == 5
+    for i in (2, 3, 4, 5):
+        assert (got[i].product_name, got[i].estimated_price_usd) == ("Concept Product", 0.0)
+        assert got[i].image_prompt == responses.DEFAULT_IDEA["image_prompt"]
+        assert [tuple(t) for t in got[i].supporting_trends] == [("", "")] * 5
+    assert responses.product_ideas(df, n=2).where("id = 1").select("product_name").collect()[1][0] == "second"

@@ -17,6 +17,11 @@ NO_TREND = "Market trend analysis unavailable."
 DIGEST_HEAD = "Web search insights (trends, pain points, competitors):"
 DIGEST_LABELS = {"trends": "Trends", "pain_points": "Pain points", "competitors": "Competitors"}
 
+# Number of product ideas of an answer and what stands for a missing one.
+IDEAS = 1
+DEFAULT_IDEA = {"product_name": "Concept Product", "description": "", "why_it_would_sell": "",
+                "competitive_advantage": "", "image_prompt": "Product bottle or package, clean background"}
+
 TREND = "struct<title:string,description:string>"
 
 
@@ -73,6 +78,32 @@ def normalise_responses(df: DataFrame, column: str = "response", list_field: str
     return out.drop("_body", column)
 
 
+def product_ideas(df: DataFrame, column: str = "response", n: int = IDEAS) -> DataFrame:
+    """The ``products`` list of each answer: n rows per answer, ``idea`` from 1, each with its texts, price, ingredients,
+    introduction and five trends.  Missing ideas, and answers that are no JSON, give the default idea."""
+    rest = [c for c in df.columns if c != column]
+    items = F.from_json(F.get_json_object("_body", "$.products"), "array<string>")
+    objects = F.coalesce(F.slice(items, 1, n), F.array().cast("array<string>"))
+    padded = F.slice(F.concat(objects, F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
+    ideas = df.withColumn("_body", strip_fences(F.col(column))).select(*rest, F.posexplode(padded).alias("idea", "_item"))
+    found = F.startswith("_item", F.lit("{"))
+
+    def text_of(field: str, default: str) -> Column:
+        return F.when(found, F.get_json_object("_item", f"$.{field}")).otherwise(default)
+
+    price = F.when(found, F.get_json_object("_item", "$.estimated_price_usd").try_cast("double")).otherwise(F.lit(0.0))
+    ingredients = F.from_json(F.get_json_object("_item", "$.key_ingredients"), "array<string>")
+    intro = F.get_json_object("_item", "$.supporting_trends_intro")
+    quoted = F.col("_item").rlike(r'"supporting_trends_intro"\s*:\s*"')
+    trends = trend_list(F.from_json(F.get_json_object("_item", "$.supporting_trends"), "array<string>"))
+    return ideas.select(
+        *rest, (F.col("idea") + 1).alias("idea"), *[text_of(f, d).alias(f) for f, d in DEFAULT_IDEA.items()],
+        price.alias("estimated_price_usd"),
+        F.coalesce(ingredients, F.array().cast("array<string>")).alias("key_ingredients"),
+        F.when(quoted, F.coalesce(intro, F.lit(""))).otherwise("").alias("supporting_trends_intro"),
+        trends.alias("supporting_trends"))
+
+
 def numbered_items(df: DataFrame, column: str, n: int = ITEMS) -> DataFrame:
     """``trends``: the items of a numbered list; under three of them, paragraphs with a title line or of some length are
     added; the list is padded to n."""
