@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from queries.base import CFG, query, sales_curated, sales_raw, table, with_curated, with_raw
 from queries.cleaning import KEY, cleaned
+from queries.investigation import schema_change_sql
 from tillworks.operators import analytics as an
-from tillworks.operators import cleaning, dedup, quality
+from tillworks.operators import dedup, quality
 from tillworks.plans import load as plan
 from tillworks.schema import RAW_COLUMNS
 from tillworks.session import scratch
@@ -147,13 +148,14 @@ def s14(spark, sf_dir):
         an.count_rows().alias("records"), F.countDistinct("month").alias("months"))
 
 
-@query("s15_discovery", "SELECT 'extra' AS column_name, 'added' AS change UNION ALL SELECT 'created_by', 'missing'")
+@query("s15_discovery", schema_change_sql("lineitem", """SELECT * EXCLUDE (l_tax)
+  REPLACE (CAST(l_quantity AS INTEGER) AS l_quantity), 1 AS extra FROM lineitem"""))
 def s15(spark, sf_dir):
     root = scratch(spark, "discovery")
-    rows = sales_curated(spark, sf_dir).withColumns({"record_hash": cleaning.record_hash(CFG), "extra": F.lit(1)})
-    rows.drop("l_orderkey", "l_linenumber", "l_suppkey").write.partitionBy("year", "month_num").parquet(root)
-    found = tables.discover(spark, root, tables.CURATED)
-    return found.where("change != 'type_changed'").select("column_name", "change")
+    lines = table(spark, sf_dir, "lineitem")
+    changed = lines.drop("l_tax").withColumns({"l_quantity": F.col("l_quantity").cast("int"), "extra": F.lit(1)})
+    changed.write.partitionBy("l_returnflag").parquet(root)
+    return tables.discover(spark, root, lines.schema).select("column_name", "change")
 
 
 @query("s18_j03_generator", """SELECT l2, COUNT(*) AS records, COUNT(DISTINCT d) AS days FROM (

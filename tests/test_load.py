@@ -201,3 +201,86 @@ def test_generator_is_reproducible(spark):
     assert a.count() == 2 * 2 * 8 and a.exceptAll(b).isEmpty()
     cleaned = cleaning.clean(a, CFG)
     assert cleaned.where("quality_flags != ''").isEmpty() and cleaned.select(*DEDUP_KEYS).distinct().count() == 32
+
+
+def test_calendar_bounds_reach_the_partitions(spark, folder):
+    rows = [(i, "n", "s", "c", "f", 1.0, -0.5, 3, "1.0", "MISSING_ITEMS", date(2024, m, 2), 2024, m)
+            for i, m in enumerate(range(1, 13))]
+    names = ("product_id long, product_name string, shop_name string, l2_category string, source_file string, "
+             "revenue_usd double, mom_growth_pct double, item_sold int, data_quality_score string, quality_flags string, "
+             "month date, year int, month_num int")
+    df = spark.createDataFrame(rows, names).withColumn("data_quality_score", F.col("data_quality_score").cast("decimal(5,4)"))
+    df.write.partitionBy("year", "month_num").parquet(f"{folder}/t")
+    stored = spark.read.parquet(f"{folder}/t")
+    cfg = replace(CFG, as_of=date(2024, 12, 31))
+    for got, n in ((analytics.since(stored, cfg, months=2), 2), (analytics.since(stored, cfg, days=3), 0),
+                   (analytics.declining(stored, cfg, "-0.2", 3), 3),
+                   (analytics.flag_drilldown(stored, "MISSING_ITEMS", ["month"], "2024-06-01"), 7),
+                   (analytics.current_and_previous_month(stored, cfg), 2)):
+        text = plan_of(got)
+        assert "PartitionFilters: [isnotnull(year" in text or "(year#" in text.split("PartitionFilters: [")[1].split("]")[0]
+        assert got.count() == n
+    listing = tables.partitions(spark, f"{folder}/t")
+    newest = analytics.latest_partition(listing)
+    assert newest.collect() == [(2024, 12)]
+    assert "binaryFile" in plan_of(newest) and "ReadSchema: struct<>" in plan_of(newest)
+    assert analytics.in_latest_partition(stored, listing).count() == 1
+
+
+def test_own_rules_count_and_weigh(spark, folder):
+    source = land(folder, date(2026, 1, 19), numbered(1000, 9))
+    rule = cleaning.Rule("SHOP_ON_WATCH", F.col("shop_name") == "Shop 1", Decimal("0.40"))
+    got = plan.run(spark, source, f"{folder}/out", CFG, own_rules=[rule])
+    assert got.metrics.quality_issues == {"SHOP_ON_WATCH": 3}
+    assert (got.metrics.records_passed, got.metrics.records_failed) == (6, 3)
+    low = tables.read_published(spark, f"{folder}/out", "quarantine_sales").collect()
+    assert {(r.quality_flags, r.data_quality_score) for r in low} == {("SHOP_ON_WATCH", Decimal("0.60"))}
+
+
+def test_unfinished_runs_stay_unseen(spark, folder):
+    source = land(folder, date(2026, 1, 19), numbered(1000, 5))
+    plan.run(spark, source, f"{folder}/out", CFG)
+    whole = tables.read_table(spark, f"{folder}/out", "curated_sales")
+    tables.write_curated(whole.drop("run_id"), f"{folder}/out", replace(CFG, run_id="half"))
+    assert tables.read_table(spark, f"{folder}/out", "curated_sales").count() == 10
+    seen = tables.read_curated(spark, f"{folder}/out")
+    assert seen.count() == 5
+    names = plan.views(seen)
+    assert spark.table("vw_quality_dashboard").count() == 1 and len(names) == 6
+    # what only the broken run wrote is not known to a later one
+    later = plan.load(spark, raw.read_raw(spark, source), f"{folder}/out", replace(CFG, run_id="next"), incremental=True)
+    assert later.metrics.records_known == 5
+
+
+def test_logs_of_a_run(spark, folder):
+    source = land(folder, date(2024, 4, 1), MALFORMED + "\nno row")
+    plan.run(spark, source, f"{folder}/out", CFG)
+    log = {(r.table_name, r.reason): r.record_count for r in spark.read.json(f"{folder}/out/change-logs").collect()}
+    assert log == {("error_sales", "MALFORMED"): 1, ("error_sales", "DUPLICATE"): 1, ("quarantine_sales", "LOW_QUALITY"): 2,
+                   ("curated_sales", "CURATED"): 2}
+    took = spark.read.json(f"{folder}/out/job-metrics").first()
+    assert took.duration_seconds > 0 and (took.records_read, took.records_written) == (6, 2)
+    line = tables.read_table(spark, f"{folder}/out", "transformation_lineage").first()
+    assert (line.records_in, line.records_out, line.records_error) == (6, 2, 4)
+    assert quality.validate_report(tables.read_table(spark, f"{folder}/out", "data_quality_metrics")).first().tiers_add_up
+
+
+def test_discovery_updates_the_catalog(spark, folder):
+    name = f"found_{os.path.basename(folder).replace('-', '_')}"
+    path = f"{folder}/t"
+    spark.range(3).selectExpr("id", "1 AS part").write.partitionBy("part").option("path", path).saveAsTable(name)
+    spark.range(2).selectExpr("id", "'x' AS extra", "2 AS part").write.mode("append").partitionBy("part").parquet(path)
+    diff = tables.discover(spark, path, spark.table(name).schema, "UPDATE", name)
+    assert [(r.column_name, r.change) for r in diff.collect()] == [("extra", "added")]
+    spark.catalog.refreshTable(name)
+    assert spark.table(name).where("extra = 'x'").count() == 2
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_months_by_flag(spark):
+    df = spark.createDataFrame([("MISSING_ITEMS", date(2024, 1, 1), 2024, 1)], "quality_flags string, month date, year int, "
+                               "month_num int")
+    row = analytics.flag_matrix(df).first()
+    assert row.missing_items == 1 and row.invalid_date == 0
+    total = df.select(quality.change_metrics(F.lit(1), F.lit(2), F.lit(3)).alias("c")).first().c
+    assert total.total_changes == 6
