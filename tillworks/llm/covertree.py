@@ -170,69 +170,80 @@ def _unit(values: pd.Series | list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _choose_pivots(classes: DataFrame, most: int) -> pd.DataFrame:
-    """A bounded sample in hash order, at least one pivot per group while there are fewer groups than ``most``."""
-    groups = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    total = classes.count()
-    wanted = F.greatest(F.lit(1), F.ceil(F.col("n") / max(BLOCK, -(-total // most))))
-    share = wanted / F.col("n")
-    marked = classes.join(groups, "grp")
+def _choose_pivots(classes: DataFrame, groups: DataFrame, most: int, block: int) -> pd.DataFrame:
+    """(grp, id, vector) of at most twice ``most`` pivots, in hash order: the largest of the groups that need several blocks
+    get them, at least one each."""
+    large = groups.where(F.col("n") > block).orderBy(F.col("n").desc(), "grp").limit(most)
+    total = large.agg(F.sum("n")).first()[0] or 0
+    share = F.greatest(F.lit(1), F.ceil(F.col("n") / max(block, -(-total // most)))) / F.col("n")
+    marked = classes.drop("n").join(F.broadcast(large), "grp")  # ``most`` rows at most
     lot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    # about the wanted number of each group by lot; the smallest lot of a group always
-    first = classes.groupBy("grp").agg(F.min(F.struct(lot.alias("lot"), "id", "vector")).alias("one")).select(
+    first = marked.groupBy("grp").agg(F.min(F.struct(lot.alias("lot"), "id", "vector")).alias("one")).select(
         "grp", "one.id", "one.vector")
     drawn = marked.where(lot < share).orderBy(lot).limit(most).select("grp", "id", "vector")
-    return first.orderBy("grp").limit(most).unionByName(drawn).distinct().toPandas()
+    return first.unionByName(drawn).distinct().toPandas()
 
 
 def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
           cosine: float = COSINE, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes: id, members key list is not kept, weight, grp, vector; counts: id, n; edges: u, v) where a class is a set of
-    equal vectors of one label under its smallest key, ``n`` the vectors of other classes it links with, and the edges
-    connect what the links connect."""
+    """(classes: id, weight, grp, vector, n; counts: id, n_linked; edges: u, v) where a class is a set of
+    equal vectors of one label under its smallest key, ``n`` the classes of its label, ``n_linked`` the vectors of other
+    classes that it links with, and the edges connect what the links connect."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = vectors.where(usable(vectors, vector, label)).select(
         F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("vector"),
         F.concat_ws(":", F.col(label).cast("string"), F.size(vector)).alias("grp"))
-    classes = staged(rows.groupBy("grp", "vector").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("weight")),
-                     "cover-classes")
-    chosen = _choose_pivots(classes, pivots)
-    held = {g: _unit(f["vector"]) for g, f in chosen.groupby("grp")}  # bounded: twice ``pivots`` vectors at most
-    shared = spark.sparkContext.broadcast(held)
+    found = staged(rows.groupBy("grp", "vector").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("weight")),
+                   "cover-found")
+    groups = staged(found.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "cover-groups")
+    classes = staged(found.join(groups, "grp"), "cover-classes")
+    held = {g: _unit(f["vector"]) for g, f in _choose_pivots(classes, groups, pivots, block).groupby("grp")}
+    shared = spark.sparkContext.broadcast(held)  # bounded: see _choose_pivots
 
     def assign(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             frame = batch.to_pandas()
-            cell, far = np.zeros(len(frame), np.int32), np.zeros(len(frame))
+            cell, far = np.full(len(frame), -1, np.int32), np.zeros(len(frame))
             for g, at in frame.groupby("grp").indices.items():
-                d = CoverTree._distance(_unit(frame["vector"].iloc[at]), shared.value[g]) if g in shared.value else np.zeros((len(at), 1))
-                cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
+                if g in shared.value:
+                    d = CoverTree._distance(_unit(frame["vector"].iloc[at]), shared.value[g])
+                    cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
             frame["cell"], frame["far"] = cell, far
-            yield pa.RecordBatch.from_pandas(frame[["grp", "vector", "id", "weight", "cell", "far"]], preserve_index=False)
+            yield pa.RecordBatch.from_pandas(frame[["grp", "vector", "id", "weight", "n", "cell", "far"]],
+                                             preserve_index=False)
 
     placed = staged(classes.mapInArrow(
-        assign, "grp string, vector array<double>, id bigint, weight bigint, cell int, far double"), "cover-cells")
-    cells = placed.groupBy("grp", "cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).toPandas()
+        assign, "grp string, vector array<double>, id bigint, weight bigint, n bigint, cell int, far double"), "cover-cells")
+    # one row per pivot
+    cells = placed.where("cell >= 0").groupBy("grp", "cell").agg(
+        F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).toPandas()
     reach = math.sqrt(max(2 - 2 * cosine, 0)) + SLACK
-    cover = {g: f.set_index("cell") for g, f in cells.groupby("grp")}  # one row per pivot
-    cover = {g: (f["radius"].reindex(range(len(held.get(g, [0])))).fillna(-10.0).to_numpy(),
-                 np.ceil(f["n"].reindex(range(len(held.get(g, [0])))).fillna(0).to_numpy() / block).astype(int)) for g, f in cover.items()}
+    cover = {}
+    for g, f in cells.groupby("grp"):
+        f = f.set_index("cell").reindex(range(len(held[g])))
+        cover[g] = f["radius"].fillna(-10.0).to_numpy(), np.ceil(f["n"].fillna(0).to_numpy() / block).astype(int)
     radii = spark.sparkContext.broadcast(cover)
 
+    def partners(vectors, cell, n, g):
+        """(first block of each cell, reachable cells of each vector, own cell); a group without pivots is one cell."""
+        if g not in radii.value:
+            return np.array([0, -(-int(n[0]) // block)]), np.ones((len(n), 1), bool), np.zeros(len(n), np.int64)
+        radius, n_blocks = radii.value[g]
+        near = CoverTree._distance(_unit(vectors), shared.value[g]) <= radius[None, :] + reach
+        near[np.arange(len(n)), cell] = True
+        return np.concatenate([[0], np.cumsum(n_blocks)]), near, cell
+
     def deal(batches: Iterator[pa.RecordBatch]):
         """Each vector to the pairs of blocks in which it can have a partner."""
         for batch in batches:
             frame = batch.to_pandas()
+            ids, cells_of, n = (frame[c].to_numpy() for c in ("id", "cell", "n"))
             out = {"row": [], "lo": [], "hi": [], "mine": []}
             for g, at in frame.groupby("grp").indices.items():
-                radius, n_blocks = radii.value[g]
-                first = np.concatenate([[0], np.cumsum(n_blocks)])  # blocks of a group are numbered through its cells
-                d = CoverTree._distance(_unit(frame["vector"].iloc[at]), shared.value[g]) if g in shared.value else np.zeros((len(at), 1))
-                own = frame["cell"].to_numpy()[at]
-                block_no = first[own] + frame["id"].to_numpy()[at] * 2654435761 % (1 << 32) % np.maximum(n_blocks[own], 1)
-                near = d <= radius[None, :] + reach
-                near[np.arange(len(at)), own] = True
+                first, near, own = partners(frame["vector"].iloc[at], cells_of[at], n[at], g)
+                width = np.maximum(first[own + 1] - first[own], 1)
+                block_no = first[own] + ids[at] * 2654435761 % (1 << 32) % width
                 for c in range(near.shape[1]):
                     who = np.flatnonzero(near[:, c])
                     for other in range(first[c], first[c + 1]):
@@ -242,13 +253,12 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
                         out["mine"].append(block_no[who])
             if not out["row"]:
                 continue
-            row = np.concatenate(out["row"])
+            row, lo, hi, mine = (np.concatenate(out[c]).astype(np.int64) for c in ("row", "lo", "hi", "mine"))
             for a in range(0, len(row), 10_000):
                 some = slice(a, a + 10_000)
                 dealt = frame[["grp", "vector", "id", "weight"]].iloc[row[some]].reset_index(drop=True)
-                for name in ("lo", "hi", "mine"):
-                    dealt[name] = np.concatenate(out[name])[some].astype(np.int64)
-                yield pa.RecordBatch.from_pandas(dealt, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(dealt.assign(lo=lo[some], hi=hi[some], mine=mine[some]),
+                                                 preserve_index=False)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id").reset_index(drop=True)
@@ -271,9 +281,9 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
 
     dealt = placed.mapInArrow(
         deal, "grp string, vector array<double>, id bigint, weight bigint, lo bigint, hi bigint, mine bigint")
-    found = staged(dealt.groupBy("grp", "lo", "hi").applyInPandas(compare, "u bigint, v bigint, n bigint"), "cover-links")
-    counts = found.where("n >= 0").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
-    return classes, counts, found.where("n < 0").select("u", "v")
+    linked = staged(dealt.groupBy("grp", "lo", "hi").applyInPandas(compare, "u bigint, v bigint, n bigint"), "cover-links")
+    counts = linked.where("n >= 0").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n_linked"))
+    return classes, counts, linked.where("n < 0").select("u", "v")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
@@ -282,7 +292,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes, counts, edges = links(vectors, key, vector, label, cosine, pivots, block)
     groups = components(edges)
     known = staged(classes.join(counts, "id", "left").join(groups, "id", "left").select(
-        "grp", "vector", F.col("weight") - 1 + F.coalesce("n", F.lit(0)), F.coalesce("component", "id")).toDF(
+        "grp", "vector", F.col("weight") - 1 + F.coalesce("n_linked", F.lit(0)), F.coalesce("component", "id")).toDF(
         "_grp", "_vector", "n_links", "component_id"), "cover-result")
     rows = vectors.select(F.col(key).alias("key"), F.when(usable(vectors, vector, label), F.col(vector).cast(
         "array<double>")).alias("vector"), F.concat_ws(":", F.col(label).cast("string"), F.size(vector)).alias("grp"))
