@@ -2,9 +2,9 @@
 
 Vectors of one label are compared by cosine; on unit vectors cosine >= c is distance <= sqrt(2 - 2c).  Equal vectors are
 folded into one with a weight first.  The top of the tree is a set of pivots, ``PIVOTS`` at most over all labels; every
-vector belongs to the cell of its nearest pivot, and a cell larger than ``BLOCK`` is cut by hash into blocks.  A vector goes to a partner
-cell only if it lies within the cell's covering radius and the threshold, so cells that are far apart never meet.  For
-each pair of blocks a task builds the lower levels (nested centres with halving radii, each node with its covering radius)
+vector belongs to the cell of its nearest pivot, and a cell larger than ``BLOCK`` is cut by hash into blocks; labels of one
+block need no pivots.  A vector goes to a partner cell only if it lies within the cell's covering radius and the
+threshold, so cells that are far apart never meet.  For each pair of blocks a task builds the lower levels (nested centres with halving radii, each node with its covering radius)
 and descends both trees at once, dropping node pairs whose distance exceeds the sum of their radii and the threshold.
 
 Links are counted in the task, and only a spanning forest of them leaves it, so a dense group of g vectors costs g rows, not

@@ -2,9 +2,10 @@
 
 Training.  Labels say which documents are toxic, not which words, so words of the training sample are tagged first: a word
 or a productive stem (first bytes shared by several words) marks a span when most of its documents are toxic, and more
-of them than chance allows over all candidates (a large-deviation bound); only toxic documents get marks.  Near copies count once: documents are weighted by one over the
-number of those that share a minimal shingle hash.  The chain (tags: clean, toxic) is then fitted to the tagged words by
-gradient ascent on its log-likelihood, expectations coming from the forward-backward recursion.
+of them than chance allows over all candidates (a large-deviation bound); only toxic documents get marks.  Near copies
+count once: documents are weighted by one over the number of those that share a minimal shingle hash.  The chain (tags:
+clean, toxic) is then fitted to the tagged words by gradient ascent on its log-likelihood, expectations coming from the
+forward-backward recursion.
 
 Scoring.  Marginals of every word of the whole text by forward-backward; a document's score is a logistic function, fitted
 on the same sample, of its largest marginal and its expected number of toxic words; words whose marginal reaches

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tillworks.llm.common import bit_filter, in_filter, staged
 
-#: The patterns find what the plain ones do (given beside each), in linear time: runs are taken whole, and a run that has been tried
-#: from its first character is not tried from the next one.
+#: The patterns find what the plain ones do (given beside each), in linear time: runs are taken whole, and a run that has
+#: been tried from its first character is not tried from the next one.
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -169,10 +169,10 @@ def disclosure(docs: DataFrame, found: DataFrame, text: str = "text", support: i
     said = docs.select(F.explode(F.array_distinct(lower)).alias("term"))
     said = in_filter(said, F.col("term"), bit_filter(wanted, "term", bits), bits, "wanted").where("wanted")
     terms = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    everything = found.agg(F.count(F.lit(1)).alias("n_all"))  # one row
-    rows = (together.join(terms, "term").join(values, ["kind", "value"]).join(F.broadcast(everything)))
-    inside = F.log2(F.col("n_all") / F.col("n_value"))
-    gained = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_term") * F.col("n_value")))
+    everything = found.agg(F.count(F.lit(1))).scalar()
+    rows = together.join(terms, "term").join(values, ["kind", "value"])
+    inside = F.log2(everything / F.col("n_value"))
+    gained = F.log2(F.col("n_both") * everything / (F.col("n_term") * F.col("n_value")))
     return rows.select(*pair, "n_both", "n_term", "n_value", F.when(inside > 0, F.least(gained / inside, F.lit(1.0)))
                        .otherwise(0.0).alias("disclosed"))
 
