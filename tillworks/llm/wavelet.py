@@ -219,7 +219,8 @@ class Encoder:
         starts = np.flatnonzero(first)
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
-        places = np.append(np.cumsum(inside)[starts] - 1, inside.sum()).astype(np.int64)
+        before = np.cumsum(inside, dtype=np.int32)
+        places = np.append(before[starts] - 1, before[-1]).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [
             None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
         known = self._ids(pieces.dictionary.to_pylist())
