@@ -246,6 +246,17 @@ def st4(spark, sf_dir):
     return text_times(logs.consecutive(windows, 1)).drop("breach")
 
 
+@query("st4b_ratio_alarm_stream", with_events(f"""SELECT {TIMES}, value FROM (
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, COUNT(*) FILTER (level = 'ERROR') * CAST(100 AS DOUBLE) / COUNT(*) AS value
+FROM log_events GROUP BY 1) WHERE value > 30 AND {CLOSED}"""))
+def st4b(spark, sf_dir):
+    alarm = Alarm("error_ratio", "avg", ">", 30, "1 hour")
+    out = scratch(spark, "ratio-windows")
+    windows = alarms.stream_ratio_windows(stream(spark, sf_dir), F.col("level") == "ERROR", F.lit(True), alarm, "10 minutes")
+    alarms.write_windows(windows, f"{out}/table", f"{out}/checkpoint")
+    return text_times(alarms.fired(spark, f"{out}/table", alarm)).drop("breach")
+
+
 @query("st7_stream_dedup", """SELECT user_id, event_type, COUNT(*) AS n FROM (
 SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL""")
 def st7(spark, sf_dir):

@@ -75,3 +75,20 @@ def test_rank_keeps_all_ties_of_a_large_group(spark):
 def test_gaps(spark):
     df = spark.createDataFrame([(2024, 11), (2025, 2), (None, None)], "year int, month_num int")
     assert sorted((r.year, r.month_num) for r in partition_gaps(df).collect()) == [(2024, 12), (2025, 1)]
+
+
+def test_recent_alarms_are_those_of_the_whole_table(spark, folder):
+    from datetime import datetime, timedelta
+
+    from tillworks.operators.logs import Alarm
+    from tillworks.streaming import alarms
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(hours=i), start + timedelta(hours=i + 1), 1.0, i % 7 != 0, i // 5) for i in range(60)]
+    spark.createDataFrame(rows, "window_start timestamp, window_end timestamp, value double, breach boolean, batch_id int"
+                          ).write.partitionBy("batch_id").parquet(f"{folder}/w")
+    alarm = Alarm("x", "avg", ">", 0, "1 hour", 3)
+    everything = {r.window_start for r in alarms.fired(spark, f"{folder}/w", alarm).collect()}
+    for hours in (0, 9, 30, 59):
+        since = start + timedelta(hours=hours)
+        got = {r.window_start for r in alarms.fired(spark, f"{folder}/w", alarm, since=since).collect()}
+        assert got == {t for t in everything if t >= since} and everything

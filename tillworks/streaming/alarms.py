@@ -8,6 +8,7 @@ several windows read the small window table, not the log.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +48,15 @@ def stream_ratio_windows(events: DataFrame, numerator: Column, denominator: Colu
     return logs.ratio_windows(with_watermark(events, delay, at), numerator, denominator, alarm, (), at)
 
 
-def fired(spark, path: str, alarm: Alarm, keys: Sequence[str] = ()) -> DataFrame:
-    """Alarms of the window table written so far."""
-    return logs.consecutive(spark.read.parquet(path).drop("batch_id"), alarm.periods, keys)
+def fired(spark, path: str, alarm: Alarm, keys: Sequence[str] = (), since: datetime | None = None) -> DataFrame:
+    """Alarms of the window table written so far; with ``since`` those of windows from then on, for which only the windows
+    that can complete them are read."""
+    windows = spark.read.parquet(path).drop("batch_id")
+    if since is None:
+        return logs.consecutive(windows, alarm.periods, keys)
+    back = F.expr(f"interval {alarm.window}") * F.lit(alarm.periods - 1)
+    recent = windows.where(F.col("window_start") >= F.lit(since) - back)
+    return logs.consecutive(recent, alarm.periods, keys).where(F.col("window_start") >= F.lit(since))
 
 
 def late_rows(batch: DataFrame, newest_before: DataFrame, delay: str, at: str = "timestamp") -> DataFrame:
