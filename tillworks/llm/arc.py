@@ -157,7 +157,10 @@ def write_warc(records: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES,
     groups = staged(records.where(F.col("payload_bytes") >= least).groupBy("digest").agg(
         F.max("key").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.col("digest").alias("of_digest"), "original"), "warc-groups")
-    joined = records.join(groups, (F.col("digest") == F.col("of_digest")) & (F.col("payload_bytes") >= least), "left")
+    # payloads that are never revisited, empty ones among them, must not meet in one task by their digest
+    spread = records.withColumn("wanted", F.when(F.col("payload_bytes") >= least, F.col("digest")).otherwise(
+        F.concat(F.lit("-"), F.coalesce(F.col("key").cast("string"), F.lit("")))))
+    joined = spread.join(groups, F.col("wanted") == F.col("of_digest"), "left")
     rows = joined.select(
         F.col("key").cast("string").alias("key"), "version", "record", F.col("original").cast("string").alias("original"),
         (F.col("of_digest").isNotNull() & ~F.col("key").eqNullSafe(F.col("original"))).alias("revisit"))

@@ -294,9 +294,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     known = staged(classes.join(counts, "id", "left").join(groups, "id", "left").select(
         "grp", "vector", F.col("weight") - 1 + F.coalesce("n_linked", F.lit(0)), F.coalesce("component", "id")).toDF(
         "_grp", "_vector", "n_links", "component_id"), "cover-result")
-    rows = vectors.select(F.col(key).alias("key"), F.when(usable(vectors, vector, label), F.col(vector).cast(
-        "array<double>")).alias("vector"), F.concat_ws(":", F.col(label).cast("string"), F.size(vector)).alias("grp"))
-    joined = rows.join(known, (F.col("grp") == F.col("_grp")) & (F.col("vector") == F.col("_vector")), "left")
+    able = usable(vectors, vector, label)
+    rows = vectors.where(able).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"),
+                                      F.concat_ws(":", F.col(label).cast("string"), F.size(vector)).alias("grp"))
+    joined = rows.join(known, (F.col("grp") == F.col("_grp")) & (F.col("vector") == F.col("_vector")), "left").select(
+        "key", "n_links", "component_id")
+    # vectors that link with nothing take no part in the join, where their NULL keys would meet in one task
+    none = F.lit(None).cast("bigint")
+    joined = joined.unionByName(vectors.where(~able).select(
+        F.col(key).alias("key"), none.alias("n_links"), none.alias("component_id")))
     component = F.coalesce("component_id", F.col("key").cast("bigint"))
     return joined.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
                          component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))

@@ -54,7 +54,9 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", digests:
     groups = staged(rows.where("_full is not null").groupBy("_full").agg(
         F.max(F.struct("key", "row_no")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"),
         "exact-dedup-groups")
-    joined = rows.join(groups, "_full", "left")
+    # texts without a copy are most of the table: as NULL keys they would meet in one task
+    spread = rows.withColumn("_group", F.coalesce("_full", F.concat(F.lit("-"), F.col("row_no"))))
+    joined = spread.join(groups, F.col("_group") == groups["_full"], "left").drop(groups["_full"])
     alone = F.col("best").isNull()
     return joined.select(
         F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("best.key")).alias("keep_id"),
