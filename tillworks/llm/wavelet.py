@@ -20,6 +20,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -194,16 +195,17 @@ class Encoder:
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.cache) > self.cache_words:
             self.cache = {}
-        cache = self.cache
-        new = [w for w in pieces if w not in cache]
-        texts = list(map(bytes.decode, new))
+        found = list(map(self.cache.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        texts = [pieces[i].decode() for i in missing]
         letters = list(map(str.isalpha, texts))
         for some, encode in ((True, self._fresh_letters), (False, self._fresh)):
-            known = [w for w, yes in zip(new, letters, strict=True) if yes == some]
-            if known:
-                cache.update(zip(known, encode([t for t, yes in zip(texts, letters, strict=True) if yes == some]),
-                                 strict=True))
-        return list(map(cache.__getitem__, pieces))
+            places = [i for i, yes in zip(missing, letters, strict=True) if yes == some]
+            if places:
+                fresh = encode([t for t, yes in zip(texts, letters, strict=True) if yes == some])
+                for i, ids in zip(places, fresh, strict=True):
+                    found[i] = self.cache[pieces[i]] = ids
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other; first id of each text and the end)."""
@@ -223,7 +225,10 @@ class Encoder:
         places = np.append(before[starts] - 1, before[-1]).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [
             None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
-        known = self._ids(pieces.dictionary.to_pylist())
+        _, bounds, distinct = pieces.dictionary.buffers()
+        distinct = distinct.to_pybytes()
+        bounds = np.frombuffer(bounds, np.int64)[:len(pieces.dictionary) + 1].tolist()
+        known = self._ids([distinct[a:b] for a, b in pairwise(bounds)])
         which = pieces.indices.to_numpy(zero_copy_only=False)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), "<u4")
