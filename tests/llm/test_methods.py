@@ -198,6 +198,33 @@ def test_field_learns_words_and_stems():
     assert ((scores >= 0.5) == (held["label"] == 1)).mean() > 0.97
 
 
+def test_long_chains_are_carried_from_piece_to_piece():
+    rng = np.random.default_rng(3)
+    docs = np.array([0, 700, 700, 701, 957, 1300])
+    emission, start, moves = rng.normal(size=1300) * 3, rng.normal(size=2), rng.normal(size=(2, 2)) * 2
+    held, crf.SEGMENT = crf.SEGMENT, 1300
+    try:
+        whole = crf.Chains(docs).marginals(emission, start, moves, True)
+        for crf.SEGMENT in (1, 7, 128, 343):
+            for got, wanted in zip(crf.Chains(docs).marginals(emission, start, moves, True), whole, strict=True):
+                assert np.allclose(got, wanted)
+    finally:
+        crf.SEGMENT = held
+    p = crf.Chains(np.array([0, 4])).marginals(np.array([900.0, -900, 900, -900]), start, moves)
+    assert np.allclose(p, [1, 0, 1, 0])
+
+
+def test_field_is_fitted_to_all_texts_of_the_sample():
+    rng = random.Random(4)
+    rows = [(f"alpha{i} {rng.choice('bcdefg') * 4} rotter", 1) for i in range(1250)]
+    rows += [(f"zulu{i} {rng.choice('bcdefg') * 4} vilest", 1) for i in range(150)]
+    rows += [(f"{rng.choice(['alpha', 'zulu'])}{i} {rng.choice('bcdefg') * 4} plain", 0) for i in range(3000)]
+    sample = pd.DataFrame(rows, columns=["text", "label"]).sort_values(["label", "text"]).reset_index(drop=True)
+    model = crf.train(sample)
+    texts = pa.array(["bbbb vilest", "bbbb rotter", "bbbb plain"])
+    assert (crf.tag_batch(model, crf.Lookup(model.features), texts)[0] >= 0.5).tolist() == [True, True, False]
+
+
 def test_training_without_both_classes():
     one = pd.DataFrame({"text": ["a b"], "label": [1]})
     assert crf.train(one).constant == 1.0

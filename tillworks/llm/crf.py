@@ -4,8 +4,8 @@ Training.  Labels say which documents are toxic, not which words, so words of th
 or a productive stem (first bytes shared by several words) marks a span when most of its documents are toxic, and more
 of them than chance allows over all candidates (a large-deviation bound); only toxic documents get marks.  Near copies
 count once: documents are weighted by one over the number of those that share a minimal shingle hash.  The chain (tags:
-clean, toxic) is then fitted to the tagged words by gradient ascent on its log-likelihood, expectations coming from the
-forward-backward recursion.
+clean, toxic) is then fitted to the tagged words of the whole sample by gradient ascent on its log-likelihood,
+expectations coming from the forward-backward recursion.
 
 Scoring.  Marginals of every word of the whole text by forward-backward; a document's score is a logistic function, fitted
 on the same sample, of its largest marginal and its expected number of toxic words; words whose marginal reaches
@@ -42,7 +42,8 @@ SPAN = 0.5
 STEPS = 60
 RATE = 0.3
 L2 = 1e-4
-MARKED = 1_200  # toxic, and as many clean, documents that the chain itself is fitted to
+SEGMENT = 128  # words of a piece of a chain
+PART_WORDS = 1 << 20
 
 
 @dataclass
@@ -83,49 +84,76 @@ class Lookup:
         return place[same], at[same]
 
 
+class _Runs:
+    """Documents laid out as pieces of at most ``SEGMENT`` words, by falling length, so that step t works on the first
+    ``active[t]`` of them at once.  A piece passes on its state as a function of the state it starts from (a 2 x 2 matrix),
+    so a long document takes as many steps as a piece has words and as the document has pieces."""
+
+    def __init__(self, docs: np.ndarray):
+        pieces = -(-np.diff(docs) // SEGMENT)
+        number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(docs[:-1], pieces) + number * SEGMENT
+        size = np.minimum(np.repeat(docs[1:], pieces) - first, SEGMENT)
+        order = np.argsort(-size, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.first, sizes = first[order], size[order]
+        self.active = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")
+        followed = np.flatnonzero(number + 1 < np.repeat(pieces, pieces))
+        followed = followed[np.argsort(number[followed], kind="stable")]
+        self.followed, self.next = place[followed], place[followed + 1]
+        self.rounds = np.concatenate([[0], np.cumsum(np.bincount(number[followed]))]) if len(followed) else np.zeros(1, int)
+
+    def carry(self, own: np.ndarray, moves: np.ndarray, begin: float) -> np.ndarray:
+        """Odds of toxic at each word from all words before it.  own: odds by the word itself; moves: factors."""
+        t00, t01, t10, t11 = moves.ravel()
+        state = np.full(len(self.first), begin)
+        if len(self.followed):
+            at = self.first[self.followed]
+            a, b, c, d = (np.full(len(at), v) for v in (1.0, 0.0, 0.0, 1.0))  # clean, toxic by the two first states
+            for t in range(SEGMENT):
+                x = own[at + t]
+                c, d = c * x, d * x
+                a, b, c, d = t00 * a + t10 * c, t00 * b + t10 * d, t01 * a + t11 * c, t01 * b + t11 * d
+                total = a + b + c + d
+                a, b, c, d = a / total, b / total, c / total, d / total
+            for lo, hi in zip(self.rounds[:-1], self.rounds[1:], strict=True):
+                before = state[self.followed[lo:hi]]
+                state[self.next[lo:hi]] = (c[lo:hi] + d[lo:hi] * before) / (a[lo:hi] + b[lo:hi] * before)
+        out = np.empty(len(own))
+        for t, k in enumerate(self.active):
+            here = self.first[:k] + t
+            out[here] = state[:k]
+            x = state[:k] * own[here]
+            state[:k] = (t01 + t11 * x) / (t00 + t10 * x)
+        return out
+
+
 class Chains:
-    """Documents laid out by falling length, so that step t works on the first ``active[t]`` of them at once."""
+    """Documents as chains of words: ``docs[i]:docs[i+1]`` are the words of document i."""
 
     def __init__(self, docs: np.ndarray):
-        lengths = np.diff(docs)
-        self.order = np.argsort(-lengths, kind="stable")
-        self.lengths = lengths[self.order]
-        self.first = docs[:-1][self.order]
-        self.steps = int(self.lengths[0]) if len(lengths) else 0
-        self.active = np.searchsorted(-self.lengths, -np.arange(self.steps), "left")
+        docs = np.asarray(docs)
+        self.ahead, self.behind = _Runs(docs), _Runs(docs[-1] - docs[::-1])
+        self.firsts = docs[:-1][np.diff(docs) > 0]
 
     def marginals(self, emission: np.ndarray, start: np.ndarray, moves: np.ndarray, pairs: bool = False):
         """P(toxic) of each word, and with ``pairs`` the summed probabilities of tag pairs.  emission: the score of tag
-        toxic, that of clean being 0.  A state is kept as the log odds of toxic, so nothing under- or overflows."""
-        n = len(emission)
-        ahead, behind = np.zeros(n), np.zeros(n)  # log odds from the left with the word's own score, from the right
-        t00, t01, t10, t11 = moves.ravel()
-        at = self.first
-        for t in range(self.steps):
-            k = self.active[t]
-            here = at[:k] + t
-            if t == 0:
-                ahead[here] = start[1] - start[0] + emission[here]
-            else:
-                left = ahead[here - 1]
-                ahead[here] = np.logaddexp(t01, t11 + left) - np.logaddexp(t00, t10 + left) + emission[here]
-        for t in range(self.steps - 2, -1, -1):
-            k = self.active[t + 1]
-            here = at[:k] + t
-            right = behind[here + 1] + emission[here + 1]
-            behind[here] = np.logaddexp(t10, t11 + right) - np.logaddexp(t00, t01 + right)
-        odds = ahead + behind
-        p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        toxic, that of clean being 0.  A state is kept as the odds of toxic before the word itself, which the moves bound, so
+        nothing under- or overflows."""
+        own, factors = np.exp(np.clip(emission, -300, 300)), np.exp(moves - moves.max())
+        left = self.ahead.carry(own, factors, float(np.exp(start[1] - start[0]))) * own
+        right = self.behind.carry(own[::-1], factors.T, 1.0)[::-1]
+        odds = left * right
+        p = odds / (1 + odds)
         if not pairs:
             return p
-        inner = np.ones(n, bool)
-        inner[at[self.lengths > 0]] = False
+        inner = np.ones(len(own), bool)
+        inner[self.firsts] = False
         here = np.flatnonzero(inner)
-        right = behind[here] + emission[here]
-        scores = np.stack([np.full(len(here), t00), t01 + right, t10 + ahead[here - 1], t11 + ahead[here - 1] + right])
-        scores -= scores.max(axis=0)
-        scores = np.exp(scores)
-        return p, (scores / scores.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        x, y = left[here - 1], own[here] * right[here]
+        total = factors[0, 0] + factors[0, 1] * y + (factors[1, 0] + factors[1, 1] * y) * x
+        return p, factors * [[(1 / total).sum(), (y / total).sum()], [(x / total).sum(), (x * y / total).sum()]]
 
 
 def _sample_features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -155,6 +183,15 @@ def _copy_weights(docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return 1 / size
 
 
+def _document_ranges(docs: np.ndarray, most: int):
+    """(first, last) ranges of documents of about ``most`` words, or one document if that is longer."""
+    at = 0
+    while at < len(docs) - 1:
+        end = max(at + 1, int(np.searchsorted(docs, docs[at] + most, "right")) - 1)
+        yield at, end
+        at = end
+
+
 def _evidence(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, weight: np.ndarray
               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature, toxic weight, clean weight) of distinct (document, feature) pairs; feature 0 is none."""
@@ -205,42 +242,41 @@ def train(sample: pd.DataFrame) -> Model:
     tag[place[np.isin(features[feature], marks)]] = 1
     tag *= toxic[doc]
 
-    # the chain is fitted to a part: all classes, marked words in it
-    chosen = np.concatenate([np.flatnonzero(toxic == c)[:MARKED] for c in (1, 0)])
-    part = np.zeros(len(toxic), bool)
-    part[chosen] = True
-    inside = part[doc]
-    moved = np.cumsum(inside) - 1
-    docs = np.concatenate([[0], np.cumsum(np.diff(all_docs)[part])])
-    chains = Chains(docs)
-    keep = inside[place]
-    place_in, feature_in, y = moved[place[keep]], feature[keep], tag[inside]
-    firsts = docs[:-1][np.diff(docs) > 0]
-    later = np.ones(len(y), bool)
+    order = np.argsort(place, kind="stable")
+    place, feature = place[order], feature[order]
+    firsts = all_docs[:-1][np.diff(all_docs) > 0]
+    later = np.ones(len(tag), bool)
     later[firsts] = False
     here = np.flatnonzero(later)
-    true_pairs = np.array([[((y[here - 1] == a) & (y[here] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
-    true_start = np.array([(y[firsts] == 0).sum(), (y[firsts] == 1).sum()], float)
+    true_pairs = np.array([[((tag[here - 1] == a) & (tag[here] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
+    true_start = np.array([(tag[firsts] == 0).sum(), (tag[firsts] == 1).sum()], float)
+    parts = []  # the whole sample, some documents at a time: what a step holds is bounded by them
+    for i, j in _document_ranges(all_docs, PART_WORDS):
+        lo, hi = np.searchsorted(place, [all_docs[i], all_docs[j]])
+        parts.append((Chains(all_docs[i:j + 1] - all_docs[i]), place[lo:hi] - all_docs[i], feature[lo:hi],
+                      tag[all_docs[i]:all_docs[j]]))
     weights, bias, start, moves = np.zeros(len(features)), 0.0, np.zeros(2), np.zeros((2, 2))
     params = np.zeros(len(features) + 7)
     m, v = np.zeros_like(params), np.zeros_like(params)
-    scale = max(1.0, y.sum())
+    scale = max(1.0, tag.sum())
     for step in range(1, STEPS + 1):
         weights, bias, start, moves = (params[:len(features)], params[len(features)], params[-6:-4],
                                        params[-4:].reshape(2, 2))
-        emission = bias + np.bincount(place_in, weights[feature_in], len(y))
-        p, pair = chains.marginals(emission, start, moves, True)
-        rest = y - p
-        gradient = np.concatenate([
-            np.bincount(feature_in, rest[place_in], len(features)), [rest.sum()],
-            true_start - [(1 - p[firsts]).sum(), p[firsts].sum()], (true_pairs - pair).ravel()]) / scale - L2 * params
+        gradient = np.concatenate([np.zeros(len(features) + 1), true_start, true_pairs.ravel()])
+        for chains, at, which, y in parts:
+            p, pair = chains.marginals(bias + np.bincount(at, weights[which], len(y)), start, moves, True)
+            rest, first = y - p, p[chains.firsts]
+            gradient += np.concatenate([np.bincount(which, rest[at], len(features)), [rest.sum()],
+                                        [-(1 - first).sum(), -first.sum()], -pair.ravel()])
+        gradient = gradient / scale - L2 * params
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient ** 2
         params = params + RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     weights, bias, start, moves = (params[:len(features)].copy(), float(params[len(features)]), params[-6:-4].copy(),
                                    params[-4:].reshape(2, 2).copy())
     model = Model(features, weights, bias, start, moves, np.zeros(3))
-    emission = bias + np.bincount(place, weights[feature], len(doc))
-    x = _document_values(Chains(all_docs).marginals(emission, start, moves), all_docs)
+    p = np.concatenate([chains.marginals(bias + np.bincount(at, weights[which], len(y)), start, moves)
+                        for chains, at, which, y in parts])
+    x = _document_values(p, all_docs)
     model.document = _logistic(x, toxic, weight)
     return model
 
