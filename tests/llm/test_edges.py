@@ -341,6 +341,31 @@ def test_classifiers(documents, no_documents, labels):
     assert scored.select("row.*").columns == documents.columns
 
 
+def test_sample_takes_texts_of_all_lengths(spark):
+    from tillworks.llm.sample import held_out, labelled_sample
+    texts = {i: f"{i} " + ("long " * 3_000 if i % 2 else "short") for i in range(200)} | {i: "" for i in range(200, 400)}
+    texts[400] = texts[399] = "same"
+    docs = spark.createDataFrame(list(texts.items()) + [(1, "another text of 1"), (2, texts[2])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(420)] + [(None, 1)], "doc_id bigint, toxic int")
+    learned = {r.doc_id for r in labels.where(~held_out()).collect()}
+    wanted = {(texts[i], i % 2) for i in learned if texts.get(i)} | ({("another text of 1", 1)} if 1 in learned else set())
+    got = labelled_sample(docs, labels, "toxic", {0: 1_000, 1: 1_000}, 20_000)
+    assert Counter(zip(got["text"], got["label"], strict=True)) == Counter(wanted)
+    # empty texts and ids without text do not use up the number; the bytes bound whole texts, the last one passes it
+    got = labelled_sample(docs, labels, "toxic", {0: 50, 1: 40}, 10_000)
+    sizes = [len(t) for t in got["text"][got["label"] == 1]]
+    assert (got["label"] == 0).sum() == 50
+    assert sum(sizes) >= 400_000 > sum(sizes) - max(sizes)
+
+
+def test_constant_is_the_share_of_all_labels(spark):
+    docs = spark.createDataFrame([(i, "" if i % 2 else f"plain {i}") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 1 - i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    for module in (crf, factorisation):
+        scores = {r.score for r in module.classify(docs, labels).collect()}
+        assert len(scores) == 1 and 0.3 < scores.pop() < 0.7
+
+
 def test_spans_are_code_points(spark):
     from tests.llm.test_methods import toxic_sample
     model = crf.train(toxic_sample())

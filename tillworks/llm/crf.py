@@ -11,7 +11,7 @@ Scoring.  Marginals of every word of the whole text by forward-backward; a docum
 on the same sample, of its largest marginal and its expected number of toxic words; words whose marginal reaches
 ``SPAN`` are returned as spans.  The model (a few thousand numbers) travels with the tasks.
 
-Cases: NULL and empty texts have no words and get the score of a document without toxic words; without labels of both
+Cases: NULL and empty texts have no words and get the score of a document without toxic words; without texts of both
 classes all scores are the share of toxic labels (0 without labels); rows that repeat are scored alike.
 """
 
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.llm.common import bounded_batches
-from tillworks.llm.sample import held_out, labelled_sample
+from tillworks.llm.sample import held_out, label_share, labelled_sample
 from tillworks.llm.words import NO_LETTER, Words, mix, slices, words
 
 SAMPLE = {0: 4_000, 1: 2_000}
-SAMPLE_BYTES = 8_192
+SAMPLE_BYTES = 8_192  # on average: a class of the sample holds so many for each of its texts
 STEMS = (4, 5, 6, 7)
 STEM_WORDS = 5
 PURITY = 0.5
@@ -43,7 +43,7 @@ STEPS = 60
 RATE = 0.3
 L2 = 1e-4
 SEGMENT = 128  # words of a piece of a chain
-PART_WORDS = 1 << 20
+PART_WORDS = 1 << 18
 
 
 @dataclass
@@ -156,15 +156,22 @@ class Chains:
         return p, factors * [[(1 / total).sum(), (y / total).sum()], [(x / total).sum(), (x * y / total).sum()]]
 
 
-def _sample_features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """(feature hashes by kind, first word of each document and the end), a megabyte of text at a time."""
-    kinds, sizes = [[] for _ in range(1 + len(STEMS))], [np.zeros(1, np.int64)]
+def _sample_features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(feature hashes by kind of each distinct word, number of each word, first word of each document and the end), a
+    megabyte of text at a time: words take 4 bytes each."""
+    kinds, numbers, sizes, held = [[] for _ in range(1 + len(STEMS))], [], [np.zeros(1, np.int64)], 0
     for a, b in slices(texts, 1 << 20):
         w = words(texts.slice(a, b - a), NO_LETTER)
-        for held, hashes in zip(kinds, _feature_hashes(w), strict=True):
-            held.append(hashes)
+        hashes = _feature_hashes(w)
+        _, first, number = np.unique(hashes[0], return_index=True, return_inverse=True)
+        for kind, h in zip(kinds, hashes, strict=True):
+            kind.append(h[first])
+        numbers.append((number + held).astype(np.int32))
+        held += len(first)
         sizes.append(np.diff(w.docs))
-    return [np.concatenate(k) for k in kinds], np.cumsum(np.concatenate(sizes))
+    kinds = [np.concatenate(k) for k in kinds]
+    _, first, number = np.unique(kinds[0], return_index=True, return_inverse=True)
+    return [k[first] for k in kinds], number.astype(np.int32)[np.concatenate(numbers)], np.cumsum(np.concatenate(sizes))
 
 
 def _copy_weights(docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -206,44 +213,45 @@ def _evidence(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, weight: n
             np.bincount(at, weight[d] * (1 - toxic[d]), len(names)))
 
 
-def train(sample: pd.DataFrame) -> Model:
-    """Fit to (text, label)."""
+def train(sample: pd.DataFrame, share: float | None = None) -> Model:
+    """Fit to (text, label); ``share`` is the share of label 1 among all labels learned from, that of the sample if not given."""
     toxic = sample["label"].to_numpy(float)
     if not 0 < toxic.sum() < len(toxic):
-        share = float(toxic.mean()) if len(toxic) else 0.0
+        if share is None:
+            share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros(2), np.zeros((2, 2)), np.zeros(3), share)
-    kinds, all_docs = _sample_features(pa.array(sample["text"]))
-    doc = np.repeat(np.arange(len(toxic)), np.diff(all_docs))
-    weight = _copy_weights(all_docs, kinds[0])
+    kinds, word, all_docs = _sample_features(pa.array(sample["text"]))
+    weight = _copy_weights(all_docs, kinds[0][word])
+    n_words = max(1, len(kinds[0]))
+    doc, doc_word = np.divmod(np.concatenate([np.unique(i * n_words + word[a:b].astype(np.int64)) for i, (a, b) in enumerate(
+        zip(all_docs[:-1], all_docs[1:], strict=True))]), n_words)
     base = (weight * toxic).sum() / weight.sum()
     marks, common = [], np.zeros(0, np.uint64)
     for number, hashes in enumerate(kinds):
-        names, bad, good = _evidence(doc, hashes, toxic, weight)
+        names, bad, good = _evidence(doc, hashes[doc_word], toxic, weight)
         if number == 0:
             common = names[np.argsort(-(bad + good))[:COMMON]]
-            first_place = np.unique(hashes, return_index=True)[1]
         else:  # stems that several words share
-            stem = hashes[first_place]
-            shared, n = np.unique(stem[stem != 0], return_counts=True)
+            shared, n = np.unique(hashes[hashes != 0], return_counts=True)
             productive = np.isin(names, shared[n >= STEM_WORDS])
             names, bad, good = names[productive], bad[productive], good[productive]
         if len(names):
-            share = np.clip(bad / (bad + good), 1e-9, 1 - 1e-9)
-            surprise = (bad + good) * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-            marks.append(names[(share >= PURITY) & (surprise >= math.log(len(names)) + math.log(100))])
+            pure = np.clip(bad / (bad + good), 1e-9, 1 - 1e-9)
+            surprise = (bad + good) * (pure * np.log(pure / base) + (1 - pure) * np.log((1 - pure) / (1 - base)))
+            marks.append(names[(pure >= PURITY) & (surprise >= math.log(len(names)) + math.log(100))])
     marks = np.unique(np.concatenate(marks))
     features = np.unique(np.concatenate([marks, common]))
     if not len(features):
         features = np.array([1], np.uint64)
     lookup = Lookup(features)
-    found = [lookup.find(h) for h in kinds]
-    place, feature = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-    tag = np.zeros(len(doc))
-    tag[place[np.isin(features[feature], marks)]] = 1
-    tag *= toxic[doc]
-
-    order = np.argsort(place, kind="stable")
-    place, feature = place[order], feature[order]
+    held = []  # feature of each distinct word by kind, -1 where there is none
+    marked = np.zeros(len(kinds[0]), bool)
+    for hashes in kinds:
+        at, feature = lookup.find(hashes)
+        held.append(np.full(len(hashes), -1, np.int32))
+        held[-1][at] = feature
+        marked[at] |= np.isin(features[feature], marks)
+    tag = marked[word] & np.repeat(toxic == 1, np.diff(all_docs))
     firsts = all_docs[:-1][np.diff(all_docs) > 0]
     later = np.ones(len(tag), bool)
     later[firsts] = False
@@ -252,9 +260,11 @@ def train(sample: pd.DataFrame) -> Model:
     true_start = np.array([(tag[firsts] == 0).sum(), (tag[firsts] == 1).sum()], float)
     parts = []  # the whole sample, some documents at a time: what a step holds is bounded by them
     for i, j in _document_ranges(all_docs, PART_WORDS):
-        lo, hi = np.searchsorted(place, [all_docs[i], all_docs[j]])
-        parts.append((Chains(all_docs[i:j + 1] - all_docs[i]), place[lo:hi] - all_docs[i], feature[lo:hi],
-                      tag[all_docs[i]:all_docs[j]]))
+        lo, hi = all_docs[i], all_docs[j]
+        found = [h[word[lo:hi]] for h in held]
+        at = [np.flatnonzero(f >= 0).astype(np.int32) for f in found]
+        which = np.concatenate([f[a] for f, a in zip(found, at, strict=True)])
+        parts.append((Chains(all_docs[i:j + 1] - lo), np.concatenate(at), which, tag[lo:hi]))
     weights, bias, start, moves = np.zeros(len(features)), 0.0, np.zeros(2), np.zeros((2, 2))
     params = np.zeros(len(features) + 7)
     m, v = np.zeros_like(params), np.zeros_like(params)
@@ -350,7 +360,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     sample = labelled_sample(docs, labels, label, SAMPLE, SAMPLE_BYTES)
-    return train(sample.assign(text=sample["text"].str.lower()))
+    sample["text"] = sample["text"].str.lower()
+    return train(sample, label_share(labels, label))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.llm.common import bounded_batches
-from tillworks.llm.sample import held_out, labelled_sample
+from tillworks.llm.sample import held_out, label_share, labelled_sample
 from tillworks.llm.words import NO_LETTER, SPACE, slices, text_bytes, words
 
 BITS = 15
 BUCKETS = 1 << BITS
 RANK = 8
 SAMPLE = {0: 3_000, 1: 5_000}
-SAMPLE_BYTES = 16_384
+SAMPLE_BYTES = 16_384  # on average: a class of the sample holds so many for each of its texts
 EPOCHS = 20
 BATCH = 256
 RATE = 0.1
@@ -197,8 +197,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    share = labels.where(F.col(label).isin(0, 1) & ~held_out()).agg(F.avg(F.col(label))).first()[0]
-    return train(labelled_sample(docs, labels, label, SAMPLE, SAMPLE_BYTES), float(share or 0.0))
+    return train(labelled_sample(docs, labels, label, SAMPLE, SAMPLE_BYTES), label_share(labels, label))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.llm.common import staged
+
 FOLDS = 5
 
 
@@ -16,17 +16,33 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], longest: int,
+def label_share(labels: DataFrame, label: str, key: str = "doc_id") -> float:
+    """Share of label 1 among all labels that may be learned from; 0 without any."""
+    return float(labels.where(F.col(label).isin(0, 1) & ~held_out(key)).agg(F.avg(F.col(label))).first()[0] or 0.0)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], mean_bytes: int,
                     key: str = "doc_id", text: str = "text") -> pd.DataFrame:
-    """(text, label): the distinct texts of at most ``most[c]`` rows of class c, by hash order of the id, that are not empty
-    and not longer than ``longest`` bytes.  Both bounds hold for training only; scoring reads every text whole.  The rows
-    are chosen among the labels, so what is broadcast to the scan of the texts is at most the sample's ids."""
+    """(text, label): distinct whole texts that are not empty, of any length, in hash order of their ids: of class c at most
+    ``most[c]``, taken until they hold ``most[c] * mean_bytes`` bytes together (the last one may pass that).  Both bounds hold
+    for training only; scoring reads every text whole.  Lengths and hashes of the labelled texts decide, so what is
+    broadcast to the scan of the texts is at most the sample's ids."""
     marks = labels.where(F.col(label).isin(list(most)) & ~held_out(key)).select(
         F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).distinct()
-    at = F.xxhash64("_key")
-    chosen = [marks.where(F.col("label") == c).orderBy(at, "_key").limit(n) for c, n in sorted(most.items())]
-    chosen = reduce(DataFrame.unionByName, chosen)
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).where(
-        (F.octet_length("text") > 0) & (F.octet_length("text") <= longest))
-    frame = texts.join(F.broadcast(chosen), "_key").select("text", "label").toPandas()
-    return frame.drop_duplicates().sort_values(["label", "text"]).reset_index(drop=True)
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).where(F.octet_length("text") > 0)
+    texts = texts.withColumn("_digest", F.xxhash64("text"))
+    sizes = texts.select("_key", "_digest", F.octet_length("text").alias("_size")).join(marks, "_key")
+    sizes = staged(sizes.groupBy("label", "_digest").agg(F.max("_size").alias("_size"), F.min(F.struct(
+        F.xxhash64("_key").alias("at"), F.col("_key").alias("key"))).alias("_first")), "sample-sizes")
+    chosen = []
+    for c, n in sorted(most.items()):
+        total = 0
+        for row in sizes.where(F.col("label") == c).orderBy("_first", "_digest").limit(n).collect():
+            if total >= n * mean_bytes:
+                break
+            total += row["_size"]
+            chosen.append((row["_first"]["key"], row["_digest"], c))
+    key_type = texts.schema["_key"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(chosen, f"_key {key_type}, _digest bigint, label int")
+    found = texts.join(F.broadcast(chosen), ["_key", "_digest"]).groupBy("label", "_digest").agg(F.min("text").alias("text"))
+    return found.select("text", "label").toPandas().sort_values(["label", "text"]).reset_index(drop=True)
