@@ -288,6 +288,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: (r.n_links, r.class_id) for r in rows} == {i: (len(near[i]), label[i]) for i in range(n)}
 
 
+def test_embeddings_without_or_with_one_id(spark):
+    near, far = [[1.0, 0.01 * i, 0.0] for i in range(4)], [[0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]]
+    rows = [(None, near[0]), (5, near[1]), (9, near[2]), (None, near[3]), (9, far[0]), (None, far[1]), (None, far[2])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, label int")
+    for block, pivots in ((2048, 2048), (2, 2)):
+        got = covertree.near_duplicates(df, block=block, pivots=pivots).collect()
+        assert Counter(map(tuple, got)) == Counter([
+            (None, 3, 5, False), (5, 3, 5, True), (9, 3, 5, False), (None, 3, 5, False), (9, 0, 9, True),
+            (None, 1, None, True), (None, 1, None, True)])
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=8)

@@ -50,6 +50,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
+def smallest_keys(groups: DataFrame, classes: DataFrame, number: str, key: str, name: str) -> DataFrame:
+    """(number, name) of the numbers in ``groups`` (id, component): the smallest key of any class of the component; NULL keys
+    count only where there is no other."""
+    groups = groups.select(F.col("id").alias(number), "component")
+    least = staged(groups.join(classes.select(number, key), number).groupBy("component").agg(
+        F.min(key).alias(name)), "cc-keys")
+    return groups.join(least, "component").select(number, name)
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (x, y) that connect the same of n nodes as the links (a, b), fewer than n of them: each node and the smallest
     node of its component.  Labels are lowered along the links until they stand still."""

@@ -11,7 +11,8 @@ Links are counted in the task, and only a spanning forest of them leaves it, so
 g squared.  Components come from the distributed edge list.
 
 Cases: vectors that are NULL, empty, zero or hold NULL or non-finite parts, and those without label, link with nothing; vectors
-of different lengths do not compare; rows that repeat an id are vectors of their own; an empty table gives no rows.
+of different lengths do not compare; rows that repeat an id, and those with NULL id, are vectors of their own, and a NULL id
+names a component only where there is no other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.llm.common import bounded_batches, staged
-from tillworks.llm.components import components, forest
+from tillworks.llm.components import components, forest, smallest_keys
 
 COSINE = 0.98
 PIVOTS = 2_048
@@ -176,7 +177,7 @@ def _choose_pivots(classes: DataFrame, groups: DataFrame, most: int, block: int)
     large = groups.where(F.col("n") > block).orderBy(F.col("n").desc(), "grp").limit(most)
     total = large.agg(F.sum("n")).first()[0] or 0
     share = F.greatest(F.lit(1), F.ceil(F.col("n") / max(block, -(-total // most)))) / F.col("n")
-    marked = classes.drop("n").join(F.broadcast(large), "grp")  # ``most`` rows at most
+    marked = classes.drop("n", "key").join(F.broadcast(large), "grp")  # ``most`` rows at most
     lot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     first = marked.groupBy("grp").agg(F.min(F.struct(lot.alias("lot"), "id", "vector")).alias("one")).select(
         "grp", "one.id", "one.vector")
@@ -186,16 +187,17 @@ def _choose_pivots(classes: DataFrame, groups: DataFrame, most: int, block: int)
 
 def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
           cosine: float = COSINE, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes: id, weight, grp, vector, n; counts: id, n_linked; edges: u, v) where a class is a set of
-    equal vectors of one label under its smallest key, ``n`` the classes of its label, ``n_linked`` the vectors of other
+    """(classes: id, key, weight, grp, vector, n; counts: id, n_linked; edges: u, v) where a class is a set of
+    equal vectors of one label under a number of its own, ``key`` its smallest key, ``n`` the classes of its label, ``n_linked`` the vectors of other
     classes that it links with, and the edges connect what the links connect."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = vectors.where(usable(vectors, vector, label)).select(
         F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("vector"),
         F.concat_ws(":", F.col(label).cast("string"), F.size(vector)).alias("grp"))
-    found = staged(rows.groupBy("grp", "vector").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("weight")),
-                   "cover-found")
+    # numbered once, as it is written: keys may be NULL or come with several vectors
+    found = staged(rows.groupBy("grp", "vector").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).withColumn(
+        "id", F.monotonically_increasing_id()), "cover-found")
     groups = staged(found.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "cover-groups")
     classes = staged(found.join(groups, "grp"), "cover-classes")
     held = {g: _unit(f["vector"]) for g, f in _choose_pivots(classes, groups, pivots, block).groupby("grp")}
@@ -213,7 +215,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
             yield pa.RecordBatch.from_pandas(frame[["grp", "vector", "id", "weight", "n", "cell", "far"]],
                                              preserve_index=False)
 
-    placed = staged(classes.mapInArrow(
+    placed = staged(classes.drop("key").mapInArrow(
         assign, "grp string, vector array<double>, id bigint, weight bigint, n bigint, cell int, far double"), "cover-cells")
     # one row per pivot
     cells = placed.where("cell >= 0").groupBy("grp", "cell").agg(
@@ -288,11 +290,12 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
                     cosine: float = COSINE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``vectors``: key, n_links, component_id, kept."""
+    """One row per row of ``vectors``: key, n_links, component_id (smallest key reachable by links), kept (this is the row's
+    key)."""
     classes, counts, edges = links(vectors, key, vector, label, cosine, pivots, block)
-    groups = components(edges)
+    groups = smallest_keys(components(edges), classes, "id", "key", "least")
     known = staged(classes.join(counts, "id", "left").join(groups, "id", "left").select(
-        "grp", "vector", F.col("weight") - 1 + F.coalesce("n_linked", F.lit(0)), F.coalesce("component", "id")).toDF(
+        "grp", "vector", F.col("weight") - 1 + F.coalesce("n_linked", F.lit(0)), F.coalesce("least", "key")).toDF(
         "_grp", "_vector", "n_links", "component_id"), "cover-result")
     able = usable(vectors, vector, label)
     rows = vectors.where(able).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"),
@@ -305,4 +308,4 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         F.col(key).alias("key"), none.alias("n_links"), none.alias("component_id")))
     component = F.coalesce("component_id", F.col("key").cast("bigint"))
     return joined.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                         component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+                         component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
