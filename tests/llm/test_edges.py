@@ -288,6 +288,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: (r.n_links, r.class_id) for r in rows} == {i: (len(near[i]), label[i]) for i in range(n)}
 
 
+def test_texts_of_one_id_are_judged_one_by_one(spark):
+    base = {b: [f"{b}{i}" for i in range(60)] for b in "abc"}
+
+    def text(b, at=None):
+        return " ".join("other" if i == at else w for i, w in enumerate(base[b]))
+
+    rows = [(7, text("a")), (7, text("b")), (7, "a text of its own"), (1, text("a", 20)), (2, text("b", 30)), (7, text("b", 5)),
+            (3, text("c")), (3, text("c", 9))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.class_id, r.text_id, r.n_links) for r in lshforest.near_duplicates(df).collect())
+    assert got == Counter([(7, 1, 7, 1), (7, 2, 7, 2), (7, 7, 7, 0), (1, 1, 1, 1), (2, 2, 2, 1), (7, 2, 7, 1), (3, 3, 3, 1),
+                           (3, 3, 3, 1)])
+    assert Counter(map(tuple, lshforest.keep_one(df).collect())) == Counter(rows[2:5] + rows[6:])
+
+
 def test_embeddings_without_or_with_one_id(spark):
     near, far = [[1.0, 0.01 * i, 0.0] for i in range(4)], [[0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]]
     rows = [(None, near[0]), (5, near[1]), (9, near[2]), (None, near[3]), (9, far[0]), (None, far[1]), (None, far[2])]

@@ -5,7 +5,7 @@ A document is the set of its word 5-grams (lower case, words are runs without wh
 are the trie's leaves, and the first d bytes are a prefix.  Prefixes are shortened from ``DEEPEST`` levels until a pair at the
 threshold shares one in some trie with probability ``RECALL`` or more.
 
-1. Documents with equal sets become one class, under the smallest id, with a weight.
+1. Documents with equal sets become one class with a number of its own and a weight; ids only name the result.
 2. Classes that share a prefix in some trie are connected (each to the smallest of its bucket, never pairwise); what is
    connected forms a candidate group, outside of which no candidate pair can lie.
 3. Each group is verified exactly: all its sets meet in one task, or, cut by hash into blocks of bounded size, in one task per
@@ -17,7 +17,7 @@ Texts are read again only for classes in candidate groups; a bit filter of fixed
 Grams are told apart by 54-bit hashes of their words.
 
 Cases: texts without words (NULL, empty) link with nothing; rows that repeat id and text are copies; if an id comes with
-several texts, one of them stands for it; rows with NULL id are not compared; an empty table gives no rows.
+several texts, each is compared and judged on its own; rows with NULL id are not compared; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.llm.common import bit_filter, bounded_batches, in_filter, staged
-from tillworks.llm.components import components, forest
+from tillworks.llm.components import components, forest, smallest_keys
 from tillworks.llm.words import mix, slices, words
 
 GRAM = 5
@@ -118,7 +118,7 @@ def signatures(grams: np.ndarray, docs: np.ndarray, trees: int, depth: int) -> n
 
 
 def _file_documents(docs: DataFrame, key: str, text: str, gram: int, trees: int, depth: int) -> DataFrame:
-    """(key, set_a, set_b, n, paths) of every row with an id and words."""
+    """(key, digest, set_a, set_b, n, paths) of every row with an id and words; key and digest tell texts apart."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for a, b in slices(batch.column(1), 4 << 20):
@@ -128,13 +128,13 @@ def _file_documents(docs: DataFrame, key: str, text: str, gram: int, trees: int,
                     set_a, set_b = set_keys(grams, first)
                     paths = signatures(grams, first, trees, depth)
                     yield pa.RecordBatch.from_arrays([
-                        some.column(0), pa.array(set_a), pa.array(set_b), pa.array(np.diff(first)),
+                        some.column(0), some.column(2), pa.array(set_a), pa.array(set_b), pa.array(np.diff(first)),
                         pa.ListArray.from_arrays(np.arange(0, paths.size + 1, trees, dtype=np.int32), paths.ravel())],
-                        ["key", "set_a", "set_b", "n", "paths"])
+                        ["key", "digest", "set_a", "set_b", "n", "paths"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.lower(F.coalesce(
-        F.col(text), F.lit(""))).alias("text"))
-    return rows.mapInArrow(run, "key bigint, set_a bigint, set_b bigint, n bigint, paths array<bigint>").where("n > 0")
+        F.col(text), F.lit(""))).alias("text"), F.xxhash64(text).alias("digest"))
+    return rows.mapInArrow(run, "key bigint, digest bigint, set_a bigint, set_b bigint, n bigint, paths array<bigint>").where("n > 0")
 
 
 def _candidate_groups(classes: DataFrame) -> DataFrame:
@@ -189,19 +189,16 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], similarity: flo
 
 
 def _read_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, gram: int) -> DataFrame:
-    """(grp, lo, hi, mine, id, weight, grams) of the classes in ``wanted`` (id, set_a, set_b, weight, grp, blocks), once
-    for each pair of blocks it belongs to."""
+    """(grp, lo, hi, mine, id, weight, grams) of the classes in ``wanted`` (id, key, digest, weight, grp, blocks), once
+    for each pair of blocks it belongs to; key and digest say which text stands for a class."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for a, b in slices(batch.column(0), 4 << 20):
                 for at in range(a, b, 1024):
                     some = batch.slice(at, min(1024, b - at))
                     grams, first = gram_sets(some.column(0), gram)
-                    set_a, set_b = set_keys(grams, first)
                     rows = some.drop_columns(["text"]).to_pylist()
                     for i, row in enumerate(rows):
-                        if (row["set_a"], row["set_b"]) != (set_a[i], set_b[i]):
-                            continue  # another text under the same id
                         mine = int(mix(np.array([row["id"]], np.int64).view(np.uint64))[0] % np.uint64(row["blocks"]))
                         others = np.arange(row["blocks"])
                         n = len(others)
@@ -211,27 +208,29 @@ def _read_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, gram: in
                             "mine": [mine] * n, "id": [row["id"]] * n, "weight": [row["weight"]] * n,
                             "grams": [data] * n})
 
-    may = in_filter(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias(
-        "text")), F.col("id"), bit_filter(wanted, "id", FILTER_BITS), FILTER_BITS, "may").where("may").drop("may")
-    rows = may.join(wanted, "id").select(F.lower("text").alias("text"), "id", "set_a", "set_b", "weight", "grp", "blocks")
+    may = in_filter(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias(
+        "text")), F.col("key"), bit_filter(wanted, "key", FILTER_BITS), FILTER_BITS, "may").where("may").drop("may")
+    rows = may.withColumn("digest", F.xxhash64("text")).join(wanted, ["key", "digest"]).select(
+        F.lower("text").alias("text"), "id", "weight", "grp", "blocks")
     return rows.mapInArrow(run, "grp bigint, lo bigint, hi bigint, mine bigint, id bigint, weight bigint, grams binary")
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, gram: int = GRAM,
           trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rows: key and set; classes: id, set, weight; counts: id, n linked rows of other classes; edges: u, v)."""
+    """(rows: key, digest and set; classes: id, set, key, weight; counts: id, n linked rows of other classes; edges: u, v)."""
     bounded_batches(docs.sparkSession)
     depth = prefix_depth(similarity, trees, DEEPEST, recall)
     rows = staged(_file_documents(docs, key, text, gram, trees, depth), "lsh-rows")
     classes = staged(rows.groupBy("set_a", "set_b").agg(
-        F.min("key").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"),
-        F.first("paths").alias("paths")), "lsh-classes")
+        F.min(F.struct("key", "digest")).alias("one"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"),
+        F.first("paths").alias("paths")).select("set_a", "set_b", "one.key", "one.digest", "weight", "n", "paths").withColumn(
+            "id", F.monotonically_increasing_id()), "lsh-classes")  # numbered once, as it is written
     groups = staged(_candidate_groups(classes), "lsh-groups")
-    members = classes.select("id", "set_a", "set_b", "weight", "n").join(groups, "id")
+    members = classes.select("id", "key", "digest", "weight", "n").join(groups, "id")
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(
         F.sum("n") / BLOCK_GRAMS)).cast("bigint").alias("blocks"))
     wanted = staged(members.join(staged(sizes, "lsh-sizes"), "grp").select(
-        "id", "set_a", "set_b", "weight", "grp", "blocks", "n"), "lsh-wanted")
+        "id", "key", "digest", "weight", "grp", "blocks", "n"), "lsh-wanted")
     volume = wanted.agg(F.sum(F.col("n") * F.col("blocks") * 8)).first()[0] or 0
     tasks = max(1, -(-volume // TASK_BYTES))
 
@@ -261,17 +260,23 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     return rows, classes, counts, found.where("n < 0").select("u", "v")
 
 
+def _decisions(docs: DataFrame, key: str, text: str, similarity: float, **settings) -> DataFrame:
+    """(key, digest, class_id, text_id, n_links) of every row with an id and words."""
+    rows, classes, counts, edges = links(docs, key, text, similarity, **settings)
+    least = smallest_keys(components(edges), classes, "id", "key", "least")
+    known = staged(classes.select("set_a", "set_b", "id", "key", "weight").join(counts, "id", "left").join(
+        least, "id", "left").select("set_a", "set_b", F.col("key").alias("text_id"), (
+            F.col("weight") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links"),
+            F.coalesce("least", "key").alias("class_id")), "lsh-result")
+    return rows.select("key", "digest", "set_a", "set_b").join(known, ["set_a", "set_b"]).select(
+        "key", "digest", "class_id", "text_id", "n_links")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                     **settings) -> DataFrame:
     """One row per row of ``docs``: key, class_id (smallest id reachable by links), text_id (smallest id with equal grams),
     n_links (other rows linked directly, copies included), kept (this row's id is the class id)."""
-    rows, classes, counts, edges = links(docs, key, text, similarity, **settings)
-    known = staged(classes.select("set_a", "set_b", "id", "weight").join(counts, "id", "left").join(
-        components(edges), "id", "left").select("set_a", "set_b", F.col("id").alias("text_id"), (
-            F.col("weight") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "id").alias("class_id")), "lsh-result")
-    linked = rows.select("key", "set_a", "set_b").join(known, ["set_a", "set_b"]).select(
-        "key", "class_id", "text_id", "n_links")
+    linked = _decisions(docs, key, text, similarity, **settings).drop("digest")
     other = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(
         F.col("key").isNull() | ~F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))).select(
         "key", F.col("key").alias("class_id"), F.col("key").alias("text_id"), F.lit(0).cast("bigint").alias("n_links"))
@@ -281,12 +286,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without the ids that are not the smallest of their class.  Rows that cannot be among them by the
-    bit filter pass without a shuffle."""
-    gone = staged(near_duplicates(docs, key, text, similarity).where("not kept").select(
-        F.col(key).alias("gone")).distinct(), "lsh-gone")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("bigint").alias("id"))
+    """The rows of ``docs`` without those whose id is not the smallest of their class; other texts of the same id stay.  Rows
+    that cannot be among them by the bit filter pass without a shuffle."""
+    gone = staged(_decisions(docs, key, text, similarity).where("key <> class_id").select(
+        F.col("key").alias("gone"), F.col("digest").alias("gone_digest")).distinct(), "lsh-gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias(
+        "digest"))
     rows = in_filter(rows, F.col("id"), bit_filter(gone, "gone", FILTER_BITS), FILTER_BITS, "may")
     stay = rows.where("not may").select("row.*")
-    checked = rows.where("may").join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    checked = rows.where("may").join(gone, (F.col("id") == F.col("gone")) & (F.col("digest") == F.col("gone_digest")),
+                                     "left_anti").select("row.*")
     return stay.unionByName(checked)
