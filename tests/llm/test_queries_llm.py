@@ -21,6 +21,10 @@ COLUMNS = {
     "op9_crf_toxicity": "doc_id bigint, held_out boolean, score double, predicted int, spans string",
     "op10_best_fit_packing": "doc_id bigint, piece bigint, start bigint, size bigint, block bigint, bin bigint, "
                              "offset bigint, capacity bigint",
+    "op11_importance_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op12_spelling_variants": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+    "op13_phrase_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
+                                   "contaminated boolean",
     "pipeline": "doc_id bigint, piece bigint, start bigint, size bigint, block bigint, bin bigint, offset bigint, "
                 "capacity bigint",
 }
