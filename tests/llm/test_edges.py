@@ -86,6 +86,20 @@ def test_mixing(spark, documents, no_documents):
     assert [r.target for r in mixing.mix_words(blank).collect()] == [0.0, 0.0]
 
 
+
+@pytest.mark.parametrize("kind", ["no ids", "one id", "equal rows"])
+def test_mixed_rows_meet_their_budget(spark, kind):
+    """Rows that share an id, or have none, are cut one by one."""
+    rows = [(i if i >= 1_800 else None if kind == "no ids" else 7, " ".join(["w"] * 10) + ("" if kind == "equal rows" else f" {i}"),
+             f"s{i % 2}" if i >= 1_800 or kind != "equal rows" else "s1") for i in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    want = {r.source: r.target for r in mixing.mix_words(docs).collect()}
+    taken = Counter()
+    for r in mixing.mix_rows(docs).collect():
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - t) <= 11 for s, t in want.items())
+
+
 def test_mixing_cuts_ranges_like_one_sort(spark):
     rows = [(i, " ".join("w" * 1 for _ in range(i % 17)), "s" if i % 3 else "t") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
@@ -246,6 +260,27 @@ def test_arc_files(spark, folder):
     assert whole.payload_digest == revisit.payload_digest == hashlib.sha1(b"z" * 1500).hexdigest()
 
 
+
+def test_arc_files_of_any_bytes(spark, folder):
+    """Images, Latin-1 pages and gzip members: blocks come back byte by byte."""
+    import gzip
+
+    from tests.llm.test_methods import arc_file
+    image, page = bytes(range(256)) * 8, "HTTP/1.0 200 OK\r\n\r\ncaf\xe9 \r\n\r\n".encode("latin-1") + b"\xff" * 1200
+    with open(f"{folder}/a.arc", "wb") as f:
+        f.write(arc_file(1, [(b"http://a/i", image), (b"http://a/p", page)]))
+    with open(f"{folder}/b.arc.gz", "wb") as f:
+        whole = arc_file(2, [(b"http://b/i", image)])
+        f.write(gzip.compress(whole[:200]) + gzip.compress(whole[200:]))
+    arc.write_warc(arc.read_arc(spark, folder), folder + "/warc")
+    blocks = [b for r in spark.read.format("binaryFile").load(folder + "/warc").collect() for b in arc.parse_warc(r.content)]
+    assert Counter(b for _, b in blocks) == Counter([image, b"", page])
+    rows = arc.read_warc(spark, folder + "/warc").collect()
+    assert Counter((r.record_type, r.payload_digest) for r in rows) == Counter([
+        ("response", hashlib.sha1(image).hexdigest()), ("revisit", hashlib.sha1(image).hexdigest()),
+        ("response", hashlib.sha1(arc.payload_of(page)[1]).hexdigest())])
+
+
 def test_near_duplicates(spark, documents, no_documents):
     rows = lshforest.near_duplicates(documents).collect()
     assert len(rows) == len(DOCUMENTS)

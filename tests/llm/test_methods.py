@@ -1,5 +1,8 @@
 """Cores of the operators against brute force, without tables."""
 
+import sys
+import subprocess
+import os
 import itertools
 import math
 import random
@@ -232,6 +235,42 @@ def test_training_without_both_classes():
     assert factorisation.train(one, 1.0).constant == 1.0
 
 
+def test_toxic_spans_keep_their_places():
+    """Letters whose lower case is longer, and characters of two UTF-16 units, move no span."""
+    model = crf.train(toxic_sample())
+    lookup = crf.Lookup(model.features)
+    text = "İİİİ 𝄞 vilest place, VILEST again"
+    _, spans = crf.score_column(model, lookup, pa.array([None, "", text]))
+    assert spans[:2] == [[], []]
+    assert {text[s["start"]:s["end"]].lower() for s in spans[2]} == {"vilest"} and len(spans[2]) == 2
+
+
+def test_long_texts_score_as_short_ones(monkeypatch):
+    """A text in parts has the scores and spans of the whole one."""
+    model = crf.train(toxic_sample())
+    lookup = crf.Lookup(model.features)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["é", "plain", "vilest", "words", "rotter", "𝄞", "x" * 90]) for _ in range(rng.randint(0, 400)))
+             for _ in range(20)] + [None, "", "vilest"]
+    whole = crf.score_column(model, lookup, pa.array(texts))
+    monkeypatch.setattr(crf, "PIECE", 100)
+    scores, spans = crf.score_column(model, lookup, pa.array(texts))
+    assert np.allclose(scores, whole[0], rtol=1e-9, atol=1e-12) and spans == whole[1]
+
+
+def test_long_text_takes_little_memory():
+    """64 MB of text: the arrays beside it are those of a part."""
+    code = (
+        "import resource, sys; import numpy as np, pyarrow as pa; from tillworks.llm import crf;"
+        "f = np.sort(np.arange(1, 200, dtype=np.uint64) << np.uint64(55));"
+        "m = crf.Model(f, np.ones(len(f)), -4.0, np.zeros(2), np.zeros((2, 2)), np.array([-1.0, 1, 1]));"
+        "texts = pa.array(['many words of a text. ' * (3 << 20)]); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+        "crf.score_column(m, crf.Lookup(f), texts); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=300, check=True).stdout
+    assert int(out) < 160  # MB: the text once more in parts, and one part's arrays
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(4)
     x = factorisation.vectors(pa.array(["a b a c", "", "ONE!! two, three. 3", "x" * 200]))

@@ -15,6 +15,7 @@ table gives an archive without records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -70,7 +71,10 @@ def arc_version(data: bytes) -> int:
 
 
 def arc_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(version, offset, header, body) of each record behind the version block; the block itself has version 1 fields."""
+    """(version, offset, header, body) of each record behind the version block; the block itself has version 1 fields.  Files
+    of gzip members are inflated first; offsets are those of the inflated file."""
+    if data.startswith(b"\x1f\x8b"):
+        data = gzip.decompress(data)
     version = arc_version(data)
     _, _, at = split_record(data, 0, 1)
     while at < len(data):
@@ -97,7 +101,13 @@ def record_id(key: object, digest: str) -> str:
 
 
 def warc_record(header: dict[str, str], body: bytes, key: object, original: object = None, revisit: bool = False) -> str:
-    """The WARC record equivalent to an ARC record, without the record end.  A revisit keeps the HTTP head only."""
+    """``warc_bytes`` of a record that is UTF-8, as text."""
+    return warc_bytes(header, body, key, original, revisit).decode()
+
+
+def warc_bytes(header: dict[str, str], body: bytes, key: object, original: object = None, revisit: bool = False) -> bytes:
+    """The WARC record equivalent to an ARC record, without the record end.  A revisit keeps the HTTP head only.  The block is
+    copied as it is, whatever its encoding."""
     head, payload = payload_of(body)
     digest = hashlib.sha1(payload).hexdigest()
     block = head if revisit else body
@@ -108,7 +118,7 @@ def warc_record(header: dict[str, str], body: bytes, key: object, original: obje
     if revisit:
         lines += [f"WARC-Refers-To: {record_id(original, digest)}", f"WARC-Profile: {REVISIT_PROFILE}",
                   f"X-Payload-Length: {len(payload)}"]  # an HTTP head need not tell it
-    return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]) + block.decode()
+    return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block
 
 
 def legacy_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -171,15 +181,16 @@ def write_warc(records: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES,
             for row in zip(*(batch.column(i) for i in range(5)), strict=True):
                 key, version, data, original, revisit = (x.as_py() for x in row)
                 header, body, _ = split_record(data, 0, version)
-                segment.append(warc_record(header, body, key, original, revisit))
+                segment.append(warc_bytes(header, body, key, original, revisit))
                 held += len(segment[-1])
                 if held >= segment_bytes:
-                    yield pa.RecordBatch.from_pydict({"value": [END.join(segment)]})
+                    yield pa.RecordBatch.from_pydict({"value": [END.encode().join(segment)]})
                     segment, held = [], 0
         if segment:
-            yield pa.RecordBatch.from_pydict({"value": [END.join(segment)]})
+            yield pa.RecordBatch.from_pydict({"value": [END.encode().join(segment)]})
 
-    (rows.mapInArrow(convert, "value string").write.option("lineSep", END)
+    # a cast takes the bytes as they are, and so does the writer
+    (rows.mapInArrow(convert, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END)
      .option("maxRecordsPerFile", file_segments).text(path))
 
 

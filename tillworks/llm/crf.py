@@ -9,7 +9,11 @@ expectations coming from the forward-backward recursion.
 
 Scoring.  Marginals of every word of the whole text by forward-backward; a document's score is a logistic function, fitted
 on the same sample, of its largest marginal and its expected number of toxic words; words whose marginal reaches
-``SPAN`` are returned as spans.  The model (a few thousand numbers) travels with the tasks.
+``SPAN`` are returned as spans.  The model (a few thousand numbers) travels with the tasks.  A text longer than ``PIECE`` is read
+in parts that end where no word runs: once forward, keeping the state at each border, and once backward with it, so a
+task holds the text itself and the arrays of one part.
+
+Letters are folded one by one (a letter whose lower case is two letters keeps its place), so spans hold in the text as given.
 
 Cases: NULL and empty texts have no words and get the score of a document without toxic words; without texts of both
 classes all scores are the share of toxic labels (0 without labels); rows that repeat are scored alike.
@@ -20,18 +24,23 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.llm.common import bounded_batches
 from tillworks.llm.sample import held_out, label_share, labelled_sample
+from tillworks.llm.tokens import PIECE_BYTES, pieces
 from tillworks.llm.words import NO_LETTER, Words, mix, slices, words
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SAMPLE = {0: 4_000, 1: 2_000}
 SAMPLE_BYTES = 8_192  # on average: a class of the sample holds so many for each of its texts
 STEMS = (4, 5, 6, 7)
@@ -44,6 +53,7 @@ RATE = 0.3
 L2 = 1e-4
 SEGMENT = 128  # words of a piece of a chain
 PART_WORDS = 1 << 18
+PIECE = 1 << 20  # bytes of text that are worked on at once
 
 
 @dataclass
@@ -156,6 +166,26 @@ class Chains:
         return p, factors * [[(1 / total).sum(), (y / total).sum()], [(x / total).sum(), (x * y / total).sum()]]
 
 
+class Border:
+    """One chain in parts: the odds that enter a part from its left or right end, and those it hands on."""
+
+    def __init__(self, emission: np.ndarray, moves: np.ndarray):
+        self.own, self.factors = np.exp(np.clip(emission, -300, 300)), np.exp(moves - moves.max())
+        self.runs = _Runs(np.array([0, len(emission)]))
+
+    def _pass(self, own: np.ndarray, factors: np.ndarray, begin: float) -> tuple[np.ndarray, float]:
+        odds = self.runs.carry(own, factors, begin)
+        x = odds[-1] * own[-1]
+        return odds, float((factors[0, 1] + factors[1, 1] * x) / (factors[0, 0] + factors[1, 0] * x))
+
+    def forward(self, begin: float) -> tuple[np.ndarray, float]:
+        return self._pass(self.own, self.factors, begin)
+
+    def backward(self, begin: float) -> tuple[np.ndarray, float]:
+        odds, last = self._pass(self.own[::-1], self.factors.T, begin)
+        return odds[::-1], last
+
+
 def _sample_features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(feature hashes by kind of each distinct word, number of each word, first word of each document and the end), a
     megabyte of text at a time: words take 4 bytes each."""
@@ -264,7 +294,8 @@ def train(sample: pd.DataFrame, share: float | None = None) -> Model:
         found = [h[word[lo:hi]] for h in held]
         at = [np.flatnonzero(f >= 0).astype(np.int32) for f in found]
         which = np.concatenate([f[a] for f, a in zip(found, at, strict=True)])
-        parts.append((Chains(all_docs[i:j + 1] - lo), np.concatenate(at), which, tag[lo:hi]))
+        parts.append((Chains(all_docs[i:j + 1] - lo), np.concatenate(at), which, tag[lo:hi], all_docs[i:j + 1] - lo))
+    del word, found, at, which
     weights, bias, start, moves = np.zeros(len(features)), 0.0, np.zeros(2), np.zeros((2, 2))
     params = np.zeros(len(features) + 7)
     m, v = np.zeros_like(params), np.zeros_like(params)
@@ -273,7 +304,7 @@ def train(sample: pd.DataFrame, share: float | None = None) -> Model:
         weights, bias, start, moves = (params[:len(features)], params[len(features)], params[-6:-4],
                                        params[-4:].reshape(2, 2))
         gradient = np.concatenate([np.zeros(len(features) + 1), true_start, true_pairs.ravel()])
-        for chains, at, which, y in parts:
+        for chains, at, which, y, _ in parts:
             p, pair = chains.marginals(bias + np.bincount(at, weights[which], len(y)), start, moves, True)
             rest, first = y - p, p[chains.firsts]
             gradient += np.concatenate([np.bincount(which, rest[at], len(features)), [rest.sum()],
@@ -284,9 +315,8 @@ def train(sample: pd.DataFrame, share: float | None = None) -> Model:
     weights, bias, start, moves = (params[:len(features)].copy(), float(params[len(features)]), params[-6:-4].copy(),
                                    params[-4:].reshape(2, 2).copy())
     model = Model(features, weights, bias, start, moves, np.zeros(3))
-    p = np.concatenate([chains.marginals(bias + np.bincount(at, weights[which], len(y)), start, moves)
-                        for chains, at, which, y in parts])
-    x = _document_values(p, all_docs)
+    x = np.concatenate([_document_values(chains.marginals(bias + np.bincount(at, weights[which], len(y)), start, moves), docs)
+                        for chains, at, which, y, docs in parts])
     model.document = _logistic(x, toxic, weight)
     return model
 
@@ -299,8 +329,12 @@ def _document_values(p: np.ndarray, docs: np.ndarray) -> np.ndarray:
     if some.any():
         largest[some] = np.maximum.reduceat(p, docs[:-1][some])
         expected[some] = np.add.reduceat(np.where(p >= 0.05, p, 0), docs[:-1][some])
+    return _value_rows(largest, expected)
+
+
+def _value_rows(largest: np.ndarray, expected: np.ndarray) -> np.ndarray:
     clipped = np.clip(largest, 1e-4, 1 - 1e-4)
-    return np.stack([np.ones(n), np.log(clipped / (1 - clipped)), np.log1p(expected)], axis=1)
+    return np.stack([np.ones(len(largest)), np.log(clipped / (1 - clipped)), np.log1p(expected)], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -314,53 +348,111 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b
 
 
-def tag_batch(model: Model, lookup: Lookup, texts: pa.Array) -> tuple[np.ndarray, Words, np.ndarray]:
-    """(document scores, words, marginals) of a string column."""
-    w = words(texts, NO_LETTER)
-    emission = np.full(len(w.starts), model.bias)
+def folded(texts: pa.Array) -> pa.Array:
+    """Lower case letter by letter: the number of code points stays."""
+    return pc.utf8_lower(texts)
+
+
+def emissions(model: Model, lookup: Lookup, w: Words) -> np.ndarray:
+    out = np.full(len(w.starts), model.bias)
     for hashes in _feature_hashes(w):
         place, feature = lookup.find(hashes)
-        np.add.at(emission, place, model.weights[feature])
-    p = Chains(w.docs).marginals(emission, model.start, model.moves)
-    return 1 / (1 + np.exp(-(_document_values(p, w.docs) @ model.document))), w, p
+        np.add.at(out, place, model.weights[feature])
+    return out
+
+
+def _scores(model: Model, values: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-(values @ model.document)))
+
+
+def tag_batch(model: Model, lookup: Lookup, texts: pa.Array) -> tuple[np.ndarray, Words, np.ndarray]:
+    """(document scores, words, marginals) of a string column."""
+    w = words(folded(texts), NO_LETTER)
+    p = Chains(w.docs).marginals(emissions(model, lookup, w), model.start, model.moves)
+    return _scores(model, _document_values(p, w.docs)), w, p
+
+
+def _span_lists(w: Words, marked: np.ndarray) -> list[list[dict[str, int]]]:
+    """(start, end) of marked words of each text, in code points."""
+    out: list[list[dict[str, int]]] = [[] for _ in range(len(w.docs) - 1)]
+    if not len(marked):
+        return out
+    points = np.concatenate([[0], np.cumsum(w.data & 0xC0 != 0x80, dtype=np.int32)])
+    doc = np.searchsorted(w.docs, marked, "right") - 1
+    first = points[w.texts[doc]]
+    for d, lo, hi in zip(doc.tolist(), (points[w.starts[marked]] - first).tolist(), (points[w.ends[marked]] - first).tolist(),
+                         strict=True):
+        out[d].append({"start": lo, "end": hi})
+    return out
+
+
+def tag_long(model: Model, lookup: Lookup, parts: list[pa.Array], spans: bool) -> tuple[float, list[dict[str, int]]]:
+    """(score, spans) of one text in parts."""
+    enters, state = [], float(np.exp(model.start[1] - model.start[0]))
+    for part in parts:
+        enters.append(state)
+        w = words(folded(part), NO_LETTER)
+        if len(w.starts):
+            state = Border(emissions(model, lookup, w), model.moves).forward(state)[1]
+    largest, expected, found, state = 0.0, 0.0, [], 1.0
+    for part, enter in zip(parts[::-1], enters[::-1], strict=True):
+        w = words(folded(part), NO_LETTER)
+        p = np.zeros(0)
+        if len(w.starts):
+            border = Border(emissions(model, lookup, w), model.moves)
+            right, state = border.backward(state)
+            odds = border.forward(enter)[0] * border.own * right
+            p = odds / (1 + odds)
+            largest, expected = max(largest, float(p.max())), expected + float(p[p >= 0.05].sum())
+        found.append((_span_lists(w, np.flatnonzero(p >= SPAN))[0] if spans else [], pc.utf8_length(part)[0].as_py()))
+    out, at = [], 0
+    for marked, size in found[::-1]:
+        out += [{"start": s["start"] + at, "end": s["end"] + at} for s in marked]
+        at += size
+    return float(_scores(model, _value_rows(np.array([largest]), np.array([expected])))[0]), out
+
+
+def score_column(model: Model, lookup: Lookup, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, list]:
+    """(scores, spans) of a string column, a piece at a time."""
+    if model.constant is not None:
+        return np.full(len(texts), model.constant), [[]] * len(texts)
+    scores, found = np.zeros(len(texts)), [[] for _ in range(len(texts))]
+    long: dict[int, list[pa.Array]] = {}
+    for first, part, _ in pieces(texts.fill_null(""), PIECE):
+        if len(part) == 1 and len(part[0].as_buffer()) < len(texts[first].as_buffer() or b""):
+            long.setdefault(first, []).append(part)
+            continue
+        here, w, p = tag_batch(model, lookup, part)
+        scores[first:first + len(part)] = here
+        if spans:
+            found[first:first + len(part)] = _span_lists(w, np.flatnonzero(p >= SPAN))
+    for row, parts in long.items():
+        scores[row], found[row] = tag_long(model, lookup, parts, spans)
+    return scores, found
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", spans: bool = True) -> DataFrame:
     """All columns of ``docs`` in ``row``, ``score``, and with ``spans`` the toxic words of each text as (start, end) in
     code points."""
-    bounded_batches(docs.sparkSession)
-    lookup = Lookup(model.features)
+    bounded_batches(docs.sparkSession, PIECE_BYTES)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]):
+        lookup = Lookup(model.features)
         for batch in batches:
-            texts = batch.column(1)
-            for a, b in slices(texts, 4 << 20):
-                part = texts.slice(a, b - a)
-                if model.constant is not None:
-                    scores, found = np.full(b - a, model.constant), [[]] * (b - a)
-                else:
-                    scores, w, p = tag_batch(model, lookup, part)
-                    found = [[] for _ in range(b - a)]
-                    for i in np.flatnonzero(p >= SPAN) if spans else ():
-                        d = int(np.searchsorted(w.docs, i, "right") - 1)
-                        lo, at = int(w.texts[d]), int(w.starts[i])
-                        before = int((w.data[lo:at] & 0xC0 != 0x80).sum())
-                        size = int((w.data[at:w.ends[i]] & 0xC0 != 0x80).sum())
-                        found[d].append({"start": before, "end": before + size})
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores),
-                                                  pa.array(found, kind)], ["row", "score", "spans"])
-
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+            scores, found = score_column(model, lookup, batch.column(0).field(text), spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(found, kind)], ["row", "score", "spans"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType()),
                            T.StructField("spans", T.ArrayType(span))])
-    return rows.select("row", F.lower("text").alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     sample = labelled_sample(docs, labels, label, SAMPLE, SAMPLE_BYTES)
-    sample["text"] = sample["text"].str.lower()
+    sample["text"] = folded(pa.array(sample["text"], pa.string())).to_pandas()
     return train(sample, label_share(labels, label))
 
 

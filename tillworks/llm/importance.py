@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.llm.common import bounded_batches, staged
-from tillworks.llm.tokens import crc32_of, encoded, pieces, split_words
+from tillworks.llm.tokens import PIECE_BYTES, crc32_of, encoded, pieces, split_words
 
 BUCKETS = 10_000
 SHARE = 25  # percent of the eligible documents that are drawn
@@ -62,7 +62,7 @@ def piece_buckets(texts: pa.Array, buckets: int, last: str | None = None) -> tup
 
 def bucket_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """Features of all texts by bucket; each task adds up its own before anything is shuffled."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, PIECE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]):
         total = np.zeros(buckets, np.int64)
@@ -89,7 +89,7 @@ def bucket_gains(target: np.ndarray, corpus: np.ndarray) -> np.ndarray:
 
 def weigh(docs: DataFrame, gains: np.ndarray, text: str = "text") -> DataFrame:
     """(row: all columns of docs, n_words, n_features, weight)."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, PIECE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

@@ -7,13 +7,17 @@ number of epochs plus a rest; the rows whose prefix sum lies within the rest are
 
 Only the table of sources (one row each) is ordered in a single task: a rank over sources is what the weights ask for.
 
+``mix_rows`` mixes whole rows.  Its order is the random key, then a hash of the row, and its ranges are cut by both, so rows
+that share an id (or have none) are spread and cut one by one; rows equal in every column are one entry with a count.
+
 Cases: NULL or empty texts have size 0 and take nothing; NULL source is a source, ranked last; a source without words has
-target 0; rows that repeat an id lie side by side in the order and are cut one by one; an empty table gives no rows.
+target 0; rows that repeat an id lie side by side in the order and are cut one by one, rows without id lie anywhere in
+``mix_rows``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillworks.llm.common import staged, word_count
@@ -93,17 +97,52 @@ def mix_words(docs: DataFrame, **columns) -> DataFrame:
     return prefix_sums(docs, **columns).withColumn("taken", F.col("epochs") * F.col("size") + part)
 
 
+def _row_order(docs: DataFrame, key: str, seed: str) -> Column:
+    """(random key, hash of the whole row): equal for rows that are equal in every column only."""
+    content = F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(seed), *docs.columns).alias("b"))
+    drawn = F.when(F.col(key).isNull(), F.md5(F.concat_ws(":", F.lit(seed), content["a"], content["b"]))).otherwise(_key(key, seed))
+    return F.struct(drawn.alias("key"), content.alias("content"))
+
+
+def entry_sums(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
+    """(source, source_size, target, epochs, rest, place, size, n, start) of distinct rows: ``n`` equal rows of ``size`` words each,
+    ``start`` words of the source before them in its random order."""
+    entries = docs.select(F.col(source).alias("source"), _row_order(docs, key, seed).alias("place"), word_count(F.col(text)).alias(
+        "size")).groupBy("source", "place", "size").agg(F.count(F.lit(1)).alias("n"))
+    entries = staged(entries, "mix-entries")
+    sources = entries.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_rows"))
+    sources = staged(budgets(targets(sources)), "mix-sources")
+    placed = entries.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
+    order = ["source_no", "place"]
+    placed = staged(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "at", F.monotonically_increasing_id()).withColumn("range_no", F.shiftright("at", 33)), "mix-ranges")
+    words = F.col("size") * F.col("n")
+    totals = placed.groupBy("source_no", "range_no").agg(F.sum(words).alias("range_size"))
+    ahead = Window.partitionBy("source_no").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("source_no", "range_no", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("range_start"))
+    inside = Window.partitionBy("source_no", "range_no").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.withColumn("in_range", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(totals, ["source_no", "range_no"])
+            .withColumn("start", F.col("range_start") + F.col("in_range"))
+            .select("source", "source_size", "target", "epochs", "rest", "place", "size", "n", "start"))
+
+
 def mix_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
              seed: str = SEED) -> DataFrame:
     """The mix itself: each row once per epoch, and once more when it lies within the rest (the row on the border when
-    at least half of it does).  Texts stay whole.  The cut is one order key per source, so rows are judged in the scan
-    against the table of sources and texts are not shuffled."""
-    extra = F.when(F.col("start") * 2 + F.col("size") <= F.col("rest") * 2, F.col("order_key"))
-    cuts = staged(prefix_sums(docs, key, text, source, seed).where("rest > 0 or epochs > 0").groupBy(
-        F.col("source").alias("cut_source"), "epochs").agg(F.max(extra).alias("last_key")), "mix-cuts")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("cut_for"),
-                       _key(key, seed).alias("order_key"))
-    taken = F.col("epochs") + F.when(F.col("order_key") <= F.col("last_key"), 1).otherwise(0)
-    return (rows.join(cuts, F.col("cut_for").eqNullSafe(F.col("cut_source"))).withColumn("copies", taken)
-            .where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-            .select("row.*"))
+    at least half of it does).  Texts stay whole.  The cut is one place per source, so rows are judged in the scan
+    against the table of sources and texts are not shuffled; of equal rows on the border, one is taken as often as needed."""
+    room = 2 * (F.col("rest") - F.col("start")) - F.col("size")
+    extra = F.when(room < 0, 0).when(F.col("size") == 0, F.col("n")).otherwise(
+        F.least(F.col("n"), F.floor(room / (2 * F.greatest("size", F.lit(1)))) + 1))
+    cuts = entry_sums(docs, key, text, source, seed).withColumn("extra", extra).groupBy(
+        F.col("source").alias("cut_source"), "epochs").agg(F.max(F.when(F.col("extra") > 0, F.struct(
+            "place", "extra", "n"))).alias("last"))
+    cuts = staged(cuts, "mix-cuts")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("cut_for"), _row_order(docs, key, seed).alias("place"))
+    rows = rows.join(cuts, F.col("cut_for").eqNullSafe(F.col("cut_source")))
+    partly = F.coalesce((F.col("place") == F.col("last.place")) & (F.col("last.extra") < F.col("last.n")), F.lit(False))
+    whole = rows.where(~partly).withColumn("copies", F.col("epochs") + F.when(F.col("place") <= F.col("last.place"), 1).otherwise(0))
+    border = rows.where(partly).groupBy("cut_for").agg(F.any_value("row").alias("row"), F.max(
+        F.col("epochs") * F.col("last.n") + F.col("last.extra")).alias("copies"))
+    taken = whole.select("row", "copies").unionByName(border.select("row", "copies")).where("copies > 0")
+    return taken.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")

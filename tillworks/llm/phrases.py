@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.llm.common import bounded_batches, staged
-from tillworks.llm.tokens import encoded, pieces, split_words
+from tillworks.llm.tokens import PIECE_BYTES, encoded, pieces, split_words
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
 CANDIDATES = 1 << 20
 RUNS = "array<struct<start:bigint,end:bigint>>"
@@ -59,7 +59,7 @@ def build(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, o
     """The index of all texts, written to the shared folder.  A row is a shard: the rows it covers (all columns but the text)
     with a row number, the first word, number of words and end mark of each text or part of a text in it; terms, postings
     per term, and their positions.  Parts of a long text overlap by ``overlap`` words: phrases of one word more are found."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, PIECE_BYTES)
     rows = docs.select(F.struct(*[c for c in docs.columns if c != text], F.monotonically_increasing_id().alias("_row_no")).alias(
         "row"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), *T.StructType.fromDDL(
@@ -94,7 +94,7 @@ def lengths(index: DataFrame) -> DataFrame:
 
 def windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(item, phrase) of all windows of the items, words joined by one space."""
-    bounded_batches(items.sparkSession)
+    bounded_batches(items.sparkSession, PIECE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

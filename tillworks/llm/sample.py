@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.llm.common import staged
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 FOLDS = 5
 
 
@@ -45,4 +49,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     key_type = texts.schema["_key"].dataType.simpleString()
     chosen = docs.sparkSession.createDataFrame(chosen, f"_key {key_type}, _digest bigint, label int")
     found = texts.join(F.broadcast(chosen), ["_key", "_digest"]).groupBy("label", "_digest").agg(F.min("text").alias("text"))
-    return found.select("text", "label").toPandas().sort_values(["label", "text"]).reset_index(drop=True)
+    return found.select("text", "label").toArrow().to_pandas().sort_values(["label", "text"]).reset_index(drop=True)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.llm.common import bounded_batches, staged
-from tillworks.llm.tokens import crc32, encoded, pieces, split_words, string_bytes
+from tillworks.llm.tokens import PIECE_BYTES, crc32, encoded, pieces, split_words, string_bytes
 
 #: Runs of Latin letters, once A-Z are lower case; all of them are single bytes in Latin-1.
 BETWEEN_LETTERS = r"[^a-z\x{C0}-\x{FF}]+"
@@ -57,7 +57,7 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
                 least_count: int = LEAST_COUNT, drop_every: int = DROP_EVERY) -> DataFrame:
     """(word, n) of the words with enough letters and occurrences.  With ``drop_every``, a run loses one letter where that
     number divides the CRC-32 h of ``key:run``: the letter h % length."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, PIECE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
