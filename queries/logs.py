@@ -232,9 +232,21 @@ WHERE s - first = INTERVAL 2 HOUR"""))
 def st3b(spark, sf_dir):
     alarm = Alarm("high_latency", "avg", ">", 50, "1 hour", 3)
     out = scratch(spark, "alarm-windows")
-    alarms.write_windows(alarms.stream_alarm_windows(stream(spark, sf_dir), alarm, F.col("k"), "10 minutes"),
-                         f"{out}/table", f"{out}/checkpoint")
-    return text_times(alarms.fired(spark, f"{out}/table", alarm)).drop("breach")
+    windows = alarms.stream_alarm_windows(stream(spark, sf_dir), alarm, F.col("k"), "10 minutes")
+    alarms.write_windows(alarms.consecutive_stream(windows, alarm), f"{out}/table", f"{out}/checkpoint")
+    return text_times(spark.read.parquet(f"{out}/table").drop("batch_id", "breach"))
+
+
+@query("st3c_rows_of_windows_by_key_stream", with_events(f"""SELECT {TIMES}, event_type, value FROM (
+SELECT *, LAG(s, 1) OVER (PARTITION BY event_type ORDER BY s) AS first FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, MAX(k) AS value FROM log_events GROUP BY ALL) WHERE value > 80 AND {CLOSED})
+WHERE s - first = INTERVAL 1 HOUR"""))
+def st3c(spark, sf_dir):
+    alarm = Alarm("high_concurrency", "max", ">", 80, "1 hour", 2)
+    out = scratch(spark, "alarm-windows")
+    windows = alarms.stream_alarm_windows(stream(spark, sf_dir), alarm, F.col("k"), "10 minutes", ["event_type"])
+    alarms.write_windows(alarms.consecutive_stream(windows, alarm, ["event_type"]), f"{out}/table", f"{out}/checkpoint")
+    return text_times(spark.read.parquet(f"{out}/table").drop("batch_id", "breach"))
 
 
 @query("st4_ratio_alarm", with_events(f"""SELECT {TIMES}, value FROM (

@@ -92,3 +92,49 @@ def test_recent_alarms_are_those_of_the_whole_table(spark, folder):
         since = start + timedelta(hours=hours)
         got = {r.window_start for r in alarms.fired(spark, f"{folder}/w", alarm, since=since).collect()}
         assert got == {t for t in everything if t >= since} and everything
+
+
+def _put(spark, folder, n, rows):
+    spark.createDataFrame(rows, "timestamp timestamp, host string, k double").coalesce(1).write.parquet(f"{folder}/in/part={n}")
+
+
+def _fired(spark, folder, alarm, table="out"):
+    rows = spark.readStream.schema("timestamp timestamp, host string, k double").option("recursiveFileLookup", "true").parquet(
+        f"{folder}/in")
+    windows = alarms.stream_alarm_windows(rows, alarm, F.col("k"), "5 minutes", ["host"])
+    alarms.write_windows(alarms.consecutive_stream(windows, alarm, ["host"]), f"{folder}/{table}", f"{folder}/checkpoint")
+    return sorted((r.host, int((r.window_start - T0).total_seconds() // 600)) for r in spark.read.schema(
+        "window_start timestamp, host string").parquet(f"{folder}/{table}").collect())
+
+
+def test_counters_outlive_restarts_and_late_rows(spark, folder):
+    """Three breaching windows in a row that arrive in three runs; a late row changes no window and no counter."""
+    from tillworks.operators.logs import Alarm
+    alarm = Alarm("busy", "max", ">", 10, "10 minutes", 3)
+
+    def rows(host, *windows, k=20.0):
+        return [(T0 + timedelta(minutes=10 * w + 1), host, k) for w in windows]
+
+    _put(spark, folder, 0, rows("a", 0, 1) + rows("b", 0, 2) + rows("c", 0, 1, 2, 3) + rows("d", 0, 1) + rows("d", 2, k=1.0) + rows("z", 4))
+    assert _fired(spark, folder, alarm) == [("c", 2)]  # window 3 is still open
+    _put(spark, folder, 1, rows("a", 2) + rows("b", 3, 4) + rows("c", 9) + rows("d", 3, 4))
+    assert _fired(spark, folder, alarm) == [("b", 4), ("c", 2), ("c", 3)]  # a's third window is late
+    _put(spark, folder, 2, rows("c", 10, 11, 12, k=30.0) + rows("b", 5) + rows("a", 10, 11, 12) + rows("z", 14))
+    assert _fired(spark, folder, alarm) == [("a", 12), ("b", 4), ("c", 2), ("c", 3), ("c", 11), ("c", 12)]  # b's sixth is late
+
+
+def test_counters_equal_the_batch_form(spark, folder):
+    import random
+
+    from tillworks.operators import logs
+    from tillworks.operators.logs import Alarm
+    rng = random.Random(3)
+    alarm = Alarm("busy", "max", ">", 10, "10 minutes", 2)
+    for part in range(3):
+        _put(spark, folder, part, [(T0 + timedelta(minutes=300 * part + rng.randrange(300)), rng.choice("xyz"), rng.choice([1.0, 20.0]))
+                                   for _ in range(120)])
+    _put(spark, folder, 3, [(T0 + timedelta(days=2), "end", 1.0)])
+    got = _fired(spark, folder, alarm)
+    events = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    want = logs.consecutive(logs.alarm_windows(events, alarm, F.col("k"), ["host"]), 2, ["host"]).collect()
+    assert got == sorted((r.host, int((r.window_start - T0).total_seconds() // 600)) for r in want) and len(got) > 20

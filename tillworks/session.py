@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +29,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Python workers find this package where the driver does; a cluster without a shared installation ships it with
+    ``--py-files``."""
+    root, known = str(Path(__file__).parents[1]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, else a temp folder in local mode only."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
