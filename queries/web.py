@@ -14,21 +14,48 @@ def _shown(html: str) -> str:
     return f"regexp_replace(regexp_replace({out}, '&amp;?', '&', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
+#: What is put into the head and the body of the given pages, by number: descriptions, trend sections, images.
+HEADS = """CASE page_id % 5 WHEN 0 THEN '<meta name="description" content="Caf&eacute; &amp; page &#35;' || page_id || ' ">'
+  WHEN 1 THEN '<meta name="description" content=""><meta content="Graph &quot;' || page_id || '&quot;" property="og:description">'
+  WHEN 2 THEN '<!-- <meta name="description" content="no"> -->' ELSE '' END ||
+  CASE page_id % 7 WHEN 0 THEN '<meta property="og:image" content="//img.example.org/' || page_id || '.png">'
+  WHEN 1 THEN '<meta property="og:image" content="../pics/./' || page_id || '.png?a=1&amp;b=2">'
+  WHEN 2 THEN '<meta property="og:image" content="https://i5.walmartimages.com/' || page_id || '.png">' ELSE '' END"""
+BODIES = """CASE page_id % 4 WHEN 0 THEN '<div class="box Hot-Trends"><b>Section ' || page_id || '</b> tells of <i>many</i> new things that people like &lt;now&gt; </div>'
+  WHEN 1 THEN '<section class="insight">short ' || page_id || '</section>' ELSE '' END ||
+  CASE page_id % 7 WHEN 3 THEN '<img src="data:x" itemprop="image"><img data-src="/p/' || page_id || '.jpg" itemprop=image>'
+  WHEN 4 THEN '<img src="https://cdn.example.org/l.png" alt="Our LOGO"><img src="/other.png"><img alt=x src="/product/' || page_id || '.jpg"/>'
+  ELSE '' END"""
+
 # paragraphs of the article; one that is not closed lasts to the end of the article
-PAGES_SQL = rf"""WITH bare AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*?)(</body>|$)', 1),
-  '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'g') AS body FROM pages),
+PAGES_SQL = rf"""WITH rich AS (SELECT page_id, url, replace(replace(html, '<head>', '<head>' || {HEADS}), '<body>', '<body>' || {BODIES})
+  AS html, split_part(split_part(url, '#', 1), '?', 1) AS plain FROM pages),
+bare AS (SELECT page_id, url, plain, regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*?)(</body>|$)', 1),
+  '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'g') AS body FROM rich),
 parts AS (SELECT *, string_split(split_part(regexp_extract(body, '(?s)<article>(.*)', 1), '</article>', 1), '<p>') AS ps
   FROM bare),
 told AS (SELECT *, list_filter(list_transform(range(2, len(ps) + 1), lambda i: {_shown(
     "CASE WHEN contains(ps[i], '</p>') THEN split_part(ps[i], '</p>', 1) ELSE array_to_string(ps[i:], '') END")}),
-  lambda t: length(t) > 30) AS texts FROM parts)
-SELECT page_id, url, left(coalesce(texts[1], ''), 500) AS description,
-  left(regexp_replace({_shown("body")}, '\s+', ' ', 'g'), 2000) AS trends_text, '' AS image_url FROM told"""
+  lambda t: length(t) > 30) AS texts, regexp_extract(plain, '^[a-z]+://[^/]*', 0) AS host,
+  string_split(regexp_extract(plain, '^[a-z]+://[^/]*/(.*)', 1), '/') AS steps FROM parts)
+SELECT page_id, url, left(CASE page_id % 5 WHEN 0 THEN 'Café & page #' || page_id WHEN 1 THEN 'Graph "' || page_id || '"'
+  ELSE coalesce(texts[1], '') END, 500) AS description,
+  CASE WHEN page_id % 4 = 0 THEN 'Section ' || page_id || ' tells of many new things that people like <now>'
+    ELSE left(regexp_replace({_shown("body")}, '\s+', ' ', 'g'), 2000) END AS trends_text,
+  CASE page_id % 7 WHEN 0 THEN 'https://img.example.org/' || page_id || '.png'
+    WHEN 1 THEN host || '/' || array_to_string(list_concat(steps[1:len(steps) - 2], ['pics', page_id || '.png?a=1&b=2']), '/')
+    WHEN 3 THEN host || '/p/' || page_id || '.jpg' WHEN 4 THEN host || '/product/' || page_id || '.jpg' ELSE '' END AS image_url FROM told"""
+
+
+def rich_pages(spark, sf_dir):
+    """The given pages with descriptions, trend sections and images put in."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.withColumn("html", F.replace(F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), F.expr(HEADS))), F.lit("<body>"), F.concat(F.lit("<body>"), F.expr(BODIES))))
 
 
 @query("t01_t02_t03_page_fields", PAGES_SQL)
 def t01(spark, sf_dir):
-    return web.page_fields(table(spark, sf_dir, "pages"))
+    return web.page_fields(rich_pages(spark, sf_dir))
 
 
 @query("t04_brand_slugs", """SELECT s_suppkey, list_distinct([n]) AS first_slug, len(list_distinct(list_filter([replace(r, ' ', ''),

@@ -1,4 +1,7 @@
 import json
+import random
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,22 +13,32 @@ PAGE = """<html><head><title>t</title>{head}<script>var t="<p>a script is not a
 </head><body><p>short</p><p>This paragraph has more than thirty characters.</p>{body}</body></html>"""
 
 
+def fields(spark, page, url="https://e.com/"):
+    pages = spark.createDataFrame([(1, url, page)], "page_id int, url string, html string")
+    return tuple(web.page_fields(pages).first())[2:]
+
+
 @pytest.mark.parametrize(("head", "body", "want"), [
     ('<meta name="description" content=" Meta text ">', "", "Meta text"),
     ('<meta name="description" content=""><meta property="og:description" content="Graph">', "", "Graph"),
+    ("<META content='Caf&eacute; &#x1D11E;&#38;&nosuch;&lt' NAME=description />", "", "Café 𝄞&&nosuch;<"),
+    ("<!-- <meta name='description' content='hidden'> -->", "", "This paragraph has more than thirty characters."),
+    ("<meta alt='name=description' name='x' content='no'>", "", "This paragraph has more than thirty characters."),
     ("", "", "This paragraph has more than thirty characters."),
 ])
-def test_description(head, body, want):
-    assert html.page_fields(PAGE.format(head=head, body=body), "https://e.com/")[0] == want
+def test_description(spark, head, body, want):
+    assert fields(spark, PAGE.format(head=head, body=body))[0] == want
 
 
-def test_snippet():
+def test_snippet(spark):
     section = '<div class="Hot-Trends">' + "x" * 60 + "<script>no</script></div>"
-    assert html.page_fields(PAGE.format(head="", body=section), "")[1] == "x" * 60
-    assert html.page_fields(PAGE.format(head="", body='<div class="trend">tiny</div>'), "")[1] == \
+    assert fields(spark, PAGE.format(head="", body=section))[1] == "x" * 60
+    assert fields(spark, PAGE.format(head="", body='<div class="trend">tiny</div>'))[1] == \
         "shortThis paragraph has more than thirty characters.tiny"
-    assert html.page_fields("<p>no body element at all, but a long paragraph</p>", "")[1] == ""
-    assert len(html.page_fields(f"<body>{'word ' * 3000}</body>", "")[1]) == 2000
+    assert fields(spark, '<div class="trend">' + "outside the body " * 5 + "</div><body>in</body>")[1] == "in"
+    assert fields(spark, "<p>no body element at all, but a long paragraph</p>")[1] == ""
+    assert len(fields(spark, f"<body>{'word ' * 3000}</body>")[1]) == 2000
+    assert fields(spark, "<body>a<template>b<p>c</p></template> &amp; 1 < 2<style>x</style></body>")[1] == "a & 1 < 2"
 
 
 @pytest.mark.parametrize(("head", "body", "want"), [
@@ -36,15 +49,66 @@ def test_snippet():
          '<img src="/other/c.png"><img src="/product/c.png">', "https://e.com/product/c.png"),
     ('<meta property="og:image" content="https://i5.walmartimages.com/a.png">', "", ""),
     ("", '<img src="/other/c.png">', ""),
+    ("", '<img itemprop=image src="../../x/./y/../z.png?a=1&amp;b=2#c">', "https://e.com/x/z.png?a=1&b=2#c"),
 ])
-def test_image(head, body, want):
-    assert html.page_fields(PAGE.format(head=head, body=body), "https://e.com/p/x")[2] == want
-
-
-def test_unclosed_and_nested_elements():
-    page = html.scan("<body><p>one<p>two <b>three</p> four<br>five</body>after")
-    assert list(page.texts("p")) == ["onetwo three fourfive", "two three"]
-    assert list(page.texts("body")) == ["onetwo three fourfive"]
+def test_image(spark, head, body, want):
+    assert fields(spark, PAGE.format(head=head, body=body), "https://e.com/p/x")[2] == want
+
+
+def test_links_resolve_as_in_the_standard_library(spark):
+    bases = ["http://a.b/c/d;p?q#f", "https://e.com", "https://e.com/", "http://h/x/y/"]
+    links = ["g", "./g", "g/", "/g", "?y", "g?y", "#s", "g#s", "..", "../", "../g", "../../g", "../../../g", ".", "./", "g/./h",
+             "g/../h", "http://z/x", "ftp://z/y", "mailto:x", "g;x=1/./y"]
+    df = spark.createDataFrame([(b, x) for b in bases for x in links], "b string, l string")
+    got = {(r.b, r.l): r.u for r in df.select("b", "l", html.absolute(F.col("b"), F.col("l")).alias("u")).collect()}
+    assert {k: v for k, v in got.items() if v != urljoin(*k)} == {}
+
+
+class Reader(HTMLParser):
+    """Texts of paragraphs and of the body, read tag by tag."""
+
+    VOID = "area base br col embed hr img input link meta param source track wbr".split()
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.texts = [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.VOID:
+            self.open.append((tag, [tag, ""]))
+            if tag in ("p", "body"):
+                self.texts.append(self.open[-1][1])
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(t in ("script", "style") for t, _ in self.open):
+            for _, entry in self.open:
+                entry[1] += data
+
+
+def test_elements_against_a_reader(spark):
+    """Any order of tags, closed or not."""
+    rng = random.Random(4)
+    parts = ["<p>", "</p>", "<div class='a'>", "</div>", "<b>", "</b>", "<br>", "one ", "two", "<script>if (a<b) '<p>'</script>",
+             "<!-- <p> no -->", "&amp;", "<li>", "</ul>", "<ul>", "<img src='x>y'>", "three &lt; ", "</body>"]
+    pages = [(i, "", "<body>" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for i in range(200)]
+    df = html.with_elements(spark.createDataFrame(pages, "page_id int, url string, html string"))
+    shown = F.transform("_elements", lambda e: F.struct(e["mark"].alias("m"), html.text_of(F.col("_texts"), e).alias("t")))
+    got = {r.page_id: [tuple(e) for e in r.found] for r in df.select("page_id", shown.alias("found")).collect()}
+    for i, _, page in pages:
+        assert got[i] == [tuple(t) for t in Reader(page).texts], page
+
+
+def test_page_fields_need_no_python(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>")], "page_id int, url string, html string")
+    plan = web.page_fields(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
 def test_page_fields_operator(spark):

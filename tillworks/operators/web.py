@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tillworks.functions import text
-from tillworks.functions.html import page_fields as fields_of
+from tillworks.functions import html, text
 from tillworks.functions.parse import strip
 
 # Name endings that are not part of a brand, in the order they are taken off.
@@ -31,20 +26,15 @@ TITLE_LENGTH = 300
 BODY_LENGTH = 500
 RESULTS = 10
 
-PAGE_FIELDS = T.StructType([T.StructField(n, T.StringType()) for n in ("description", "trends_text", "image_url")])
-
-
-@F.pandas_udf(PAGE_FIELDS)
-def _page_fields(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for html, url in batches:
-        rows = [fields_of(h or "", u or "") for h, u in zip(html, url, strict=True)]
-        yield pd.DataFrame(rows, columns=PAGE_FIELDS.names)
-
 
 def page_fields(pages: DataFrame) -> DataFrame:
-    """Description, trend snippet and product image of each page; no shuffle, Arrow batches."""
-    found = pages.withColumn("f", _page_fields("html", "url"))
-    return found.select(*[c for c in pages.columns if c != "html"], "f.*")
+    """Description, trend snippet and product image of each page, as columns: no shuffle, no Python worker."""
+    read = html.with_elements(pages)
+    tags, texts, elements = F.col("_tags"), F.col("_texts"), F.col("_elements")
+    return read.select(
+        *[c for c in pages.columns if c != "html"], html.description(tags, texts, elements).alias("description"),
+        html.trend_snippet(texts, elements).alias("trends_text"),
+        html.product_image(tags, F.coalesce("url", F.lit(""))).alias("image_url"))
 
 
 def brand_slugs(shop: Column) -> Column:
