@@ -53,7 +53,7 @@ RATE = 0.3
 L2 = 1e-4
 SEGMENT = 128  # words of a piece of a chain
 PART_WORDS = 1 << 18
-PIECE = 1 << 20  # bytes of text that are worked on at once
+PIECE = 1 << 18  # bytes of text that are worked on at once
 
 
 @dataclass
@@ -186,36 +186,47 @@ class Border:
         return odds[::-1], last
 
 
-def _sample_features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(feature hashes by kind of each distinct word, number of each word, first word of each document and the end), a
-    megabyte of text at a time: words take 4 bytes each."""
-    kinds, numbers, sizes, held = [[] for _ in range(1 + len(STEMS))], [], [np.zeros(1, np.int64)], 0
-    for a, b in slices(texts, 1 << 20):
+def _sample_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature hashes of each distinct word, a row for each kind; number of each word; first word of each document and the
+    end), a piece of text at a time: a distinct word is kept once, a word takes 4 bytes."""
+    kinds = np.zeros((1 + len(STEMS), 0), np.uint64)
+    known, number_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes and the numbers of their words
+    numbers, sizes = [], [np.zeros(1, np.int64)]
+    for a, b in slices(texts, PIECE):
         w = words(texts.slice(a, b - a), NO_LETTER)
         hashes = _feature_hashes(w)
-        _, first, number = np.unique(hashes[0], return_index=True, return_inverse=True)
-        for kind, h in zip(kinds, hashes, strict=True):
-            kind.append(h[first])
-        numbers.append((number + held).astype(np.int32))
-        held += len(first)
+        names, first, at = np.unique(hashes[0], return_index=True, return_inverse=True)
+        place = np.searchsorted(known, names)
+        new = np.ones(len(names), bool)
+        inside = place < len(known)
+        new[inside] = known[place[inside]] != names[inside]
+        own = np.empty(len(names), np.int32)
+        own[~new] = number_of[place[~new]]
+        own[new] = kinds.shape[1] + np.arange(new.sum(), dtype=np.int32)
+        kinds = np.concatenate([kinds, np.stack([h[first[new]] for h in hashes])], axis=1)
+        known, number_of = np.insert(known, place[new], names[new]), np.insert(number_of, place[new], own[new])
+        numbers.append(own[at])
         sizes.append(np.diff(w.docs))
-    kinds = [np.concatenate(k) for k in kinds]
-    _, first, number = np.unique(kinds[0], return_index=True, return_inverse=True)
-    return [k[first] for k in kinds], number.astype(np.int32)[np.concatenate(numbers)], np.cumsum(np.concatenate(sizes))
+    return kinds, np.concatenate(numbers or [np.zeros(0, np.int32)]), np.cumsum(np.concatenate(sizes))
 
 
-def _copy_weights(docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _copy_weights(docs: np.ndarray, names: np.ndarray, word: np.ndarray) -> np.ndarray:
     """One over the number of sample documents that share a minimal hash of three words (two hashes; the larger group
-    counts)."""
+    counts).  ``names[word]`` are the hashes of the words."""
     n = len(docs) - 1
-    joined = hashes.copy()
-    joined[:-1] = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
-    joined[:-2] = mix(joined[:-2] + hashes[2:] * np.uint64(5))
-    size = np.ones(n)
-    some = np.diff(docs) > 0
-    for salt in (1, 2):
-        least = np.minimum.reduceat(mix(joined + np.uint64(salt)), docs[:-1][some])
-        _, group, count = np.unique(least, return_inverse=True, return_counts=True)
+    size, some = np.ones(n), np.diff(docs) > 0
+    least = np.zeros((2, n), np.uint64)
+    for i, j in _document_ranges(docs, PART_WORDS):
+        lo, hi = docs[i], docs[j]
+        hashes = names[word[lo:hi]]
+        joined = hashes.copy()
+        joined[:-1] = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
+        joined[:-2] = mix(joined[:-2] + hashes[2:] * np.uint64(5))
+        here = np.flatnonzero(some[i:j])
+        for salt in (1, 2) if len(here) else ():
+            least[salt - 1, i + here] = np.minimum.reduceat(mix(joined + np.uint64(salt)), docs[i:j][here] - lo)
+    for row in least:
+        _, group, count = np.unique(row[some], return_inverse=True, return_counts=True)
         size[some] = np.maximum(size[some], count[group])
     return 1 / size
 
@@ -229,18 +240,19 @@ def _document_ranges(docs: np.ndarray, most: int):
         at = end
 
 
-def _evidence(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, weight: np.ndarray
+def _evidence(hashes: np.ndarray, word: np.ndarray, docs: np.ndarray, toxic: np.ndarray, weight: np.ndarray
               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, toxic weight, clean weight) of distinct (document, feature) pairs; feature 0 is none."""
-    order = np.lexsort((doc, feature))
-    f, d = feature[order], doc[order]
-    new = np.ones(len(f), bool)
-    new[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
-    new &= f != 0
-    f, d = f[new], d[new]
-    names, at = np.unique(f, return_inverse=True)
-    return (names, np.bincount(at, weight[d] * toxic[d], len(names)),
-            np.bincount(at, weight[d] * (1 - toxic[d]), len(names)))
+    """(feature, toxic weight, clean weight): weights of the documents that hold each feature, some documents at a time.
+    ``hashes`` are the features of the distinct words, 0 where there is none."""
+    names, feature = np.unique(hashes, return_inverse=True)
+    bad, good = np.zeros(len(names)), np.zeros(len(names))
+    for i, j in _document_ranges(docs, PART_WORDS):
+        doc = np.repeat(np.arange(j - i), np.diff(docs[i:j + 1]))
+        doc, at = np.divmod(np.unique(doc * len(names) + feature[word[docs[i]:docs[j]]]), len(names))
+        bad += np.bincount(at, (weight * toxic)[i + doc], len(names))
+        good += np.bincount(at, (weight * (1 - toxic))[i + doc], len(names))
+    some = (names != 0) & (bad + good > 0)
+    return names[some], bad[some], good[some]
 
 
 def train(sample: pd.DataFrame, share: float | None = None) -> Model:
@@ -251,14 +263,11 @@ def train(sample: pd.DataFrame, share: float | None = None) -> Model:
             share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros(2), np.zeros((2, 2)), np.zeros(3), share)
     kinds, word, all_docs = _sample_features(pa.array(sample["text"]))
-    weight = _copy_weights(all_docs, kinds[0][word])
-    n_words = max(1, len(kinds[0]))
-    doc, doc_word = np.divmod(np.concatenate([np.unique(i * n_words + word[a:b].astype(np.int64)) for i, (a, b) in enumerate(
-        zip(all_docs[:-1], all_docs[1:], strict=True))]), n_words)
+    weight = _copy_weights(all_docs, kinds[0], word)
     base = (weight * toxic).sum() / weight.sum()
     marks, common = [], np.zeros(0, np.uint64)
     for number, hashes in enumerate(kinds):
-        names, bad, good = _evidence(doc, hashes[doc_word], toxic, weight)
+        names, bad, good = _evidence(hashes, word, all_docs, toxic, weight)
         if number == 0:
             common = names[np.argsort(-(bad + good))[:COMMON]]
         else:  # stems that several words share

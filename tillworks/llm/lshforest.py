@@ -44,6 +44,8 @@ BLOCK_GRAMS = 1 << 19
 TASK_BYTES = 16 << 20
 FILTER_BITS = 24
 HASH_BITS = 54
+BATCH_BYTES = 4 << 20  # rows of a task that are in Python at once
+PIECE = 1 << 20  # bytes of text whose words are told at once, or one longer text
 _GRAM_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                           0xA0761D6478BD642F], np.uint64)
 
@@ -121,7 +123,7 @@ def _file_documents(docs: DataFrame, key: str, text: str, gram: int, trees: int,
     """(key, digest, set_a, set_b, n, paths) of every row with an id and words; key and digest tell texts apart."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for a, b in slices(batch.column(1), 4 << 20):
+            for a, b in slices(batch.column(1), PIECE):
                 for at in range(a, b, 1024):
                     some = batch.slice(at, min(1024, b - at))
                     grams, first = gram_sets(some.column(1), gram)
@@ -193,7 +195,7 @@ def _read_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, gram: in
     for each pair of blocks it belongs to; key and digest say which text stands for a class."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for a, b in slices(batch.column(0), 4 << 20):
+            for a, b in slices(batch.column(0), PIECE):
                 for at in range(a, b, 1024):
                     some = batch.slice(at, min(1024, b - at))
                     grams, first = gram_sets(some.column(0), gram)
@@ -218,7 +220,7 @@ def _read_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, gram: in
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, gram: int = GRAM,
           trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows: key, digest and set; classes: id, set, key, weight; counts: id, n linked rows of other classes; edges: u, v)."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
     depth = prefix_depth(similarity, trees, DEEPEST, recall)
     rows = staged(_file_documents(docs, key, text, gram, trees, depth), "lsh-rows")
     classes = staged(rows.groupBy("set_a", "set_b").agg(
