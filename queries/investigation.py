@@ -9,6 +9,7 @@ from queries.base import CFG, YEAR, dmean, query, sales_curated, sales_stored, t
 from tillworks.operators import analytics as an
 from tillworks.operators import audit, quality
 from tillworks.schema import CURATED
+from tillworks.session import scratch
 from tillworks.sources import tables
 
 
@@ -257,25 +258,37 @@ def j04b(spark, sf_dir):
     return audit.change_counts(audit.snapshot_diff(old, new, ["o_orderkey"]))
 
 
+def logged_events(spark, sf_dir):
+    """Change events of two runs, the second one written twice, and the batch entry of each."""
+    old, new = snapshots(spark, sf_dir)
+    root = scratch(spark, "events")
+    diff = audit.snapshot_diff(old, new, ["o_orderkey"])
+    for run, part in (("first", diff.where("change_type = 'DELETE'")), ("second", diff.where("change_type <> 'DELETE'")), ("second", diff.where(
+            "change_type <> 'DELETE'"))):
+        cfg = replace(CFG, run_id=run)
+        tables.write_events(audit.audit_events(part, cfg, "orders", ["o_orderkey"], metadata={"source": "snapshot"}), root, cfg, "orders")
+        tables.write_log(audit.audit_batch(tables.read_events(spark, root, run=run), cfg), root, "audit-batches", cfg)
+    return root
+
+
 @query("s11_audit_events", f"""WITH {DIFF_SQL} SELECT change_type, 'orders' AS table_name, 'MERGE' AS operation,
-  CAST(o_orderkey AS VARCHAR) AS record_id, status_before, status_after, 'check' AS job_run_id
-FROM diff WHERE change_type IS NOT NULL""")
+  CAST(o_orderkey AS VARCHAR) AS record_id, status_before, status_after, CASE change_type WHEN 'DELETE' THEN 'first' ELSE 'second' END
+  AS job_run_id FROM diff WHERE change_type IS NOT NULL""")
 def s11(spark, sf_dir):
-    old, new = snapshots(spark, sf_dir)
-    events = audit.audit_events(audit.snapshot_diff(old, new, ["o_orderkey"]), CFG, "orders", ["o_orderkey"],
-                                metadata={"source": "snapshot"})
+    events = tables.read_events(spark, logged_events(spark, sf_dir), "orders")
     return events.select("change_type", "table_name", "operation", "record_id",
                          F.col("before.o_orderstatus").alias("status_before"),
                          F.col("after.o_orderstatus").alias("status_after"), "job_run_id")
 
 
-@query("s12_audit_batch", f"""WITH {DIFF_SQL} SELECT 'BATCH_AUDIT' AS log_type, COUNT(*) AS total_changes,
-  COUNT(DISTINCT change_type) AS kinds FROM diff WHERE change_type IS NOT NULL""")
+@query("s12_audit_batch", f"""WITH {DIFF_SQL}, kinds AS (SELECT CASE change_type WHEN 'DELETE' THEN 'first' ELSE 'second' END AS job_run_id,
+  change_type, COUNT(*) AS record_count FROM diff WHERE change_type IS NOT NULL GROUP BY ALL)
+SELECT 'BATCH_AUDIT' AS log_type, job_run_id, change_type, 'orders' AS table_name, 'MERGE' AS operation, record_count,
+  CAST(SUM(record_count) OVER (PARTITION BY job_run_id) AS BIGINT) AS total_changes FROM kinds""")
 def s12(spark, sf_dir):
-    old, new = snapshots(spark, sf_dir)
-    events = audit.audit_events(audit.snapshot_diff(old, new, ["o_orderkey"]), CFG, "orders", ["o_orderkey"])
-    batch = audit.audit_batch(events, CFG)
-    return batch.select("log_type", "total_changes", F.size("changes").cast("bigint").alias("kinds"))
+    batches = spark.read.json(f"{logged_events(spark, sf_dir)}/audit-batches")
+    return batches.select("log_type", "job_run_id", "total_changes", F.inline("changes")).select(
+        "log_type", "job_run_id", "change_type", "table_name", "operation", "record_count", "total_changes")
 
 
 @query("j02_reconciliation", with_reports("""SELECT job_run_id, TRUE AS in_both, TRUE AS total_records_ok,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from queries.base import log_events, query, table, with_events
 from tillworks.operators import logs, state
 from tillworks.operators.logs import Alarm
+from tillworks.plans import retention
 from tillworks.session import scratch
 from tillworks.sources.events import parse_events
 from tillworks.streaming import alarms
@@ -166,6 +167,26 @@ def st5b(spark, sf_dir):
         F.count(F.lit(1)).alias("folders"))
 
 
+@query("st5c_retention_carried_out", """SELECT CASE WHEN d < DATE '2001-11-04' - 365 THEN 'gone' WHEN d < DATE '2001-11-04' - 90
+  THEN 'archive' ELSE 'live' END AS place, COUNT(*) AS records, COUNT(DISTINCT d) AS folders, 0::BIGINT AS open, 0 AS again FROM (
+SELECT CAST(date_trunc('month', l_shipdate) + INTERVAL 36 MONTH AS DATE) AS d FROM lineitem) GROUP BY 1""")
+def st5c(spark, sf_dir):
+    """Rows by where they are after a run: live, archived, or gone with a folder that the log names."""
+    from queries.base import CFG
+    root = scratch(spark, "retention")
+    day = F.add_months(F.trunc("l_shipdate", "month"), 36)
+    rows = table(spark, sf_dir, "lineitem").select(day.alias("landing_date"), "l_orderkey")
+    rows.repartition("landing_date").write.partitionBy("landing_date").parquet(f"{root}/raw")
+    retention.carry_out(spark, root, ["raw"], CFG)
+    again = retention.carry_out(spark, root, ["raw"], CFG)
+    places = [("live", f"{root}/raw"), ("archive", f"{root}/{retention.ARCHIVE}/raw")]
+    kept = [spark.read.schema("l_orderkey bigint, landing_date date").parquet(path).withColumn("place", F.lit(place)) for place, path in places]
+    expired = retention.retention_log(spark, root).where("state = 'done' and action = 'expire'").select("landing_date", F.lit("gone").alias("place"))
+    found = kept[0].unionByName(kept[1]).select("landing_date", "place").unionByName(rows.join(expired, "landing_date").select("landing_date", "place"))
+    return found.groupBy("place").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("landing_date").alias("folders")).withColumns({
+        "open": F.lit(retention.unfinished(spark, root).count()).cast("bigint"), "again": F.lit(again)})
+
+
 METRICS = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, metric, COUNT(*) AS events FROM (
 SELECT ts, unnest(list_filter([CASE WHEN event_type = 'DATA_CHANGE' THEN 'DataChangeCount' END,
   CASE WHEN level = 'ERROR' THEN 'ErrorCount' END, CASE WHEN event_type = 'QUALITY_ALERT' THEN 'QualityAlertCount' END,

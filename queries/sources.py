@@ -194,3 +194,26 @@ def s21(spark, sf_dir):
     few = spark.read.parquet(f"{root}/few").withColumn("f", F.col("_metadata.file_path"))
     return few.groupBy("year").agg(an.count_rows().alias("records"), an.total("revenue_usd").alias("revenue"),
                                    F.countDistinct("f").alias("files"))
+
+
+@query("s21b_compaction_swap", with_curated("""SELECT year, COUNT(*) AS records, CAST(SUM(revenue_usd) AS DECIMAL(28,2)) AS revenue,
+  COUNT(*) AS records_of_open_reader, COUNT(DISTINCT month_num) AS files, TRUE AS old_gone FROM sales_curated GROUP BY year"""))
+def s21b(spark, sf_dir):
+    """A reader that was open before the compaction, one after it, and the clearing of the old version."""
+    root = scratch(spark, "compact")
+    rows = sales_curated(spark, sf_dir).select("year", "month_num", "product_id", "revenue_usd")
+    rows.repartition(8, "product_id").write.partitionBy("year", "month_num").parquet(f"{root}/v-first")
+    tables.publish(spark, root, "v-first")
+    before = tables.read_live(spark, root)
+    tables.compact_live(spark, root)
+    after = tables.read_live(spark, root).withColumn("f", F.col("_metadata.file_path"))
+    told = after.groupBy("year").agg(an.count_rows().alias("records"), an.total("revenue_usd").alias("revenue"),
+                                     F.countDistinct("f").alias("files"))
+    read = staged_rows(before.groupBy("year").agg(an.count_rows().alias("records_of_open_reader")), f"{root}-read")
+    gone = tables.drop_versions(spark, root, keep=1)
+    return told.join(read, "year").withColumn("old_gone", F.lit(gone == ["v-first"]))
+
+
+def staged_rows(df, path):
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

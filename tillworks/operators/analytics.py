@@ -145,6 +145,21 @@ def with_group_count(df: DataFrame, keys: Sequence[str], counted: DataFrame, ali
     return df.join(counted.groupBy(*keys).agg(count_rows().alias(alias)), list(keys))
 
 
+def grouped(df: DataFrame, keys: Sequence[str], measures: Sequence[Column], distinct: Mapping[str, str]) -> DataFrame:
+    """Measures and exact distinct counts (name to column) per group.  Several distinct counts in one aggregate copy every row once
+    for each of them before the shuffle; here the first one shares the aggregate of the measures, each further one folds the
+    keys and its own column only, and the groups meet again in a join that treats NULL keys as equal."""
+    (name, column), *others = distinct.items()
+    out = df.groupBy(*keys).agg(F.countDistinct(column).alias(name), *measures)
+    for name, column in others:
+        counted = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.countDistinct(column).alias(name))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        out = out.join(counted, same).drop(*[f"_{k}" for k in keys])
+    return out
+
+
 # -- views -----------------------------------------------------------------------------------------------------------
 
 def high_quality_products(df: DataFrame) -> DataFrame:
@@ -153,13 +168,14 @@ def high_quality_products(df: DataFrame) -> DataFrame:
 
 def sales_by_category_month(df: DataFrame) -> DataFrame:
     keys = ["year", "month_num", "month", "l1_category", "l2_category", "l3_category"]
-    out = min_quality(df, "0.70").groupBy(*keys).agg(
-        F.countDistinct("product_id").alias("unique_products"),
-        F.countDistinct("shop_name").alias("unique_shops"),
+    out = grouped(min_quality(df, "0.70"), keys, [
         units().alias("total_items_sold"),
         total("revenue_usd").alias("total_revenue_usd"),
         mean(F.col("avg_unit_price_usd")).alias("avg_product_price"),
-        mean(F.col("data_quality_score")).alias("avg_quality_score"))
+        mean(F.col("data_quality_score")).alias("avg_quality_score")],
+        {"unique_products": "product_id", "unique_shops": "shop_name"})
+    out = out.select(*keys, "unique_products", "unique_shops", "total_items_sold", "total_revenue_usd", "avg_product_price",
+                     "avg_quality_score")
     return ordered(out, [("year", "desc"), ("month_num", "desc"), ("total_revenue_usd", "desc")])
 
 
@@ -191,13 +207,12 @@ def product_performance(df: DataFrame) -> DataFrame:
 
 
 def shop_leaderboard(df: DataFrame) -> DataFrame:
-    out = min_quality(df, "0.70").groupBy("shop_name").agg(
-        F.countDistinct("product_id").alias("product_count"),
-        F.countDistinct("l2_category").alias("category_diversity"),
+    out = grouped(min_quality(df, "0.70"), ["shop_name"], [
         units().alias("total_items_sold"),
         total("revenue_usd").alias("total_revenue_usd"),
         mean(F.col("revenue_usd")).alias("avg_monthly_revenue"),
-        mean(F.col("data_quality_score")).alias("avg_data_quality"))
+        mean(F.col("data_quality_score")).alias("avg_data_quality")],
+        {"product_count": "product_id", "category_diversity": "l2_category"})
     return ordered(out, [("total_revenue_usd", "desc")])
 
 

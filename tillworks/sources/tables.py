@@ -6,6 +6,7 @@ never anybody else's.  The 21-column curated contract is the table without ``run
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tillworks.config import Config
 from tillworks.schema import CURATED, ERRORS, LINEAGE, PARTITIONS, QUALITY_REPORT, QUARANTINE, RAW_COLUMNS
+from tillworks.sources import folders
 
 RUN = "run_id"
 
@@ -52,7 +54,7 @@ def folder_of(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{TABLES[table].folder}"
 
 
-def _write(df: DataFrame, path: str, partitions: Sequence[str], file_format: str = "parquet") -> None:
+def write_parts(df: DataFrame, path: str, partitions: Sequence[str], file_format: str = "parquet") -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partitions).format(file_format).save(path))
 
@@ -61,29 +63,42 @@ def write_curated(df: DataFrame, root: str, cfg: Config) -> None:
     """``year/month_num/run_id`` leaves.  Rows are spread by month before the write, so a task does not open one file
     per month; the rebalance hint lets adaptive execution split a month that is too large for one task."""
     spread = df.withColumn(RUN, F.lit(cfg.run_id)).hint("rebalance", *[F.col(c) for c in PARTITIONS])
-    _write(spread, folder_of(root, "curated_sales"), [*PARTITIONS, RUN])
+    write_parts(spread, folder_of(root, "curated_sales"), [*PARTITIONS, RUN])
 
 
 def write_errors(df: DataFrame, root: str, cfg: Config) -> None:
-    _write(df.withColumn(RUN, F.lit(cfg.run_id)), folder_of(root, "error_sales"), [RUN])
+    write_parts(df.withColumn(RUN, F.lit(cfg.run_id)), folder_of(root, "error_sales"), [RUN])
 
 
 def write_quarantine(df: DataFrame, root: str, cfg: Config) -> None:
-    _write(df.withColumn(RUN, F.lit(cfg.run_id)), folder_of(root, "quarantine_sales"), [RUN])
+    write_parts(df.withColumn(RUN, F.lit(cfg.run_id)), folder_of(root, "quarantine_sales"), [RUN])
 
 
 def write_quality_report(df: DataFrame, root: str, cfg: Config) -> None:
     """One JSON object per line."""
-    _write(df.withColumn(RUN, F.lit(cfg.run_id)), folder_of(root, "data_quality_metrics"), [RUN], "json")
+    write_parts(df.withColumn(RUN, F.lit(cfg.run_id)), folder_of(root, "data_quality_metrics"), [RUN], "json")
 
 
 def write_lineage(df: DataFrame, root: str, cfg: Config) -> None:
-    _write(df.withColumn(RUN, F.lit(cfg.run_id)), folder_of(root, "transformation_lineage"), [RUN])
+    write_parts(df.withColumn(RUN, F.lit(cfg.run_id)), folder_of(root, "transformation_lineage"), [RUN])
+
+
+def write_events(events: DataFrame, root: str, cfg: Config, table: str) -> None:
+    """Record-level change events of a run, by table.  A repeated run replaces its own part, so an event is there once."""
+    write_parts(events.drop("table_name").withColumns({"table_name": F.lit(table), RUN: F.lit(cfg.run_id)}),
+                f"{root.rstrip('/')}/change-events", ["table_name", RUN])
+
+
+def read_events(spark: SparkSession, root: str, table: str | None = None, run: str | None = None) -> DataFrame:
+    """Change events of all tables and runs, or of one: other folders are not read."""
+    events = spark.read.parquet(f"{root.rstrip('/')}/change-events")
+    events = events if table is None else events.where(F.col("table_name") == table)
+    return events if run is None else events.where(F.col(RUN) == run)
 
 
 def write_log(df: DataFrame, root: str, folder: str, cfg: Config) -> None:
     """JSON lines of a run; a repeated run replaces its own."""
-    _write(df.withColumn(RUN, F.lit(cfg.run_id)), f"{root.rstrip('/')}/{folder}", [RUN], "json")
+    write_parts(df.withColumn(RUN, F.lit(cfg.run_id)), f"{root.rstrip('/')}/{folder}", [RUN], "json")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -99,8 +114,7 @@ def partitions(spark: SparkSession, folder: str, pattern: str = "*.parquet") ->
 
 
 def table_exists(spark: SparkSession, root: str, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder_of(root, name))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return folders.exists(spark, folder_of(root, name))
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -177,8 +191,8 @@ def discover(spark: SparkSession, path: str, declared: T.StructType, policy: str
 def compact(spark: SparkSession, source: str, target: str, partitions_by: Sequence[str] = PARTITIONS,
             target_mb: int = 192, max_records: int = 10_000_000) -> None:
     """Rewrite a partitioned folder into files of about ``target_mb`` of Parquet.  The listing tells the bytes of each
-    partition and so its number of files; rows are dealt to them by hash.  The result goes to a new folder to swap in, since
-    a folder cannot be overwritten while it is read."""
+    partition and so its number of files; rows are dealt to them by hash.  The result goes to a new folder, since a folder
+    cannot be overwritten while it is read; ``compact_live`` publishes it."""
     keys = list(partitions_by)
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(source)
     sizes = listed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
@@ -193,6 +207,51 @@ def compact(spark: SparkSession, source: str, target: str, partitions_by: Sequen
      .option("maxRecordsPerFile", max_records).parquet(target))
 
 
+LIVE = "_live"
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("version bigint, folder string").json(f"{path}/{LIVE}")
+
+
+def live_folder(spark: SparkSession, path: str) -> str:
+    """The folder that readers of a versioned table read: the one its newest manifest names."""
+    newest = _versions(spark, path).orderBy(F.desc("version"), "folder").first()
+    return f"{path}/{newest['folder']}"
+
+
+def read_live(spark: SparkSession, path: str) -> DataFrame:
+    """A versioned table as it is now.  The frame stays on that version while newer ones are published."""
+    return spark.read.parquet(live_folder(spark, path))
+
+
+def publish(spark: SparkSession, path: str, folder: str) -> int:
+    """Make ``folder`` (below ``path``) the version that readers see.  A manifest is one file that the commit of the write puts in
+    place by one rename: readers find the old manifest or the new one."""
+    before = _versions(spark, path).agg(F.max("version")).first()[0] if folders.exists(spark, f"{path}/{LIVE}") else None
+    version = (before or 0) + 1
+    spark.createDataFrame([(version, folder)], "version bigint, folder string").coalesce(1).write.mode("errorifexists").json(
+        f"{path}/{LIVE}/n={version}")
+    return version
+
+
+def compact_live(spark: SparkSession, path: str, partitions_by: Sequence[str] = PARTITIONS, target_mb: int = 192) -> str:
+    """Compact the live version of a table into a new folder and publish that; the old folder stays for its readers."""
+    folder = f"v-{uuid.uuid4().hex}"
+    compact(spark, live_folder(spark, path), f"{path}/{folder}", partitions_by, target_mb)
+    publish(spark, path, folder)
+    return folder
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Remove the folders of all but the newest versions, once no reader can be on them; the names removed."""
+    listed = [r["folder"] for r in _versions(spark, path).orderBy(F.desc("version")).collect()]  # one per compaction
+    old = [f for f in dict.fromkeys(listed[keep:]) if f not in listed[:keep] and folders.exists(spark, f"{path}/{f}")]
+    for folder in old:
+        folders.delete(spark, f"{path}/{folder}")
+    return old
+
+
 def ctas(df: DataFrame, target: str, partitions: Sequence[str] = PARTITIONS, drop: Sequence[str] = (),
          path: str | None = None) -> None:
     """Rebuild a table without some columns under a new name."""
