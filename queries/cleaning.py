@@ -8,6 +8,7 @@ from queries.base import CFG, RAW_ORDER, query, sales_raw, table, with_curated,
 from tillworks.functions import parse, text
 from tillworks.operators import analytics as an
 from tillworks.operators import cleaning, dedup, quality
+from tillworks.session import stage
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEYS = ", ".join(KEY)
@@ -17,6 +18,11 @@ def cleaned(spark, sf_dir, cfg=CFG):
     return quality.with_tier(cleaning.clean(sales_raw(spark, sf_dir), cfg), cfg)
 
 
+def cleaned_stored(spark, sf_dir, cfg=CFG):
+    """The cleaned rows as a written table, as a load stages them."""
+    return stage(cleaned(spark, sf_dir, cfg), "cleaned")
+
+
 @query("p01_dates", with_raw(f"SELECT {KEYS}, month FROM parsed"))
 def p01(spark, sf_dir):
     return sales_raw(spark, sf_dir).select(*KEY, parse.parse_date(F.col("month_raw")).alias("month"))
@@ -153,6 +159,16 @@ def w02(spark, sf_dir):
     return kept.select("id", "month", "shop_name", "l_orderkey", "l_linenumber", "revenue_usd", "quality_flags")
 
 
+@query("w02c_dedup_stored", with_raw("""SELECT id, month, shop_name, l_orderkey, l_linenumber, revenue_usd, quality_flags,
+  copies FROM (SELECT *, COUNT(*) OVER (PARTITION BY id, month, shop_name) AS copies,
+  ROW_NUMBER() OVER (PARTITION BY id, month, shop_name ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
+  l_quantity) AS n FROM scored) WHERE n = 1"""))
+def w02c(spark, sf_dir):
+    rows = cleaned_stored(spark, sf_dir).withColumnRenamed("product_id", "id")
+    folded = dedup.first_per_key(rows, ["id", "month", "shop_name"], RAW_ORDER, stored=True)
+    return folded.select("id", "month", "shop_name", "l_orderkey", "l_linenumber", "revenue_usd", "quality_flags", "copies")
+
+
 @query("w02b_dedup_by_month", with_raw("""SELECT id, year, month_num, shop_name, COUNT(*) - 1 AS dropped FROM scored
 GROUP BY id, year, month_num, shop_name HAVING COUNT(*) > 1"""))
 def w02b(spark, sf_dir):

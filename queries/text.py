@@ -161,12 +161,12 @@ def fn_date(spark, sf_dir):
 
 
 @query("fn_math", with_curated("""SELECT product_id, source_record_number, abs(mom_growth_pct) AS size,
-  ROUND(revenue_usd / 7, 2) IS NOT NULL AS rounded, CAST(item_sold AS DOUBLE) / 3 AS third,
+  CAST(ROUND(avg_unit_price_usd * 3, 1) AS DECIMAL(13,1)) AS rounded, CAST(item_sold AS DOUBLE) / 3 AS third,
   CASE WHEN item_sold % 5 = 0 THEN NULL ELSE 100.0 / CAST(item_sold % 5 AS DOUBLE) END AS safe FROM sales_curated"""))
 def fn_math(spark, sf_dir):
     return sales_curated(spark, sf_dir).select(
         "product_id", "source_record_number", F.abs("mom_growth_pct").alias("size"),
-        F.round(F.col("revenue_usd") / 7, 2).isNotNull().alias("rounded"),
+        F.round(F.col("avg_unit_price_usd") * 3, 1).cast("decimal(13,1)").alias("rounded"),
         (F.col("item_sold").cast("double") / 3).alias("third"),
         F.try_divide(F.lit(100.0), (F.col("item_sold") % 5).cast("double")).alias("safe"))
 

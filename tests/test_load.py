@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillworks import Config
+from tillworks.functions import bits
 from tillworks.operators import analytics, cleaning, dedup, quality
 from tillworks.plans import load as plan
 from tillworks.schema import CURATED, DEDUP_KEYS, RAW_COLUMNS
@@ -143,6 +144,34 @@ def test_dedup_is_idempotent_and_matches_a_window(spark):
     assert dedup.dedup(kept, ["k"], ["o"])[1].count() == 0
 
 
+def test_fold_of_a_stored_table_equals_the_fold_of_all_rows(spark, folder):
+    """Copies of NULL keys, ties in the order, equal rows; a set of 16 bits, in which most keys are taken for repeated."""
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 7 > 0, F.when(F.col("id") < 1300, 1).otherwise(F.col("id") % 2500)).alias("k"),
+        F.when(F.col("id") % 3 > 0, F.lit("s")).alias("s"), (F.col("id") % 2).alias("o"), F.lit("v").alias("v"))
+    df.write.parquet(f"{folder}/t")
+    rows = spark.read.parquet(f"{folder}/t")
+    whole = dedup.first_per_key(rows, ["k", "s"], ["o"])
+    narrow = dedup.first_per_key(rows, ["k", "s"], ["o"], stored=True)
+    assert narrow.schema == whole.schema and sorted(map(str, narrow.collect())) == sorted(map(str, whole.collect()))
+    assert dedup.first_per_key(rows.where("k < 0"), ["k"], ["o"], stored=True).count() == 0
+    kept, extra = dedup.dedup(rows, ["k", "s"], ["o"], stored=True)
+    assert kept.count() + extra.count() == 4000
+    found = bits.bit_set(rows.select(F.xxhash64("k").alias("h")).where("h % 3 = 0"), "h", 16)
+    sure = bits.maybe_in(rows, F.xxhash64("k"), found, "may", 16).where("not may")
+    assert sure.where(F.xxhash64("k") % 3 == 0).count() == 0
+
+
+def test_rows_without_copies_are_not_shuffled(spark, folder):
+    spark.range(1000).select("id", F.lit("v").alias("v"), F.lit(1).alias("o")).write.parquet(f"{folder}/t")
+    rows = spark.read.parquet(f"{folder}/t")
+    alone = bits.maybe_in(rows, F.xxhash64("id"), dedup.repeated_hashes(rows, ["id"]), "again").where("not again")
+    probe, counting = plan_of(alone).split("BroadcastExchange", 1)
+    assert "Exchange" not in probe and "Sort" not in probe
+    assert "HashAggregate(keys=[_hash" in counting and "ReadSchema: struct<id:bigint>" in counting
+    assert alone.count() == 1000
+
+
 def test_new_keys_sees_null_keys_and_reads_only_touched_months(spark, folder):
     old = spark.createDataFrame([(1, date(2024, 1, 5), "s", 2024, 1, "r0"), (2, None, None, None, None, "r0"),
                                  (9, date(2023, 1, 5), "s", 2023, 1, "r0")],

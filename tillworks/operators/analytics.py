@@ -15,6 +15,10 @@ from tillworks.config import Config
 from tillworks.functions.text import match_key
 from tillworks.operators.quality import RATING, band, has_flag, mean
 from tillworks.schema import FLAGS, SCORE
+from tillworks.session import stage
+
+#: Parts that the rows of one key are ranked in first.
+SALTS = 64
 
 # Exclusive upper price limits of the tiers.
 PRICE_TIERS = [("10", "Budget (<$10)"), ("25", "Mid-Range ($10-$25)"), ("50", "Premium ($25-$50)")]
@@ -97,10 +101,15 @@ def top_k_per(df: DataFrame, keys: Sequence[str], spec: Sequence[tuple[str, str]
 
 
 def _rank_per(df: DataFrame, keys: Sequence[str], spec: Sequence[tuple[str, str]], k: int, rank_as: str) -> DataFrame:
-    """RANK without a window over rows: fold equal order values to counts, rank the k best values of a key by the rows
-    before them, and join the rows to their value."""
+    """RANK without a window over all rows of a key.  Rows are dealt to ``SALTS`` parts of their key; what ranks over k in
+    its part ranks over k in the key, and is cut in the map tasks already.  The few rows left are written, so ``df`` is
+    read once; among them equal order values fold to counts, the k best values of a key are ranked by the rows before
+    them, and the rows meet their value.  Ties of any number stay spread."""
     values = [c for c, _ in spec]
-    best = top_k_per(df.groupBy(*keys, *values).agg(count_rows().alias("_rows")), keys, spec, k, rank_as="_position")
+    part = Window.partitionBy(*keys, "_salt").orderBy(*_order(spec))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), F.lit(SALTS)))
+    few = stage(salted.withColumn("_rank", F.rank().over(part)).where(F.col("_rank") <= k).drop("_salt", "_rank"), "ranked")
+    best = top_k_per(few.groupBy(*keys, *values).agg(count_rows().alias("_rows")), keys, spec, k, rank_as="_position")
     before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_position").rowsBetween(
         Window.unboundedPreceding, -1))
     best = best.withColumn(rank_as, F.coalesce(before, F.lit(0)) + 1).where(F.col(rank_as) <= k)
@@ -108,7 +117,7 @@ def _rank_per(df: DataFrame, keys: Sequence[str], spec: Sequence[tuple[str, str]
     same = F.lit(True)
     for c in [*keys, *values]:
         same = same & F.col(c).eqNullSafe(F.col(f"_v_{c}"))
-    return df.join(best, same).select(*df.columns, rank_as)
+    return few.join(best, same).select(*df.columns, rank_as)
 
 
 def latest_partition(df: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 A window per key would put every copy of one key into one task.  These operators aggregate instead: each map task
 folds its copies into one row and a count before the shuffle, so a key that holds a third of the table arrives as one
 row per map task.  Where copies must be written out again, the counts are cut into chunks that are spread first.
+
+A fold of full rows sorts them, since its states have no fixed width.  Over a stored table (``stored=True``) the keys are
+counted first, by their hashes alone: rows whose hash occurs once have no copy and pass as they are, without sort or shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.functions.bits import bit_set, maybe_in
 from tillworks.operators.cleaning import synthetic_id
 from tillworks.schema import DEDUP_KEYS
 
@@ -19,8 +23,15 @@ from tillworks.schema import DEDUP_KEYS
 CHUNK = 10_000
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: str = "copies") -> DataFrame:
-    """One row per key (NULL keys form a group): the one with the smallest ``order`` values, and the number of rows."""
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: str = "copies",
+                  stored: bool = False) -> DataFrame:
+    """One row per key (NULL keys form a group): the one with the smallest ``order`` values, and the number of rows.
+    ``stored`` says that ``df`` reads a written table, so that three scans of it are cheap and see the same rows."""
+    if stored:
+        again = maybe_in(df, F.xxhash64(*keys), repeated_hashes(df, keys), "_again")
+        several = first_per_key(again.where("_again").drop("_again"), keys, order, count)
+        alone = again.where("not _again").drop("_again").withColumn(count, F.lit(1).cast("bigint"))
+        return several.unionByName(alone)
     rest = [c for c in df.columns if c not in keys]
     folded = df.groupBy(*keys).agg(
         F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"),
@@ -28,6 +39,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], coun
     return folded.select(*keys, "_first.*", count)
 
 
+def repeated_hashes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hashes of the keys that occur more than once, as a set of bits.  Keys that share a hash or a bit are taken for
+    repeated: they are folded, with a count of one."""
+    hashes = df.select(F.xxhash64(*keys).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
+    return bit_set(hashes.where("n > 1"), "_hash")
+
+
 def repeat_rows(df: DataFrame, times: str, index: str, chunk: int = CHUNK) -> DataFrame:
     """Each row ``times`` times, numbered from 0.  Its numbers are cut into chunks, the chunks are spread over the tasks and
     unrolled there: a row repeated a billion times is work for all of them."""
@@ -43,21 +61,21 @@ def repeat_rows(df: DataFrame, times: str, index: str, chunk: int = CHUNK) -> Da
     return spread.withColumn(index, F.explode(numbers)).drop("_part")
 
 
-def dedup(df: DataFrame, keys: Sequence[str] = DEDUP_KEYS, order: Sequence[str] = ("record_key",)
-          ) -> tuple[DataFrame, DataFrame]:
+def dedup(df: DataFrame, keys: Sequence[str] = DEDUP_KEYS, order: Sequence[str] = ("record_key",),
+          stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """(kept rows, duplicates).  A duplicate is listed by its key columns and copy number, one row per copy."""
-    folded = first_per_key(df, keys, order)
+    folded = first_per_key(df, keys, order, stored=stored)
     extra = folded.where("copies > 1").select(*keys, (F.col("copies") - 1).alias("_extra"))
     return folded.drop("copies"), repeat_rows(extra, "_extra", "copy_no").drop("_extra")
 
 
 def fold_copies(df: DataFrame, keys: Sequence[str] = DEDUP_KEYS, id_column: str = "product_id",
-                order: Sequence[str] = ("source_file", "record_key")) -> DataFrame:
+                order: Sequence[str] = ("source_file", "record_key"), stored: bool = False) -> DataFrame:
     """One shuffle for both identities: rows with an id fold on ``keys``; rows without one fold on equal content, since
     each of them will get an id of its own.  ``copies`` counts the folded rows."""
     no_id = F.col(id_column).isNull()
     content = F.when(no_id, F.col("record_key"))
-    folded = first_per_key(df.withColumn("_content", content), [*keys, "_content"], order)
+    folded = first_per_key(df.withColumn("_content", content), [*keys, "_content"], order, stored=stored)
     return folded.drop("_content")
 
 
