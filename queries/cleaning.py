@@ -1,6 +1,7 @@
 """Cleaning of untidy sales rows."""
 
 from dataclasses import replace
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -186,6 +187,15 @@ def s08(spark, sf_dir):
     return dedup.duplicates_to_errors(dedup.duplicate_keys(folded), CFG).drop("error_timestamp")
 
 
+@query("own_rule_small_sales", with_raw(f"""SELECT {KEYS}, concat_ws(',', NULLIF(quality_flags, ''),
+  CASE WHEN items < 5 THEN 'SMALL_SALE' END) AS quality_flags,
+  CAST(data_quality_score - CASE WHEN items < 5 THEN 0.10 ELSE 0 END AS DECIMAL(5,4)) AS data_quality_score FROM scored"""))
+def own_rule(spark, sf_dir):
+    rule = cleaning.Rule("SMALL_SALE", F.col("item_sold") < 5, Decimal("0.10"))
+    rows = cleaning.clean(sales_raw(spark, sf_dir), CFG, own_rules=[rule])
+    return rows.select(*KEY, "quality_flags", "data_quality_score")
+
+
 FOLDED = """folded AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id, month, shop_name
   ORDER BY record_key) AS n FROM tiered WHERE id IS NOT NULL) WHERE n = 1
 UNION ALL SELECT *, 1 AS n FROM tiered WHERE id IS NULL)"""

@@ -9,7 +9,7 @@ from queries.base import CFG, YEAR, dmean, query, sales_curated, sales_stored, t
 from tillworks.operators import analytics as an
 from tillworks.operators import audit, quality
 from tillworks.schema import CURATED
-from tillworks.session import scratch
+from tillworks.session import scratch, stage
 from tillworks.sources import tables
 
 
@@ -205,7 +205,7 @@ def w08(spark, sf_dir):
   WHERE month >= DATE '1999-04-01')
 ORDER BY data_quality_score, product_id, month, product_name, quarantine_reason LIMIT 100"""))
 def w09(spark, sf_dir):
-    return an.quarantine_review(quarantine(spark, sf_dir), "1999-04-01")
+    return an.quarantine_review(stage(quarantine(spark, sf_dir), "quarantine"), "1999-04-01")
 
 
 @query("w09b_near_threshold", with_quarantine("""SELECT * FROM quarantine WHERE quarantine_reason = 'LOW_QUALITY_SCORE'
