@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -323,6 +324,38 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: (r.n_links, r.class_id) for r in rows} == {i: (len(near[i]), label[i]) for i in range(n)}
 
 
+def test_sorted_tries_keep_what_shares_a_prefix(spark):
+    import random
+    rng = random.Random(4)
+    paths = [[int.from_bytes(bytes(rng.choice([0, 7, 255]) for _ in range(8)), "big", signed=True) for _ in range(2)]
+             for _ in range(300)] + [[5, -5]] * 40
+    df = spark.createDataFrame(list(enumerate(paths)), "id bigint, paths array<bigint>").repartition(5)
+    got = {(r.tree, r.id): r.reach for r in lshforest._sorted_tries(df, 4).collect()}
+    for tree in (0, 1):
+        keys = [p[tree].to_bytes(8, "big", signed=True) for p in paths]
+        for i, mine in enumerate(keys):
+            most = max(len(os.path.commonprefix([mine, k])) for j, k in enumerate(keys) if j != i)
+            assert got.get((tree, i), 0) >= (most if most >= 4 else 0)
+    depths = lshforest._measured_depths(lshforest._sorted_tries(df, 4), 0.8, 2, 4, 0.5)
+    assert 1 - (1 - 0.8 ** depths[0]) * (1 - 0.8 ** depths[1]) >= 0.5
+
+
+def test_chained_documents_link_only_where_they_are_near(spark):
+    # every text shares half of its words with the next one: candidates of chance, no links
+    from tests.llm.test_methods import _grams
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words[i * 12:i * 12 + 60]) for i in range(120)]
+    texts += [" ".join(words[i * 12:i * 12 + 60] + ["end"]) for i in range(0, 120, 3)]
+    sets = [_grams(t) for t in texts]
+    near = [sum(1 for j, b in enumerate(sets) if j != i and len(a & b) >= 0.8 * len(a | b)) for i, a in enumerate(sets)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    old, lshforest.BLOCK_DOCS = lshforest.BLOCK_DOCS, 3
+    try:
+        assert {r.doc_id: r.n_links for r in lshforest.near_duplicates(df).collect()} == dict(enumerate(near))
+    finally:
+        lshforest.BLOCK_DOCS = old
+
+
 def test_texts_of_one_id_are_judged_one_by_one(spark):
     base = {b: [f"{b}{i}" for i in range(60)] for b in "abc"}
 

@@ -140,6 +140,25 @@ def test_prefix_depth_reaches_the_recall():
         assert d == 8 or 1 - (1 - 0.8 ** (d + 1)) ** trees < recall
 
 
+def test_tries_are_shortened_until_the_recall_where_it_adds_least():
+    pairs = {(t, d): 100 * (9 - d) for t in range(32) for d in range(4, 9)}
+    for t in (3, 17):  # a passage of many documents rules these tries below 7 levels
+        pairs |= {(t, d): 10**9 for d in (4, 5, 6)}
+    depths = lshforest.tree_depths(pairs, 0.8, 32, 8, 4, 0.9999)
+    assert 1 - math.prod(1 - 0.8 ** d for d in depths) >= 0.9999
+    assert depths[3] >= 7 and depths[17] >= 7 and min(depths) < 7
+    longer = [depths[:t] + [depths[t] + 1] + depths[t + 1:] for t in range(32) if depths[t] == min(depths)]
+    assert all(1 - math.prod(1 - 0.8 ** d for d in some) < 0.9999 for some in longer)
+    assert lshforest.tree_depths({}, 0.8, 2, 8, 1, 0.9999) == [1, 1]  # out of reach: as short as allowed
+    assert 8 >= lshforest.tree_depths({}, 1.0, 4, 8, 1, 0.9999)[0] >= 1
+
+
+def test_shared_levels_of_sorted_paths():
+    path = np.array([0x0102030405060708, 0x0102030405060708, 0x0102030405060799, 0x01FF000000000000, 0x02FF000000000000,
+                     0x02FF000000000000], np.uint64)
+    assert lshforest.shared_levels(np.array([0, 0, 0, 0, 0, 1]), path).tolist() == [8, 7, 1, 0, 0]
+
+
 def test_signatures_agree_as_often_as_the_sets_do():
     rng = np.random.default_rng(2)
     both = np.sort(rng.integers(0, 1 << 54, 800).astype(np.uint64))

@@ -1,19 +1,22 @@
 """Near-duplicate documents: Jaccard join on word 5-grams with a MinHash LSH forest.
 
 A document is the set of its word 5-grams (lower case, words are runs without white space; a shorter text is one gram).  Each of
-``TREES`` tries files a document under a path of min-hash values, one byte a level, packed into one integer: sorted integers
-are the trie's leaves, and the first d bytes are a prefix.  Prefixes are shortened from ``DEEPEST`` levels until a pair at the
-threshold shares one in some trie with probability ``RECALL`` or more.
+``TREES`` tries files a document under a path of ``DEEPEST`` min-hash values, one byte a level, packed into one integer: sorted
+integers are the trie's leaves, and the first d bytes are a prefix.
 
 1. Documents with equal sets become one class with a number of its own and a weight; ids only name the result.
-2. Classes that share a prefix in some trie are connected (each to the smallest of its bucket, never pairwise); what is
-   connected forms a candidate group, outside of which no candidate pair can lie.
-3. Each group is verified exactly: all its sets meet in one task, or, cut by hash into blocks of bounded size, in one task per
-   pair of blocks.  Intersections are products of 0/1 matrices.  A task returns link counts and a spanning forest,
-   so a group of g near copies costs g rows for each of its blocks, not g squared.
-4. Components of the forest edges are the near-duplicate classes.
-
-Texts are read again only for classes in candidate groups; a bit filter of fixed size keeps all others out of that shuffle.
+2. All paths are sorted by trie.  A path's neighbours in that order tell the longest prefix that it shares with any other; paths
+   that share fewer levels than could ever be asked for leave here, without a shuffle.
+3. Matched prefixes start at ``DEEPEST`` levels.  One trie at a time is shortened by a level, the one that adds the fewest pairs
+   of classes for its gain, counted on the tries themselves, until a pair at the threshold is found with probability ``RECALL``
+   or more.  A trie in which a passage of many documents rules the prefixes stays long; others make up for it.
+4. Each class has a home, the smallest class that it shares a prefix with, and homes are cut by hash into blocks of bounded
+   size.  Two blocks meet if classes of theirs share a prefix in some trie, so what is only connected through others never meets.
+5. Blocks that meet are verified exactly, each pair of classes once: intersections are products of 0/1 matrices.  A task returns
+   link counts and a spanning forest, so a home of g near copies costs g rows for each of its blocks, not g squared.
+6. Components of the forest edges are the near-duplicate classes.
+
+Texts are read again only for classes that share a prefix; a bit filter of fixed size keeps all others out of that shuffle.
 Grams are told apart by 54-bit hashes of their words.
 
 Cases: texts without words (NULL, empty) link with nothing; rows that repeat id and text are copies; if an id comes with
@@ -44,6 +47,7 @@ BLOCK_GRAMS = 1 << 19
 TASK_BYTES = 16 << 20
 FILTER_BITS = 24
 HASH_BITS = 54
+SPARE = 2  # levels that a trie may be shortened below the depth at which all tries alike reach the recall
 BATCH_BYTES = 4 << 20  # rows of a task that are in Python at once
 PIECE = 1 << 20  # bytes of text whose words are told at once, or one longer text
 _GRAM_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -52,13 +56,34 @@ _GRAM_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E37
 
 def prefix_depth(similarity: float = SIMILARITY, trees: int = TREES, deepest: int = DEEPEST,
                  recall: float = RECALL) -> int:
-    """Levels that a prefix keeps: shortened from ``deepest`` until the recall at the threshold is reached."""
+    """Levels at which all tries alike find a pair at the threshold with probability ``recall``."""
     depth = deepest
     while depth > 1 and 1 - (1 - similarity ** depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def tree_depths(pairs: dict[tuple[int, int], int], similarity: float = SIMILARITY, trees: int = TREES,
+                deepest: int = DEEPEST, shortest: int = 1, recall: float = RECALL) -> list[int]:
+    """Levels that the prefixes of each trie keep; ``pairs`` counts the pairs of classes that share d levels of trie t by (t, d).
+    The trie with the fewest new pairs for its gain is shortened first, until the chance that all tries miss a pair at the
+    threshold is ``1 - recall`` or less, or all are at ``shortest``."""
+    def miss(depth: int) -> float:
+        return float(np.log1p(-min(similarity ** depth, 1 - 1e-12)))
+
+    def price(tree: int) -> float:
+        d = depths[tree]
+        return (pairs.get((tree, d - 1), 0) - pairs.get((tree, d), 0) + 1) / (miss(d) - miss(d - 1))
+
+    depths = [deepest] * trees
+    while sum(map(miss, depths)) > np.log(max(1 - recall, 1e-12)):
+        able = [t for t in range(trees) if depths[t] > shortest]
+        if not able:
+            break
+        depths[min(able, key=price)] -= 1
+    return depths
+
+
 def gram_sets(texts: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(gram hashes, sorted and distinct within each text; first of each text and the end).  At most 1024 texts."""
     w = words(texts)
@@ -139,16 +164,80 @@ def _file_documents(docs: DataFrame, key: str, text: str, gram: int, trees: int,
     return rows.mapInArrow(run, "key bigint, digest bigint, set_a bigint, set_b bigint, n bigint, paths array<bigint>").where("n > 0")
 
 
-def _candidate_groups(classes: DataFrame) -> DataFrame:
-    """(id, grp) of the classes that share a prefix with another one, connected through buckets."""
-    paths = classes.select("id", F.posexplode("paths").alias("tree", "path"))
-    buckets = paths.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
-    buckets = staged(buckets.withColumn("bucket", F.xxhash64("tree", "path")).select("bucket", "least"), "lsh-buckets")
-    members = paths.select("id", F.xxhash64("tree", "path").alias("bucket"))
-    members = in_filter(members, F.col("bucket"), bit_filter(buckets, "bucket", FILTER_BITS), FILTER_BITS, "shared")
-    edges = members.where("shared").join(buckets, "bucket").where("id <> least").select(
-        F.col("id").alias("u"), F.col("least").alias("v"))
-    return components(edges).toDF("id", "grp")
+def shared_levels(tree: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Levels that each path shares with the next one of a sorted list; 0 across tries."""
+    differ = path[1:] ^ path[:-1]
+    levels = np.zeros(len(differ), np.int32)
+    for d in range(1, DEEPEST + 1):
+        levels += differ >> np.uint64(8 * (DEEPEST - d)) == 0
+    return np.where(tree[1:] == tree[:-1], levels, 0)
+
+
+def _sorted_tries(classes: DataFrame, shortest: int) -> DataFrame:
+    """(tree, path, id, reach): the paths in trie order that share ``shortest`` levels with a neighbour; reach is the number
+    of levels shared.  Ranges are cut by id too, so no prefix is too frequent for a task; the first and last path of a range,
+    whose other neighbour lies elsewhere, count as shared in full and are told by the counts that follow."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        def out(rows: list[np.ndarray], reach: np.ndarray) -> pa.RecordBatch:
+            some = reach >= shortest
+            return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in rows] + [pa.array(reach[some].astype(np.int32))],
+                                              ["tree", "path", "id", "reach"])
+
+        held, before = None, DEEPEST  # the last path so far and what it shares with the one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            levels = np.concatenate([[before], shared_levels(rows[0], rows[1].view(np.uint64))])
+            if len(levels) > 1:
+                yield out([c[:-1] for c in rows], np.maximum(levels[:-1], levels[1:]))
+            held, before = [c[-1:] for c in rows], levels[-1]
+        if held is not None:
+            yield out(held, np.array([DEEPEST]))
+
+    paths = classes.select(F.posexplode("paths").alias("tree", "path"), "id")
+    return paths.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path").mapInArrow(
+        run, "tree int, path bigint, id bigint, reach int")
+
+
+def _measured_depths(tries: DataFrame, similarity: float, trees: int, shortest: int, recall: float) -> list[int]:
+    """Depths of the tries from the pairs that their prefixes hold: one count for each trie and depth reaches the driver."""
+    depths = F.array(*[F.lit(d) for d in range(shortest, DEEPEST + 1)])
+    nodes = tries.select("tree", "path", "reach", F.explode(depths).alias("depth")).where("reach >= depth").groupBy(
+        "tree", "depth", F.expr(f"shiftrightunsigned(path, 8 * ({DEEPEST} - depth))").alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n"))
+    found = nodes.groupBy("tree", "depth").agg(F.sum(F.expr("cast(n as double) * (n - 1) / 2")).alias("pairs")).collect()
+    return tree_depths({(r.tree, r.depth): r.pairs for r in found}, similarity, trees, DEEPEST, shortest, recall)
+
+
+def _blocks(classes: DataFrame, tries: DataFrame, depths: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(wanted: id, key, digest, weight, n, block; meetings: block, lo, hi) of classes that share a prefix with another one."""
+    depth = F.element_at(F.array(*[F.lit(d) for d in depths]), F.col("tree") + 1)
+    paths = tries.withColumn("depth", depth).where("reach >= depth").select("id", F.xxhash64("tree", F.expr(
+        f"shiftrightunsigned(path, 8 * ({DEEPEST} - depth))")).alias("bucket"))
+    buckets = staged(paths.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where(
+        "n > 1").drop("n"), "lsh-buckets")
+    members = staged(paths.join(buckets, "bucket"), "lsh-members")
+    homes = members.groupBy("id").agg(F.min("least").alias("home"))
+    known = staged(classes.select("id", "key", "digest", "weight", "n").join(homes, "id"), "lsh-homes")
+    sizes = staged(known.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(
+        F.sum("n") / BLOCK_GRAMS)).cast("bigint").alias("parts")), "lsh-sizes")
+    wanted = staged(known.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(
+        F.xxhash64("id"), "parts"))).drop("home", "parts"), "lsh-wanted")
+    inside = members.select("id", "bucket").join(wanted.select("id", "block"), "id").select("bucket", "block").distinct()
+    inside = staged(inside, "lsh-inside")
+    several = staged(inside.groupBy("bucket").agg(F.min("block").alias("a"), F.max("block").alias("b")).where(
+        "a <> b").select("bucket"), "lsh-several")
+    inside = staged(inside.join(several, "bucket"), "lsh-across")
+    across = inside.select("bucket", F.col("block").alias("lo")).join(
+        inside.select("bucket", F.col("block").alias("hi")), "bucket").where("lo < hi").select("lo", "hi")
+    alone = wanted.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("block").alias("lo"), F.col("block").alias("hi"))
+    pairs = staged(across.distinct().unionByName(alone), "lsh-pairs")
+    return wanted, staged(pairs.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"), "lo", "hi"),
+                          "lsh-meetings")
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -191,58 +280,47 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], similarity: flo
 
 
 def _read_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, gram: int) -> DataFrame:
-    """(grp, lo, hi, mine, id, weight, grams) of the classes in ``wanted`` (id, key, digest, weight, grp, blocks), once
-    for each pair of blocks it belongs to; key and digest say which text stands for a class."""
+    """(block, id, weight, grams) of the classes in ``wanted`` (id, key, digest, weight, block); key and digest say which text
+    stands for a class."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for a, b in slices(batch.column(0), PIECE):
                 for at in range(a, b, 1024):
                     some = batch.slice(at, min(1024, b - at))
                     grams, first = gram_sets(some.column(0), gram)
-                    rows = some.drop_columns(["text"]).to_pylist()
-                    for i, row in enumerate(rows):
-                        mine = int(mix(np.array([row["id"]], np.int64).view(np.uint64))[0] % np.uint64(row["blocks"]))
-                        others = np.arange(row["blocks"])
-                        n = len(others)
-                        data = grams[first[i]:first[i + 1]].astype("<u8").tobytes()
-                        yield pa.RecordBatch.from_pydict({
-                            "grp": [row["grp"]] * n, "lo": np.minimum(others, mine), "hi": np.maximum(others, mine),
-                            "mine": [mine] * n, "id": [row["id"]] * n, "weight": [row["weight"]] * n,
-                            "grams": [data] * n})
+                    sets = [grams[i:j].astype("<u8").tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([some.column("block"), some.column("id"), some.column("weight"),
+                                                      pa.array(sets, pa.binary())], ["block", "id", "weight", "grams"])
 
     may = in_filter(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias(
         "text")), F.col("key"), bit_filter(wanted, "key", FILTER_BITS), FILTER_BITS, "may").where("may").drop("may")
     rows = may.withColumn("digest", F.xxhash64("text")).join(wanted, ["key", "digest"]).select(
-        F.lower("text").alias("text"), "id", "weight", "grp", "blocks")
-    return rows.mapInArrow(run, "grp bigint, lo bigint, hi bigint, mine bigint, id bigint, weight bigint, grams binary")
+        F.lower("text").alias("text"), "id", "weight", "block")
+    return rows.mapInArrow(run, "block bigint, id bigint, weight bigint, grams binary").dropDuplicates(["id"])
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, gram: int = GRAM,
           trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows: key, digest and set; classes: id, set, key, weight; counts: id, n linked rows of other classes; edges: u, v)."""
     bounded_batches(docs.sparkSession, BATCH_BYTES)
-    depth = prefix_depth(similarity, trees, DEEPEST, recall)
-    rows = staged(_file_documents(docs, key, text, gram, trees, depth), "lsh-rows")
+    rows = staged(_file_documents(docs, key, text, gram, trees, DEEPEST), "lsh-rows")
     classes = staged(rows.groupBy("set_a", "set_b").agg(
         F.min(F.struct("key", "digest")).alias("one"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"),
         F.first("paths").alias("paths")).select("set_a", "set_b", "one.key", "one.digest", "weight", "n", "paths").withColumn(
             "id", F.monotonically_increasing_id()), "lsh-classes")  # numbered once, as it is written
-    groups = staged(_candidate_groups(classes), "lsh-groups")
-    members = classes.select("id", "key", "digest", "weight", "n").join(groups, "id")
-    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(
-        F.sum("n") / BLOCK_GRAMS)).cast("bigint").alias("blocks"))
-    wanted = staged(members.join(staged(sizes, "lsh-sizes"), "grp").select(
-        "id", "key", "digest", "weight", "grp", "blocks", "n"), "lsh-wanted")
-    volume = wanted.agg(F.sum(F.col("n") * F.col("blocks") * 8)).first()[0] or 0
-    tasks = max(1, -(-volume // TASK_BYTES))
+    shortest = max(1, prefix_depth(similarity, trees, DEEPEST, recall) - SPARE)
+    tries = staged(_sorted_tries(classes, shortest), "lsh-tries")
+    wanted, meetings = _blocks(classes, tries, _measured_depths(tries, similarity, trees, shortest, recall))
+    volume = meetings.join(wanted.groupBy("block").agg(F.sum("n").alias("n")), "block").agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, -(-volume * 8 // TASK_BYTES))
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, lo, hi), block in frame.groupby(["grp", "lo", "hi"], sort=False):
-            block = block.drop_duplicates("id").sort_values("id")
+        for (lo, hi), block in frame.groupby(["lo", "hi"], sort=False):
+            block = block.sort_values("id")
             ids, weight = block["id"].to_numpy(), block["weight"].to_numpy()
             sets = [np.frombuffer(g, "<u8") for g in block["grams"]]
-            left, right = (np.flatnonzero(block["mine"].to_numpy() == m) for m in (lo, hi))
+            left, right = (np.flatnonzero(block["block"].to_numpy() == m) for m in (lo, hi))
             if len(ids) < 2 or not len(left) or not len(right):
                 continue
             i, j = block_links([sets[k] for k in left], [sets[k] for k in right], similarity, lo == hi)
@@ -255,8 +333,8 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
                                      "n": np.concatenate([n[some], np.full(len(a), -1)])}))
         return pd.concat(out) if out else pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")
 
-    sets = _read_sets(docs, wanted.drop("n"), key, text, gram)
-    found = staged(sets.withColumn("task", F.pmod(F.xxhash64("grp", "lo", "hi"), F.lit(int(tasks)))).groupBy(
+    sets = staged(_read_sets(docs, wanted.drop("n"), key, text, gram), "lsh-sets").join(meetings, "block")
+    found = staged(sets.withColumn("task", F.pmod(F.xxhash64("lo", "hi"), F.lit(int(tasks)))).groupBy(
         "task").applyInPandas(lambda frame: verify(frame), "u bigint, v bigint, n bigint"), "lsh-links")
     counts = found.where("n >= 0").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n_linked"))
     return rows, classes, counts, found.where("n < 0").select("u", "v")
