@@ -316,11 +316,12 @@ def test_near_duplicates_against_brute_force(spark):
     label = list(range(n))
     for _ in range(n):
         label = [min([label[i], *(label[j] for j in near[i])]) for i in range(n)]
-    old, lshforest.BLOCK_DOCS = lshforest.BLOCK_DOCS, 20  # several blocks in a group
+    old = lshforest.BLOCK_DOCS, lshforest.TILE
+    lshforest.BLOCK_DOCS, lshforest.TILE = 20, 7  # several blocks in a home, several tiles in a block
     try:
         rows = lshforest.near_duplicates(df).collect()
     finally:
-        lshforest.BLOCK_DOCS = old
+        lshforest.BLOCK_DOCS, lshforest.TILE = old
     assert {r.doc_id: (r.n_links, r.class_id) for r in rows} == {i: (len(near[i]), label[i]) for i in range(n)}
 
 

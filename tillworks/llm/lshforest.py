@@ -10,9 +10,9 @@ integers are the trie's leaves, and the first d bytes are a prefix.
 3. Matched prefixes start at ``DEEPEST`` levels.  One trie at a time is shortened by a level, the one that adds the fewest pairs
    of classes for its gain, counted on the tries themselves, until a pair at the threshold is found with probability ``RECALL``
    or more.  A trie in which a passage of many documents rules the prefixes stays long; others make up for it.
-4. Each class has a home, the smallest class that it shares a prefix with, and homes are cut by hash into blocks of bounded
-   size.  Two blocks meet if classes of theirs share a prefix in some trie, so what is only connected through others never meets.
-5. Blocks that meet are verified exactly, each pair of classes once: intersections are products of 0/1 matrices.  A task returns
+4. Each class has a home, the smallest class in ``STEPS`` steps of shared prefixes (one step leaves a group of near copies in
+   many homes that all meet), and homes are cut by hash into blocks of bounded size.  Two blocks meet if classes of theirs share a prefix in some trie, so what is only connected through others never meets.
+5. Blocks that meet are verified exactly, each pair of classes once, tile by tile: intersections are products of 0/1 matrices.  A task returns
    link counts and a spanning forest, so a home of g near copies costs g rows for each of its blocks, not g squared.
 6. Components of the forest edges are the near-duplicate classes.
 
@@ -42,8 +42,10 @@ SIMILARITY = 0.8
 TREES = 32
 DEEPEST = 8
 RECALL = 0.9999
-BLOCK_DOCS = 256
+BLOCK_DOCS = 4096
+TILE = 256  # sets of a block that are compared with as many others at once
 BLOCK_GRAMS = 1 << 19
+STEPS = 3  # shared prefixes that lie between a class and its home at most
 TASK_BYTES = 16 << 20
 FILTER_BITS = 24
 HASH_BITS = 54
@@ -221,6 +223,9 @@ def _blocks(classes: DataFrame, tries: DataFrame, depths: list[int]) -> tuple[Da
         "n > 1").drop("n"), "lsh-buckets")
     members = staged(paths.join(buckets, "bucket"), "lsh-members")
     homes = members.groupBy("id").agg(F.min("least").alias("home"))
+    for _ in range(STEPS - 1):
+        around = staged(members.join(homes, "id").groupBy("bucket").agg(F.min("home").alias("around")), "lsh-around")
+        homes = members.select("id", "bucket").join(around, "bucket").groupBy("id").agg(F.min("around").alias("home"))
     known = staged(classes.select("id", "key", "digest", "weight", "n").join(homes, "id"), "lsh-homes")
     sizes = staged(known.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(
         F.sum("n") / BLOCK_GRAMS)).cast("bigint").alias("parts")), "lsh-sizes")
@@ -314,6 +319,8 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     volume = meetings.join(wanted.groupBy("block").agg(F.sum("n").alias("n")), "block").agg(F.sum("n")).first()[0] or 0
     tasks = max(1, -(-volume * 8 // TASK_BYTES))
 
+    tile = TILE
+
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (lo, hi), block in frame.groupby(["lo", "hi"], sort=False):
@@ -321,13 +328,20 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
             ids, weight = block["id"].to_numpy(), block["weight"].to_numpy()
             sets = [np.frombuffer(g, "<u8") for g in block["grams"]]
             left, right = (np.flatnonzero(block["block"].to_numpy() == m) for m in (lo, hi))
-            if len(ids) < 2 or not len(left) or not len(right):
+            n, u, v = np.zeros(len(ids), np.int64), [], []
+            for x in range(0, len(left), tile):
+                for y in range(x if lo == hi else 0, len(right), tile):
+                    a, b = left[x:x + tile], right[y:y + tile]
+                    i, j = block_links([sets[k] for k in a], [sets[k] for k in b], similarity, lo == hi and x == y)
+                    i, j = a[i], b[j]
+                    n += (np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))).astype(np.int64)
+                    i, j = forest(len(ids), i, j)  # links of a tile leave fewer edges than it has sets
+                    u.append(i)
+                    v.append(j)
+            if not n.any():
                 continue
-            i, j = block_links([sets[k] for k in left], [sets[k] for k in right], similarity, lo == hi)
-            i, j = left[i], right[j]
-            n = (np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))).astype(np.int64)
             some = np.flatnonzero(n)
-            a, b = forest(len(ids), i, j)
+            a, b = forest(len(ids), np.concatenate(u), np.concatenate(v))
             out.append(pd.DataFrame({"u": np.concatenate([ids[some], ids[a]]),
                                      "v": np.concatenate([np.full(len(some), -1), ids[b]]),
                                      "n": np.concatenate([n[some], np.full(len(a), -1)])}))
