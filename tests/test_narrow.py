@@ -59,3 +59,26 @@ def test_partitioned_write_without_sort_and_setting_restored(spark, folder):
         raise ZeroDivisionError
     assert spark.conf.get(key) == before
     assert sorted(map(tuple, spark.read.parquet(f"{folder}/out").collect())) == [(i, i % 40) for i in range(1000)]
+
+
+def test_fold_carries_each_column_once(spark):
+    rows = spark.createDataFrame([(1, "b", 2, "x"), (1, "a", 3, "y"), (1, "a", 3, "z"), (None, "c", 1, None), (None, None, 5, "w")],
+                                 "k int, o string, p int, v string")
+    folded = dedup.first_per_key(rows, ["k"], ["o", "p"])
+    assert folded.columns == ["k", "o", "p", "v", "copies"]
+    assert optimized(folded).count("struct(o") == 1
+    assert {tuple(r) for r in folded.collect()} == {(1, "a", 3, "y", 3), (None, None, 5, "w", 2)}
+
+
+def test_fold_of_columns_without_an_order(spark):
+    rows = spark.createDataFrame([(1, 2, {"a": 1}, [({"b": 1},)]), (1, 1, {"c": 2}, None)],
+                                 "k int, o int, m map<string,int>, s array<struct<m:map<string,int>>>")
+    assert [tuple(r) for r in dedup.first_per_key(rows, ["k"], ["o"]).collect()] == [(1, 1, {"c": 2}, None, 2)]
+
+
+@pytest.mark.parametrize("frame", ["metrics", "issues", "kept"])
+def test_folds_take_the_columns_they_need(spark, sales, frame):
+    made = {"metrics": cleaning.run_metrics, "issues": cleaning.a16, "kept": cleaning.w02}[frame](spark, sales)
+    under = below(optimized(made), r"min(_by)?\(")
+    whole = optimized(made)[:-len(under)]
+    assert "l3_category" not in whole and "product_name" not in whole.split("min(")[1].split(" AS ")[0]
