@@ -82,3 +82,23 @@ def test_folds_take_the_columns_they_need(spark, sales, frame):
     under = below(optimized(made), r"min(_by)?\(")
     whole = optimized(made)[:-len(under)]
     assert "l3_category" not in whole and "product_name" not in whole.split("min(")[1].split(" AS ")[0]
+
+
+def test_source_columns_are_counted_in_stated_partitions(spark, sales):
+    counted = sources.s02(spark, sales)
+    assert "RepartitionByExpression" in optimized(counted)
+    assert tuple(counted.first()) == (640, 640, 640)
+
+
+def test_curated_columns_are_added_after_the_spread(spark, folder):
+    cfg = Config(run_id="r", executed_at=datetime(2020, 1, 1))
+    rows = spark.createDataFrame([(1, "n", "s", "a", "b", "c", 3, 5.0, 2.0, 0.1, 1.0, "", 2020, 1, "f", 7)], """product_id long,
+      product_name string, shop_name string, l1_category string, l2_category string, l3_category string, item_sold int, revenue_usd double,
+      avg_unit_price_usd double, mom_growth_pct double, data_quality_score double, quality_flags string, year int, month_num int,
+      source_file string, source_record_number long""").withColumn("month", F.lit("2020-01-01").cast("date"))
+    made = plan.finish(tables.by_month(rows), cfg)
+    assert "record_hash" not in below(optimized(made), "RebalancePartitions")
+    tables.write_curated(made, folder, cfg, spread=True)
+    tables.write_curated(plan.finish(rows, cfg), f"{folder}/plain", cfg)
+    once, plain = (tables.read_table(spark, f, "curated_sales").collect() for f in (folder, f"{folder}/plain"))
+    assert once == plain and len(once) == 1
