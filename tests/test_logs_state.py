@@ -138,3 +138,13 @@ def test_counters_equal_the_batch_form(spark, folder):
     events = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/in")
     want = logs.consecutive(logs.alarm_windows(events, alarm, F.col("k"), ["host"]), 2, ["host"]).collect()
     assert got == sorted((r.host, int((r.window_start - T0).total_seconds() // 600)) for r in want) and len(got) > 20
+
+
+def test_quiet_log_gives_an_empty_table(spark, folder):
+    from queries.logs import st2b, st3b, st3c
+    rows = [(i, T0 + timedelta(minutes=20 * i), 1, "view", 1.0, '{"k": 10}') for i in range(30)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(
+        1).write.parquet(f"{folder}/events.parquet")
+    for query, columns in ((st3b, []), (st3c, ["event_type"]), (st2b, [])):  # no three windows in a row, no error at all
+        found = query(spark, folder)
+        assert found.columns == ["window_start", "window_end", *columns, "value"] and found.collect() == []
