@@ -174,6 +174,27 @@ def test_sanitise_spans(spark, documents, no_documents):
     assert sanitise.report(no_documents).count() == 0
 
 
+def test_sanitise_writes_few_files(spark):
+    """A file per part of the input at most, whatever the number of shuffle partitions: each one written costs the executor
+    several child processes on a local disk."""
+    rows = [(40 * c + j, f"the{chr(97 + c)} treasurer{chr(97 + j // 10)}{chr(97 + j % 10)} account ann{j}@bank.org again")
+            for c in range(6) for j in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    written = {os.path.join(d, x) for d, _, names in os.walk(shared) for x in names}
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        assert sanitise.report(df).where("spans like '%removed%'").count() == len(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    new = {os.path.join(d, x) for d, _, names in os.walk(shared) for x in names} - written
+    assert 1 <= sum(x.endswith(".parquet") for x in new) <= 3
+
+
 def test_sanitise_terms(spark):
     rows = [(i, f"{'Filler ' * 20}{w} treasurer account ann@bank.org today{i} again") for i, w in enumerate(
         ["the", "a", "one", "our"])]

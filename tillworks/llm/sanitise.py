@@ -161,10 +161,11 @@ def disclosure(docs: DataFrame, found: DataFrame, text: str = "text", support: i
     together = mentions.groupBy(*pair).agg(
         F.count_distinct("row_no").alias("n_both"), F.count_distinct("context").alias("contexts")).where(
         F.col("contexts") >= support)
-    together = staged(together, "sanitise-pairs")
     values = found.select("row_no", F.inline("spans")).groupBy("kind", "value").agg(
         F.count_distinct("row_no").alias("n_value"))
-    wanted = together.select("term").distinct()
+    # counted anew, without rows: pairs that are written have a file per partition, however few there are
+    wanted = mentions.groupBy(*pair).agg(F.count_distinct("context").alias("contexts")).where(
+        F.col("contexts") >= support).select("term").distinct()
     lower = F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0)), F.lower)
     said = docs.select(F.explode(F.array_distinct(lower)).alias("term"))
     said = in_filter(said, F.col("term"), bit_filter(wanted, "term", bits), bits, "wanted").where("wanted")
@@ -181,9 +182,9 @@ def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", generali
               remove: float = REMOVE) -> DataFrame:
     """One row per row of ``docs``: row_no, key, base (spans), spans (base and disclosing words, by kind, then start)."""
     found = staged(find(docs, key, text), "sanitise-found")
-    strong = staged(disclosure(docs, found, text).where(F.col("disclosed") >= generalise).select(
+    strong = disclosure(docs, found, text).where(F.col("disclosed") >= generalise).select(
         "kind", "value", "term", F.when(F.col("disclosed") >= remove, KINDS.index("removed")).otherwise(
-            KINDS.index("generalised")).alias("action")), "sanitise-terms")
+            KINDS.index("generalised")).alias("action"))
     near = found.where(F.size("near") > 0).select("row_no", F.inline("near"))
     # a word near two values takes the stronger action
     hits = near.join(strong, ["kind", "value", "term"]).groupBy("row_no", "start", "end", "term").agg(
