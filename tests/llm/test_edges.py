@@ -474,6 +474,25 @@ def test_sample_takes_texts_of_all_lengths(spark):
     assert sum(sizes) >= 400_000 > sum(sizes) - max(sizes)
 
 
+def test_chain_is_trained_in_a_task(spark, monkeypatch):
+    import pyarrow as pa
+    from tests.llm.test_methods import toxic_sample
+    from tillworks.llm.sample import label_share, labelled_sample
+    sample = toxic_sample(800)
+    docs = spark.createDataFrame([(i, t.title() + " É") for i, t in enumerate(sample["text"])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(sample["label"])], "doc_id bigint, toxic int")
+    here = labelled_sample(docs, labels, "toxic", crf.SAMPLE, crf.SAMPLE_BYTES)
+    here["text"] = crf.folded(pa.array(here["text"], pa.string())).to_pandas()
+    wanted = crf.train(here, label_share(labels, "toxic"))
+    monkeypatch.setattr(crf, "train", None)  # the driver does not train, so it needs no texts
+    got = crf.fit(docs, labels)
+    assert len(wanted.features) > 200 and wanted.constant is None
+    for name in ("features", "weights", "bias", "start", "moves", "document", "constant"):
+        a, b = getattr(got, name), getattr(wanted, name)
+        assert type(a) is type(b) and (a == b if a is None or isinstance(a, float) else (
+            a.dtype == b.dtype and a.shape == b.shape and (a == b).all())), name
+
+
 def test_constant_is_the_share_of_all_labels(spark):
     docs = spark.createDataFrame([(i, "" if i % 2 else f"plain {i}") for i in range(40)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, 1 - i % 2, 1 - i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")

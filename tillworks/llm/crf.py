@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.llm.common import bounded_batches
-from tillworks.llm.sample import held_out, label_share, labelled_sample
+from tillworks.llm.sample import held_out, label_share, sample_rows
 from tillworks.llm.tokens import PIECE_BYTES, pieces
 from tillworks.llm.words import NO_LETTER, Words, mix, slices, words
 
@@ -54,6 +54,12 @@ L2 = 1e-4
 SEGMENT = 128  # words of a piece of a chain
 PART_WORDS = 1 << 18
 PIECE = 1 << 18  # bytes of text that are worked on at once
+#: A model as a row, as the task that trains it returns it.
+MODEL_SCHEMA = ("features array<bigint>, weights array<double>, bias double, start array<double>, moves array<double>, "
+                "document array<double>, constant double")
+MODEL_ROW = pa.schema([("features", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64()),
+                       ("start", pa.list_(pa.float64())), ("moves", pa.list_(pa.float64())),
+                       ("document", pa.list_(pa.float64())), ("constant", pa.float64())])
 
 
 @dataclass
@@ -255,14 +261,15 @@ def _evidence(hashes: np.ndarray, word: np.ndarray, docs: np.ndarray, toxic: np.
     return names[some], bad[some], good[some]
 
 
-def train(sample: pd.DataFrame, share: float | None = None) -> Model:
+def train(sample: pd.DataFrame | pa.Table, share: float | None = None) -> Model:
     """Fit to (text, label); ``share`` is the share of label 1 among all labels learned from, that of the sample if not given."""
-    toxic = sample["label"].to_numpy(float)
+    toxic = np.asarray(sample["label"], float)
     if not 0 < toxic.sum() < len(toxic):
         if share is None:
             share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros(2), np.zeros((2, 2)), np.zeros(3), share)
-    kinds, word, all_docs = _sample_features(pa.array(sample["text"]))
+    texts = sample["text"]
+    kinds, word, all_docs = _sample_features(texts.combine_chunks() if isinstance(sample, pa.Table) else pa.array(texts))
     weight = _copy_weights(all_docs, kinds[0], word)
     base = (weight * toxic).sum() / weight.sum()
     marks, common = [], np.zeros(0, np.uint64)
@@ -459,10 +466,25 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(run, schema)
 
 
+def _train_in_task(sample: pa.Table, share: float) -> pa.Table:
+    """The model of a sample of unfolded texts as one row."""
+    sample = sample.sort_by([("label", "ascending"), ("text", "ascending")])
+    model = train(pa.table({"label": sample["label"], "text": folded(sample["text"])}), share)
+    columns = [model.features.view(np.int64), model.weights, model.bias, model.start, model.moves.ravel(), model.document,
+               model.constant]
+    return pa.table([pa.array([c], kind) for c, kind in zip(columns, MODEL_ROW.types, strict=True)], MODEL_ROW)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    sample = labelled_sample(docs, labels, label, SAMPLE, SAMPLE_BYTES)
-    sample["text"] = folded(pa.array(sample["text"], pa.string())).to_pandas()
-    return train(sample, label_share(labels, label))
+    """The sample, which ``SAMPLE`` and ``SAMPLE_BYTES`` bound whatever the table, goes to one task; the driver gets the model only."""
+    share = label_share(labels, label)
+    bounded_batches(docs.sparkSession, PIECE_BYTES)
+    sample = sample_rows(docs, labels, label, SAMPLE, SAMPLE_BYTES)
+    row = sample.groupBy().applyInArrow(lambda found: _train_in_task(found, share), MODEL_SCHEMA).first()
+    if row is None:  # no text to learn from
+        return train(pa.table({"label": pa.array([], pa.int32()), "text": pa.array([], pa.string())}), share)
+    return Model(np.array(row.features, np.int64).view(np.uint64), np.array(row.weights, float), row.bias, np.array(row.start),
+                 np.array(row.moves).reshape(2, 2), np.array(row.document), row.constant)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,9 +25,9 @@ def label_share(labels: DataFrame, label: str, key: str = "doc_id") -> float:
     return float(labels.where(F.col(label).isin(0, 1) & ~held_out(key)).agg(F.avg(F.col(label))).first()[0] or 0.0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], mean_bytes: int,
-                    key: str = "doc_id", text: str = "text") -> pd.DataFrame:
-    """(text, label): distinct whole texts that are not empty, of any length, in hash order of their ids: of class c at most
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], mean_bytes: int,
+                key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, label), in no order: distinct whole texts that are not empty, of any length, in hash order of their ids: of class c at most
     ``most[c]``, taken until they hold ``most[c] * mean_bytes`` bytes together (the last one may pass that).  Both bounds hold
     for training only; scoring reads every text whole.  Lengths and hashes of the labelled texts decide, so what is
     broadcast to the scan of the texts is at most the sample's ids."""
@@ -49,4 +49,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     key_type = texts.schema["_key"].dataType.simpleString()
     chosen = docs.sparkSession.createDataFrame(chosen, f"_key {key_type}, _digest bigint, label int")
     found = texts.join(F.broadcast(chosen), ["_key", "_digest"]).groupBy("label", "_digest").agg(F.min("text").alias("text"))
-    return found.select("text", "label").toArrow().to_pandas().sort_values(["label", "text"]).reset_index(drop=True)
+    return found.select("text", "label")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], mean_bytes: int,
+                    key: str = "doc_id", text: str = "text") -> pd.DataFrame:
+    """The rows of ``sample_rows`` on the driver, by label and text."""
+    found = sample_rows(docs, labels, label, most, mean_bytes, key, text)
+    return found.toArrow().to_pandas().sort_values(["label", "text"]).reset_index(drop=True)
