@@ -129,3 +129,59 @@ def test_only_rows_that_may_be_known_meet_the_curated_keys(spark, sales, folder)
     assert first.metrics["records_known"] == 0 and again.metrics["records_failed"] == failed
     curated = tables.read_curated(spark, root)
     assert curated.where("run_id = 'two'").count() == 0 and curated.count() > 50
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 28])
+def test_rows_of_known_keys_go_whatever_the_bits_say(spark, folder, monkeypatch, bits):
+    monkeypatch.setattr(dedup, "KNOWN_BITS", bits)
+    rows = spark.range(40_000).selectExpr("id", "IF(id % 7 = 0, NULL, id) AS product_id", "md5(cast(id AS string)) AS record_key",
+                                          "IF(id % 5 = 0, NULL, DATE'2024-01-05') AS month", "IF(id % 3 = 0, NULL, 's') AS shop_name")
+    rows.unionByName(rows.where("id < 100")).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    probe = {"product_id": dedup.first_id()}
+    old = rows.where("id % 2 = 0").select(probe["product_id"].alias("product_id"), "month", "shop_name")
+    stored = {}
+
+    def store(df, name):
+        df.write.parquet(f"{folder}/{name}")
+        stored[name] = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        return stored[name]
+
+    left = dedup.unknown_rows(rows, old, store, probe=probe)
+    assert sorted(r.id for r in left.select("id").collect()) == sorted([*range(1, 40_000, 2), *range(1, 100, 2)])
+    assert stored["new_keys"].columns == ["product_id", "month", "shop_name"]
+    # with few bits many rows are taken for known at first
+    assert (stored["new"].count() > 1000) == (bits == 1 << 15)
+
+
+def test_known_rows_are_neither_folded_nor_staged_again(spark, sales, folder):
+    from queries.jobs import untidy
+    rows = untidy(spark, sales)
+    first = plan.load(spark, rows, f"{folder}/t", Config(run_id="one", executed_at=datetime(2020, 1, 1)), incremental=True)
+    again = plan.load(spark, rows, f"{folder}/t", Config(run_id="two", executed_at=datetime(2020, 1, 1)), incremental=True)
+    failed = again.metrics["records_read"]  # rows that are not curated are no known ones
+    assert again.metrics["records_known"] + failed == first.metrics["records_read"]
+    assert spark.read.parquet(f"{again.staging}/folded").agg(F.sum("copies")).first()[0] == failed
+    # the fingerprint stays where it is still needed: it names rows without an id
+    folded = spark.read.parquet(f"{first.staging}/folded")
+    assert folded.where("product_id is null and record_key is null or product_id is not null and record_key is not null").count() == 0
+    assert folded.where("record_key is not null").count() > 0
+
+
+def test_compressed_landing_files_are_read_where_asked_for(spark, sales, folder):
+    from queries.base import sales_raw
+    from tillworks.sources import raw
+    path = sources.landing(spark, sales, "packed", **sources.GZIP)
+    assert raw.list_files(spark, path).count() == 0 and raw.read_raw(spark, path).count() == 0
+    assert raw.list_files(spark, path, "*.csv.gz").count() > 0
+    names = sources.RAW_NAMES
+    empty = [F.nullif(c, F.lit("")).alias(c) for c in names]  # an empty text comes back as no text
+    back = raw.read_raw(spark, path, pattern="*.csv.gz").select(*empty)
+    assert sorted(map(str, back.collect())) == sorted(map(str, sales_raw(spark, sales).select(*empty).collect()))
+    cfg = Config(run_id="r", executed_at=datetime(2020, 1, 1))
+    day = datetime(2001, 11, 4).date()
+    assert plan.backfill(spark, path, f"{folder}/t", cfg, day, day) is None
+    got = plan.backfill(spark, path, f"{folder}/t", cfg, day, day, "*.csv.gz")
+    assert got.metrics["records_read"] == back.count() and got.metrics["records_corrupt"] == 0
+    dated = spark.createDataFrame([("landing/sales_20240105.csv.gz",)], "source_file string")
+    assert raw.landing_date(dated, None).first()["landing_date"].isoformat() == "2024-01-05"
