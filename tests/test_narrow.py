@@ -185,3 +185,22 @@ def test_compressed_landing_files_are_read_where_asked_for(spark, sales, folder)
     assert got.metrics["records_read"] == back.count() and got.metrics["records_corrupt"] == 0
     dated = spark.createDataFrame([("landing/sales_20240105.csv.gz",)], "source_file string")
     assert raw.landing_date(dated, None).first()["landing_date"].isoformat() == "2024-01-05"
+
+
+def test_shuffle_files_go_with_the_write(spark, folder):
+    import time
+
+    from tillworks.sources.tables import write_parts
+
+    def files() -> int:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(found.apply(i).getName().endswith(".data") for i in range(found.size()))
+
+    rows = spark.range(10_000).withColumn("k", F.col("id") % 3).repartition(5, "id")
+    before, until = files(), time.time() + 20
+    write_parts(rows, f"{folder}/out", ["k"])
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before
+    assert spark.read.parquet(f"{folder}/out").count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
